@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,16 @@ def _zero() -> Column:
     return F.lit(0.0).cast("double")
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` over ``values`` that are evaluated once per row.
+
+    Without it the optimizer may merge projections and repeat a costly expression inside a lambda,
+    once per element.
+    """
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(bound, lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product; the longer array is cut to the length of the shorter."""
     n = F.least(F.size(a), F.size(b))
@@ -25,6 +35,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def poly_product(a: Column, b: Column) -> Column:
     """Coefficients of the product of two polynomials given by coefficient arrays (lag 0 first)."""
+    return let(_poly_product, a, b)
+
+
+def _poly_product(a: Column, b: Column) -> Column:
     na, nb = F.size(a), F.size(b)
     zero = F.lit(0)
 
@@ -46,9 +60,11 @@ def lag_poly(coefs: Column, stride: Column, sign: float) -> Column:
 
 def difference_poly(stride: Column, times: Column) -> Column:
     """(1 - B^stride)^times."""
-    factor = lag_poly(F.array(F.lit(1.0)), stride, -1.0)
-    return F.aggregate(
-        F.array_repeat(F.lit(1), times), F.array(F.lit(1.0)), lambda acc, _: poly_product(acc, factor)
+    return let(
+        lambda factor: F.aggregate(
+            F.array_repeat(F.lit(1), times), F.array(F.lit(1.0)), lambda acc, _: _poly_product(acc, factor)
+        ),
+        lag_poly(F.array(F.lit(1.0)), stride, -1.0),
     )
 
 
@@ -93,5 +109,5 @@ def _series_ratio_arrow(num: Column, den: Column, terms: int) -> Column:
 def series_ratio(num: Column, den: Column, terms: int) -> Column:
     """First ``terms + 1`` coefficients of num(B)/den(B) for polynomials that start with 1."""
     if terms <= HOF_TERMS:
-        return _series_ratio_hof(num, den, terms)
+        return let(lambda n, d: _series_ratio_hof(n, d, terms), num, den)
     return _series_ratio_arrow(num, den, terms)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from chunkcast.functions.arrays import dot, series_ratio
+from chunkcast.functions.arrays import dot, let, series_ratio
 from chunkcast.functions.boxcox import inv_box_cox
 from chunkcast.functions.timeaxis import shift_seconds
 from chunkcast.operators.history import BLOCK_ROWS, block_window, with_halo
@@ -108,19 +108,22 @@ def forecast_path(tails: DataFrame, h: int, p: int) -> DataFrame:
     if h < 1:
         raise ValueError("h must be at least 1")
     if h * p <= HOF_WORK:
-        pis = F.slice("coef", 3, p)
-
-        def extend(acc: Column, i: Column) -> Column:
-            level = F.get("coef", F.lit(0)) + F.get("coef", F.lit(1)) * (F.col("n") + i)
-            return F.concat(F.array(level + dot(pis, acc)), acc)
-
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.col("recent"), extend)
-        path = F.reverse(F.slice(walked, 1, h))
+        path = let(lambda *v: _walk(*v, h), *[F.col(c) for c in ("coef", "n", "recent")])
     else:
         path = _recursive_path(h)("coef", F.col("n").cast("double"), "recent")
     return tails.withColumn("path", F.when(F.size("recent") >= p, path))
 
 
+def _walk(coef: Column, n: Column, recent: Column, h: int) -> Column:
+    pis = F.slice(coef, 3, F.size(coef) - 2)
+
+    def extend(acc: Column, i: Column) -> Column:
+        level = F.get(coef, F.lit(0)) + F.get(coef, F.lit(1)) * (n + i)
+        return F.concat(F.array(level + dot(pis, acc)), acc)
+
+    return F.reverse(F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(h)), recent, extend), 1, h))
+
+
 def _recursive_path(h: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def walk(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -256,7 +256,7 @@ def lag_design(spark, d):
 
 def fitted_residuals(spark, d):
     indexed = orders_indexed(spark, d)
-    return rounded(fc.fitted_values(indexed, trained_model(indexed), 2), "y", "fitted", "residual")
+    return rounded(fc.fitted_values(indexed, trained_model(indexed), 2), "fitted", "residual")
 
 
 def _event_steps(spark, d, h: int = HORIZON) -> DataFrame:

@@ -341,7 +341,7 @@ FROM indexed WINDOW w AS (PARTITION BY series_id ORDER BY idx)""",
          c0 + pi1 * lag(y, 1) OVER (PARTITION BY i.series_id ORDER BY idx)
             + pi2 * lag(y, 2) OVER (PARTITION BY i.series_id ORDER BY idx) AS fit
   FROM indexed i JOIN model USING (series_id))
-SELECT series_id, idx, round(y, 6) AS y, round(fit, 6) AS fitted, round(y - fit, 6) + 0.0 AS residual FROM fits""",
+SELECT series_id, idx, y, round(fit, 6) AS fitted, round(y - fit, 6) + 0.0 AS residual FROM fits""",
     ),
     "forecast_ar2": _query(EVENT_STEPS, f"SELECT series_id, step, {_r('pred')} FROM steps", recursive=True),
     "psi_weights": _query(
