@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Longest expansion done with higher-order functions; beyond it a vectorised Arrow function is cheaper.
 HOF_TERMS = 200
@@ -78,36 +78,48 @@ def _series_ratio_hof(num: Column, den: Column, terms: int) -> Column:
     return F.reverse(F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.array(F.lit(1.0)), extend))
 
 
-def _stack(rows: pd.Series, width: int) -> np.ndarray:
+def append_array(df: DataFrame, name: str, compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
+    """Add an ``array<double>`` column computed from Arrow batches; other columns pass through as
+    they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array(compute(batch), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return df.mapInArrow(run, schema)
+
+
+def _stack(rows: list, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for k, values in enumerate(rows):
-        if values is None:
-            out[k] = np.nan
-            continue
-        values = np.asarray(values, dtype=float)[:width]
+        values = np.asarray(values[:width], dtype=float)
         out[k, : len(values)] = values
     return out
 
 
-def _series_ratio_arrow(num: Column, den: Column, terms: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def expand(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for nums, dens in batches:
-            a = _stack(nums, terms + 1)
-            b = _stack(dens, max([1] + [len(v) for v in dens if v is not None]))
-            q = b.shape[1] - 1
-            r = np.zeros_like(a)
-            r[:, 0] = 1.0
-            for j in range(1, terms + 1):
-                k = min(q, j)
-                r[:, j] = a[:, j] - (b[:, 1 : k + 1] * r[:, j - k : j][:, ::-1]).sum(axis=1)
-            yield pd.Series(list(r))
-
-    return expand(num, den)
+def _ratio_of_batch(nums: list, dens: list, terms: int) -> list:
+    """The recursion of all rows of a batch at once."""
+    known = [k for k, pair in enumerate(zip(nums, dens)) if None not in pair]
+    a = _stack([nums[k] for k in known], terms + 1)
+    b = _stack([dens[k] for k in known], max((len(dens[k]) for k in known), default=1))
+    q = b.shape[1] - 1
+    r = np.zeros_like(a)
+    r[:, :1] = 1.0
+    for j in range(1, terms + 1):
+        k = min(q, j)
+        r[:, j] = a[:, j] - (b[:, 1 : k + 1] * r[:, j - k : j][:, ::-1]).sum(axis=1)
+    out = [None] * len(nums)
+    for row, k in zip(r, known):
+        out[k] = row
+    return out
 
 
-def series_ratio(num: Column, den: Column, terms: int) -> Column:
-    """First ``terms + 1`` coefficients of num(B)/den(B) for polynomials that start with 1."""
+def add_series_ratio(df: DataFrame, num: str, den: str, terms: int, name: str) -> DataFrame:
+    """Add the first ``terms + 1`` coefficients of num(B)/den(B), two polynomials that start with 1."""
     if terms <= HOF_TERMS:
-        return let(lambda n, d: _series_ratio_hof(n, d, terms), num, den)
-    return _series_ratio_arrow(num, den, terms)
+        ratio = let(lambda n, d: _series_ratio_hof(n, d, terms), F.col(num), F.col(den))
+        return df.withColumn(name, F.when(F.col(num).isNotNull() & F.col(den).isNotNull(), ratio))
+    columns = lambda batch: [batch.column(c).to_pylist() for c in (num, den)]
+    return append_array(df, name, lambda batch: _ratio_of_batch(*columns(batch), terms))

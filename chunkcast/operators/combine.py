@@ -93,7 +93,7 @@ def combine_full(local: DataFrame) -> DataFrame:
         .join(sizes, "series_id")
     )
     v, vb = (F.transform("cells", _field(name)) for name in ("v", "vb"))
-    solved = systems.select("series_id", "n_used", _solve_system(v, vb).alias("s"))
+    solved = systems.select("series_id", "n_used", _solve_system.asNondeterministic()(v, vb).alias("s"))
     return solved.select(
         "series_id", "n_used", F.posexplode("s").alias("i", "row")
     ).select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chunkcast.functions.arrays import difference_poly, dot, lag_poly, poly_product, series_ratio
+from chunkcast.functions.arrays import add_series_ratio, difference_poly, dot, lag_poly, poly_product
 
 
 def split_roles(models: DataFrame) -> DataFrame:
@@ -51,10 +51,8 @@ def lag_polynomials(models: DataFrame) -> DataFrame:
 
 def pi_weights(models: DataFrame, tol: int) -> DataFrame:
     """Add ``pi`` = pi_1..pi_tol of y_t = c0 + c1 t + sum pi_i y_{t-i} + e_t."""
-    ratio = series_ratio(F.col("ar_poly"), F.col("ma_poly"), tol)
     return (
-        lag_polynomials(models)
-        .withColumn("_ratio", ratio)
+        add_series_ratio(lag_polynomials(models), "ar_poly", "ma_poly", tol, "_ratio")
         .withColumn("pi", F.transform(F.slice("_ratio", 2, tol), lambda r: -r))
         .drop("_ratio")
     )

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chunkcast.functions.arrays import dot, let, series_ratio
+from chunkcast.functions.arrays import add_series_ratio, append_array, dot, let
 from chunkcast.functions.boxcox import inv_box_cox
 from chunkcast.functions.timeaxis import shift_seconds
 from chunkcast.operators.history import BLOCK_ROWS, block_window, with_halo
@@ -109,9 +110,8 @@ def forecast_path(tails: DataFrame, h: int, p: int) -> DataFrame:
         raise ValueError("h must be at least 1")
     if h * p <= HOF_WORK:
         path = let(lambda *v: _walk(*v, h), *[F.col(c) for c in ("coef", "n", "recent")])
-    else:
-        path = _recursive_path(h)("coef", F.col("n").cast("double"), "recent")
-    return tails.withColumn("path", F.when(F.size("recent") >= p, path))
+        return tails.withColumn("path", F.when(F.size("recent") >= p, path))
+    return append_array(tails, "path", lambda batch: _walk_batch(batch, h))
 
 
 def _walk(coef: Column, n: Column, recent: Column, h: int) -> Column:
@@ -124,25 +124,20 @@ def _walk(coef: Column, n: Column, recent: Column, h: int) -> Column:
     return F.reverse(F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(h)), recent, extend), 1, h))
 
 
-def _recursive_path(h: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def walk(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for coefs, sizes, recents in batches:
-            out = []
-            for coef, n, recent in zip(coefs, sizes, recents):
-                if coef is None or recent is None or len(recent) < len(coef) - 2:
-                    out.append(None)
-                    continue
-                pi = np.asarray(coef[2:])[::-1]
-                p = len(pi)
-                y = np.concatenate([np.asarray(recent)[:p][::-1], np.empty(h)])
-                trend = coef[0] + coef[1] * (n + np.arange(1, h + 1))
-                for i in range(h):
-                    y[p + i] = trend[i] + pi @ y[i : p + i]
-                out.append(y[p:])
-            yield pd.Series(out, dtype=object)
-
-    return walk
+def _walk_batch(batch: pa.RecordBatch, h: int) -> list:
+    out = []
+    for coef, n, recent in zip(*(batch.column(c).to_pylist() for c in ("coef", "n", "recent"))):
+        if coef is None or recent is None or len(recent) < len(coef) - 2:
+            out.append(None)
+            continue
+        pi = np.asarray(coef[2:])[::-1]
+        p = len(pi)
+        y = np.concatenate([np.asarray(recent)[:p][::-1], np.empty(h)])
+        trend = coef[0] + coef[1] * (n + np.arange(1, h + 1))
+        for i in range(h):
+            y[p + i] = trend[i] + pi @ y[i : p + i]
+        out.append(y[p:])
+    return out
 
 
 # ---- standard errors and intervals ----------------------------------------------------------
@@ -154,7 +149,8 @@ def psi_weights(model: DataFrame, h: int) -> DataFrame:
     if h == 1:
         return model.withColumn("psi", F.when(F.col("coef").isNotNull(), one))
     pis = F.transform(F.slice("coef", 3, F.size("coef") - 2), lambda x: -x)
-    return model.withColumn("psi", F.when(F.col("coef").isNotNull(), series_ratio(one, F.concat(one, pis), h - 1)))
+    poly = model.withColumns({"_one": one, "_den": F.concat(one, pis)})
+    return add_series_ratio(poly, "_one", "_den", h - 1, "psi").drop("_one", "_den")
 
 
 def forecast_steps(train: DataFrame, model: DataFrame, h: int, p: int, interval_seconds: int) -> DataFrame:

@@ -77,7 +77,7 @@ def _solve_small(covs: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def solve_least_squares(sums: DataFrame, k: int) -> DataFrame:
     """Add ``slopes``, ``intercept``, ``sse`` to the output of :func:`covariance_sums`."""
-    slopes = _solve_closed_form(k) if k <= 2 else _solve_small("cov")
+    slopes = _solve_closed_form(k) if k <= 2 else _solve_small.asNondeterministic()("cov")
     inner = lambda a, b: F.aggregate(
         F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
     )

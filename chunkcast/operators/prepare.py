@@ -134,6 +134,15 @@ def test_rows(split: DataFrame) -> DataFrame:
     return split.filter(F.col("split") == "test").select("series_id", "step", "ts", "y")
 
 
+def index_holdout(holdout: DataFrame, interval_seconds: int) -> DataFrame:
+    """``(series_id, step, ts, y)`` of separate hold-out rows in time order; null values keep their
+    step, so that later steps still meet the right forecast."""
+    marked = holdout.withColumn("_y", F.col("y")).withColumn("y", F.coalesce("y", F.lit(float("nan"))))
+    return index_series(marked, interval_seconds).select(
+        "series_id", F.col("idx").alias("step"), "ts", F.col("_y").alias("y")
+    )
+
+
 def assign_chunks(indexed: DataFrame, chunks: int, max_chunk_rows: int | None = None) -> DataFrame:
     """Add ``chunk`` 1..K of floor(n/K) rows each, the last one taking the remainder.
 
