@@ -74,15 +74,16 @@ def full_covariance_terms(local: DataFrame) -> DataFrame:
 def combine_full(local: DataFrame) -> DataFrame:
     """Full-covariance combination: ``(series_id, i, theta, sigma_row)`` with
     theta = (sum S_k)^-1 sum S_k theta_k and sigma_row the i-th row of (sum S_k)^-1 * N."""
-    rows = full_covariance_terms(local)
-    sizes = (
-        local.filter(F.col("status") == "ok").groupBy("series_id").agg(F.sum("n_k").alias("n_used"))
+    # one row per cell of one small matrix per series; every usable chunk counts once in each cell
+    summed = full_covariance_terms(local).groupBy("series_id", "i", "j").agg(
+        F.sum("v").alias("v"), F.sum("vb").alias("vb"), F.sum("n_k").alias("n_used")
     )
-    # one row per cell of one small matrix per series
-    summed = rows.groupBy("series_id", "i", "j").agg(F.sum("v").alias("v"), F.sum("vb").alias("vb"))
     systems = (
         summed.groupBy("series_id")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "j", "v", "vb"))).alias("cells"))
+        .agg(
+            F.max("n_used").alias("n_used"),
+            F.array_sort(F.collect_list(F.struct("i", "j", "v", "vb"))).alias("cells"),
+        )
         .withColumn("_p", F.sqrt(F.size("cells")).cast("int"))
         .withColumn(
             "cells",
@@ -90,7 +91,6 @@ def combine_full(local: DataFrame) -> DataFrame:
                 F.raise_error(F.lit(f"full-covariance combination takes at most {MAX_FULL} coefficients"))
             ),
         )
-        .join(sizes, "series_id")
     )
     v, vb = (F.transform("cells", _field(name)) for name in ("v", "vb"))
     solved = systems.select("series_id", "n_used", _solve_system.asNondeterministic()(v, vb).alias("s"))
@@ -123,25 +123,24 @@ def full_sigma2(full: DataFrame) -> DataFrame:
     return full.groupBy("series_id").agg(F.avg(F.get("sigma_row", F.col("i"))).alias("sigma2"))
 
 
-def model_status(series_ids: DataFrame, local: DataFrame, model: DataFrame) -> DataFrame:
+def model_status(series_ids: DataFrame, local: DataFrame) -> DataFrame:
     """One row per series: chunks, failed chunks and whether a combined model exists.
 
-    A series whose chunks all failed is reported as ``no_model`` instead of vanishing.
+    A series without a usable chunk, or without any row left after cleaning, is reported as
+    ``no_model`` instead of vanishing.
     """
     chunks = local.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("chunks"),
         F.count_if(F.col("status") != "ok").alias("failed"),
     )
-    found = model.select("series_id", F.lit("ok").alias("found"))
     return (
         series_ids.select("series_id")
         .distinct()
         .join(chunks, "series_id", "left")
-        .join(found, "series_id", "left")
         .select(
             "series_id",
             F.coalesce("chunks", F.lit(0)).alias("chunks"),
             F.coalesce("failed", F.lit(0)).alias("failed"),
-            F.coalesce("found", F.lit("no_model")).alias("status"),
+            F.when(F.col("chunks") > F.col("failed"), "ok").otherwise("no_model").alias("status"),
         )
     )

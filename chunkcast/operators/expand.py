@@ -53,7 +53,7 @@ def pi_weights(models: DataFrame, tol: int) -> DataFrame:
     """Add ``pi`` = pi_1..pi_tol of y_t = c0 + c1 t + sum pi_i y_{t-i} + e_t."""
     return (
         add_series_ratio(lag_polynomials(models), "ar_poly", "ma_poly", tol, "_ratio")
-        .withColumn("pi", F.transform(F.slice("_ratio", 2, tol), lambda r: -r))
+        .withColumn("pi", F.transform(F.slice("_ratio", 2, tol), lambda r: F.lit(0.0) - r))
         .drop("_ratio")
     )
 

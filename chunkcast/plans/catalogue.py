@@ -16,7 +16,12 @@ from chunkcast.operators import expand as ex
 from chunkcast.operators import forecast as fc
 from chunkcast.operators import prepare as pr
 from chunkcast.operators.history import add_lags
+from chunkcast.config import ForecastConfig, SearchOptions
 from chunkcast.operators.local_ar import fit_local_ar, rebase_trend
+from chunkcast.operators.local_sarima import diff_orders as choose_differences
+from chunkcast.operators.local_sarima import fit_sarima, search_ar
+from chunkcast.plans import runs
+from chunkcast.session import staged
 from chunkcast.sources import series as src
 
 HOUR, DAY = 3600, 86400
@@ -47,6 +52,11 @@ def events_split(spark: SparkSession, d: str, by_type: bool = True) -> DataFrame
     return pr.split_holdout(events_indexed(spark, d, by_type), HORIZON)
 
 
+def events_staged(spark: SparkSession, d: str, by_type: bool = True) -> DataFrame:
+    """The split series as a written table, for queries that read it in several places."""
+    return staged(events_split(spark, d, by_type), "events")
+
+
 def events_chunked(spark: SparkSession, d: str, chunks: int = CHUNKS) -> DataFrame:
     return pr.assign_chunks(events_indexed(spark, d), chunks)
 
@@ -167,9 +177,55 @@ def model_rows(spark, d):
 
 
 def model_status(spark, d):
-    series = customers_indexed(spark, d)
-    local = fit_local_ar(pr.assign_chunks(series, 2), 1)
-    return cb.model_status(series, local, cb.combine(local))
+    series = staged(customers_indexed(spark, d), "customers")
+    return cb.model_status(series, fit_local_ar(pr.assign_chunks(series, 2), 1))
+
+
+MODEL_VIEW = ["series_id", "chunk", "p", "d", "q", "sp", "sd", "sq", "status"]
+
+
+def order_search_ar(spark, d):
+    """Order 1 or 2 per chunk by the corrected information criterion."""
+    best = search_ar(events_chunked(spark, d), 2)
+    return rounded(best.select("series_id", "chunk", "p", "aicc"), "aicc")
+
+
+def order_search(spark, d):
+    """Best seasonal model per chunk out of all orders up to 1, candidates dealt to two tasks."""
+    config = ForecastConfig(period=24, search=SearchOptions(max_p=1, max_q=1, max_P=1, max_Q=1, max_order=3))
+    models = fit_sarima(events_chunked(spark, d), config, slots=2)
+    return rounded(models.select(*MODEL_VIEW, "sigma2", "aicc"), "sigma2", "aicc", digits=3)
+
+
+def order_search_approximate(spark, d):
+    """The full grid ranked by two-stage regressions, only the winner fitted."""
+    config = ForecastConfig(period=24, search=SearchOptions(approximation=True))
+    models = fit_sarima(events_chunked(spark, d), config)
+    return rounded(models.select(*MODEL_VIEW, "sigma2"), "sigma2", digits=3)
+
+
+def sarima_css(spark, d):
+    """Seasonal models of a fixed order with moving-average terms."""
+    config = ForecastConfig(period=24, order=(1, 0, 1), seasonal=(1, 0, 0), search=SearchOptions(allow_drift=False))
+    models = fit_sarima(events_chunked(spark, d), config)
+    parts = {f"{c}1": F.get(c, F.lit(0)) for c in ("ar", "ma", "sar")}
+    out = models.withColumns(parts).select(*MODEL_VIEW, *parts, "mean", "sigma2")
+    return rounded(out, *parts, "mean", "sigma2", digits=3)
+
+
+def sarima_css_ar(spark, d):
+    """The seasonal fitter on a pure autoregression, which must agree with plain least squares."""
+    config = ForecastConfig(period=1, order=(2, 0, 0), search=SearchOptions(allow_drift=False))
+    models = fit_sarima(events_chunked(spark, d), config)
+    out = models.select(
+        "series_id", "chunk", "n_k", "sigma2", "mean", *[F.get("ar", F.lit(i - 1)).alias(f"pi{i}") for i in (1, 2)]
+    )
+    return rounded(out, "sigma2", "mean", "pi1", "pi2", digits=4)
+
+
+def diff_orders(spark, d):
+    chunked = pr.assign_chunks(shipments_indexed(spark, d), CHUNKS)
+    return choose_differences(chunked, ForecastConfig(period=7))
 
 
 # ---- combination ----------------------------------------------------------------------------
@@ -255,12 +311,12 @@ def lag_design(spark, d):
 
 
 def fitted_residuals(spark, d):
-    indexed = orders_indexed(spark, d)
+    indexed = staged(orders_indexed(spark, d), "orders")
     return rounded(fc.fitted_values(indexed, trained_model(indexed), 2), "fitted", "residual")
 
 
 def _event_steps(spark, d, h: int = HORIZON) -> DataFrame:
-    train = pr.train_rows(events_split(spark, d))
+    train = pr.train_rows(events_staged(spark, d))
     return fc.forecast_steps(train, trained_model(train), h, 2, HOUR)
 
 
@@ -291,11 +347,36 @@ def forecast_table(spark, d):
     return rounded(text_ts(_event_steps(spark, d)), "pred", "se")
 
 
+def whole_series_ar2(spark, d):
+    """Comparison run with one chunk per series: the covariance sums of a whole series are built by
+    many tasks, so its length does not matter."""
+    train = pr.train_rows(events_staged(spark, d))
+    model = cb.combine(fit_local_ar(pr.assign_chunks(train, 1), 2))
+    return rounded(fc.forecast_steps(train, model, HORIZON, 2, HOUR).select("series_id", "step", "pred", "se"), "pred", "se")
+
+
+def whole_series_forecast(spark, d):
+    """Comparison run with an automatic seasonal model per whole series."""
+    train = pr.train_rows(events_staged(spark, d))
+    config = ForecastConfig(
+        period=24, tol=200, h=HORIZON, search=SearchOptions(max_p=2, max_q=1, max_P=1, max_Q=1, max_order=3)
+    )
+    out = runs.forecast_whole_series(train, config, slots=4)
+    return rounded(text_ts(out), "pred", "se", "lower", "upper", digits=3)
+
+
+def chunked_seasonal_forecast(spark, d):
+    """A complete run with automatic seasonal models on chunks and its mean scores."""
+    config = ForecastConfig(period=24, tol=100, chunks=CHUNKS, h=HORIZON, search=SearchOptions(approximation=True))
+    run = runs.run_forecast(src.hourly_events(spark, d), config)
+    return rounded(ev.mean_scores(run.scores), "mase", "smape", "msis", digits=3)
+
+
 def inv_box_cox_series(spark, d):
     """Log-scale forecasts of daily orders brought back, with and without bias adjustment, and the
     power form applied to the observations."""
     logs = orders_indexed(spark, d).withColumn("y", F.log("y"))
-    train = pr.train_rows(pr.split_holdout(logs, HORIZON))
+    train = staged(pr.train_rows(pr.split_holdout(logs, HORIZON)), "logs")
     steps = fc.forecast_steps(train, trained_model(train, 1), HORIZON, 1, DAY)
     out = steps.select(
         "series_id", "step",
@@ -319,7 +400,7 @@ def seasonal_scale_weekly(spark, d):
 
 
 def _event_scores(spark, d, by_type: bool = True) -> DataFrame:
-    split = events_split(spark, d, by_type)
+    split = events_staged(spark, d, by_type)
     train = pr.train_rows(split)
     out = fc.forecast(train, trained_model(train), HORIZON, 2, HOUR, 95)
     return ev.score_steps(out, pr.test_rows(split), ev.seasonal_scale(train, 24))
@@ -336,7 +417,7 @@ def mean_scores(spark, d):
 
 def unmatched_steps(spark, d):
     """Forecasts reach 30 steps, the hold-out only 24."""
-    split = events_split(spark, d)
+    split = events_staged(spark, d)
     train = pr.train_rows(split)
     out = fc.forecast_steps(train, trained_model(train), 30, 2, HOUR)
     return ev.unmatched_steps(out, pr.test_rows(split))
@@ -367,10 +448,12 @@ QUERIES = {
         hourly_series, hourly_total, daily_orders_series, daily_shipments_series, series_sizes, row_index,
         row_index_ranged, gap_fill, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
         ar1_local, ar2_local, ar1_trend_local, local_weights, model_rows, model_status,
+        order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar, diff_orders,
         dlsa_weighted, dlsa_orders, global_sigma2, dlsa_full_p2,
         poly_product, pi_weights, ar_intercept_trend,
         lag_design, fitted_residuals, forecast_ar2, psi_weights, forecast_se, intervals_multi,
         intervals_fan, forecast_table, inv_box_cox_series,
+        whole_series_ar2, whole_series_forecast, chunked_seasonal_forecast,
         seasonal_scale, seasonal_scale_weekly, score_steps, mean_scores, unmatched_steps, flagship, run_sizes,
     )
 }

@@ -281,6 +281,29 @@ SELECT series_id, chunk, n_k, n_eff,
 SELECT series_id, count(*) AS chunks, count(*) FILTER (WHERE n_eff <= 2) AS failed,
   CASE WHEN max(n_eff) <= 2 THEN 'no_model' ELSE 'ok' END AS status FROM stats GROUP BY 1""",
     ),
+    "order_search_ar": _query(
+        [
+            EVENTS, INDEXED, _chunked(CHUNKS),
+            AR1.replace("slopes", "slopes1").replace("models", "models1"),
+            AR2.replace("slopes", "slopes2").replace("models", "models2"),
+        ],
+        """, fits AS (
+  SELECT series_id, chunk, 1 AS p, n_k, n_k * ln(sigma2 * (n_k - 2) / (n_k - 1)) + 6 AS aic, 3 AS k FROM models1
+  UNION ALL
+  SELECT series_id, chunk, 2, n_k, n_k * ln(sigma2 * (n_k - 3) / (n_k - 2)) + 8, 4 FROM models2),
+ranked AS (SELECT *, aic + 2.0 * k * (k + 1) / (n_k - k - 1) AS aicc FROM fits)
+SELECT series_id, chunk, arg_min(p, aicc) AS p, round(min(aicc), 6) AS aicc FROM ranked GROUP BY 1, 2""",
+    ),
+    "sarima_css_ar": _query(
+        [EVENTS, INDEXED, _chunked(CHUNKS), AR2],
+        """SELECT series_id, chunk, n_k, round(sigma2, 4) AS sigma2, round(c0 / (1 - pi1 - pi2), 4) AS mean,
+  round(pi1, 4) + 0.0 AS pi1, round(pi2, 4) + 0.0 AS pi2 FROM models""",
+    ),
+    "whole_series_ar2": _query(
+        [EVENTS, SPLIT, _chunked(1), AR2, GLOBAL2, _steps(HORIZON, "HOUR")],
+        f"SELECT series_id, step, {_r('pred', 'se')} FROM steps",
+        recursive=True,
+    ),
     "dlsa_weighted": _query(
         [EVENTS, INDEXED, _chunked(CHUNKS), AR2, GLOBAL2],
         """SELECT series_id, pos, round(theta, 6) + 0.0 AS theta FROM (
