@@ -24,8 +24,9 @@ def combine_terms(local: DataFrame) -> DataFrame:
     coefficient and task for the shuffle, so a series with very many chunks is no hot spot.
     """
     usable = local.filter(F.col("status") == "ok")
+    # the outer form, as the plain one has the optimizer compute the array once more in a filter
     terms = usable.select(
-        "series_id", "n_k", (F.col("n_k") / F.col("sigma2")).alias("w"), F.posexplode("coef").alias("pos", "c")
+        "series_id", "n_k", (F.col("n_k") / F.col("sigma2")).alias("w"), F.posexplode_outer("coef").alias("pos", "c")
     )
     return terms.groupBy("series_id", "pos").agg(
         (F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("theta"),

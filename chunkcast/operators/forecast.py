@@ -164,7 +164,7 @@ def forecast_steps(train: DataFrame, model: DataFrame, h: int, p: int, interval_
         lambda pred, psi: F.struct(pred.alias("pred"), psi.alias("psi")),
     )
     # the generator carries scalars only, never the arrays themselves
-    rows = forecast_path(tails, h, p).select("series_id", "last_ts", "sigma2", F.posexplode(zipped).alias("at", "v"))
+    rows = forecast_path(tails, h, p).select("series_id", "last_ts", "sigma2", F.posexplode_outer(zipped).alias("at", "v"))
     running = Window.partitionBy("series_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     step = F.col("at") + 1
     return rows.select(

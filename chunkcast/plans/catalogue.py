@@ -57,8 +57,15 @@ def events_staged(spark: SparkSession, d: str, by_type: bool = True) -> DataFram
     return staged(events_split(spark, d, by_type), "events")
 
 
-def events_chunked(spark: SparkSession, d: str, chunks: int = CHUNKS) -> DataFrame:
-    return pr.assign_chunks(events_indexed(spark, d), chunks)
+def events_chunked(
+    spark: SparkSession, d: str, chunks: int = CHUNKS, max_chunk_rows: int | None = None
+) -> DataFrame:
+    return pr.assign_chunks(events_indexed(spark, d), chunks, max_chunk_rows)
+
+
+def events_for_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks for the fits that hold a chunk in one task, with its length bounded."""
+    return events_chunked(spark, d, max_chunk_rows=ForecastConfig.max_chunk_rows)
 
 
 def orders_indexed(spark: SparkSession, d: str, by_priority: bool = False) -> DataFrame:
@@ -193,21 +200,21 @@ def order_search_ar(spark, d):
 def order_search(spark, d):
     """Best seasonal model per chunk out of all orders up to 1, candidates dealt to two tasks."""
     config = ForecastConfig(period=24, search=SearchOptions(max_p=1, max_q=1, max_P=1, max_Q=1, max_order=3))
-    models = fit_sarima(events_chunked(spark, d), config, slots=2)
+    models = fit_sarima(events_for_fit(spark, d), config, slots=2)
     return rounded(models.select(*MODEL_VIEW, "sigma2", "aicc"), "sigma2", "aicc", digits=3)
 
 
 def order_search_approximate(spark, d):
     """The full grid ranked by two-stage regressions, only the winner fitted."""
     config = ForecastConfig(period=24, search=SearchOptions(approximation=True))
-    models = fit_sarima(events_chunked(spark, d), config)
+    models = fit_sarima(events_for_fit(spark, d), config)
     return rounded(models.select(*MODEL_VIEW, "sigma2"), "sigma2", digits=3)
 
 
 def sarima_css(spark, d):
     """Seasonal models of a fixed order with moving-average terms."""
     config = ForecastConfig(period=24, order=(1, 0, 1), seasonal=(1, 0, 0), search=SearchOptions(allow_drift=False))
-    models = fit_sarima(events_chunked(spark, d), config)
+    models = fit_sarima(events_for_fit(spark, d), config)
     parts = {f"{c}1": F.get(c, F.lit(0)) for c in ("ar", "ma", "sar")}
     out = models.withColumns(parts).select(*MODEL_VIEW, *parts, "mean", "sigma2")
     return rounded(out, *parts, "mean", "sigma2", digits=3)
@@ -216,7 +223,7 @@ def sarima_css(spark, d):
 def sarima_css_ar(spark, d):
     """The seasonal fitter on a pure autoregression, which must agree with plain least squares."""
     config = ForecastConfig(period=1, order=(2, 0, 0), search=SearchOptions(allow_drift=False))
-    models = fit_sarima(events_chunked(spark, d), config)
+    models = fit_sarima(events_for_fit(spark, d), config)
     out = models.select(
         "series_id", "chunk", "n_k", "sigma2", "mean", *[F.get("ar", F.lit(i - 1)).alias(f"pi{i}") for i in (1, 2)]
     )
@@ -224,7 +231,7 @@ def sarima_css_ar(spark, d):
 
 
 def diff_orders(spark, d):
-    chunked = pr.assign_chunks(shipments_indexed(spark, d), CHUNKS)
+    chunked = pr.assign_chunks(shipments_indexed(spark, d), CHUNKS, ForecastConfig.max_chunk_rows)
     return choose_differences(chunked, ForecastConfig(period=7))
 
 
@@ -286,13 +293,13 @@ def moment_models(spark: SparkSession, d: str) -> DataFrame:
 
 def poly_product(spark, d):
     polys = ex.lag_polynomials(moment_models(spark, d))
-    terms = polys.select("series_id", "chunk", F.posexplode("ar_poly").alias("lag", "coef"))
+    terms = polys.select("series_id", "chunk", F.posexplode_outer("ar_poly").alias("lag", "coef"))
     return rounded(terms.filter(F.abs("coef") > 1e-9), "coef")
 
 
 def pi_weights(spark, d):
     weights = ex.pi_weights(moment_models(spark, d), TOL)
-    return rounded(weights.select("series_id", "chunk", F.posexplode("pi").alias("lag", "weight")), "weight")
+    return rounded(weights.select("series_id", "chunk", F.posexplode_outer("pi").alias("lag", "weight")), "weight")
 
 
 def ar_intercept_trend(spark, d):
@@ -326,7 +333,7 @@ def forecast_ar2(spark, d):
 
 def psi_weights(spark, d):
     model = fc.psi_weights(trained_model(pr.train_rows(events_split(spark, d))), HORIZON)
-    return rounded(model.select("series_id", F.posexplode("psi").alias("lag", "psi")), "psi")
+    return rounded(model.select("series_id", F.posexplode_outer("psi").alias("lag", "psi")), "psi")
 
 
 def forecast_se(spark, d):

@@ -30,7 +30,7 @@ def forecast_whole_series(train: DataFrame, config: ForecastConfig, slots: int =
     """Comparison run: the same steps with one chunk per series, the candidates of a series dealt to
     ``slots`` tasks. A series beyond ``max_chunk_rows`` is still cut, so no task outgrows that."""
     single = ForecastConfig(**{**config.__dict__, "chunks": 1})
-    model = cb.combine(fit_chunks(train, single, slots))
+    model = staged(cb.combine(staged(fit_chunks(train, single, slots), "local")), "model")
     return fc.forecast(train, model, config.h, config.tol, config.interval_seconds, list(config.levels))
 
 
