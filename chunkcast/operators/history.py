@@ -14,14 +14,11 @@ def with_halo(df: DataFrame, p: int, pos: str, block_rows: int = BLOCK_ROWS) ->
     Only rows near the end of a block are copied. A block holds at most ``block_rows + p`` rows, so
     the windows over it stay bounded for a scope of any length.
     """
-    size = F.lit(max(block_rows, 4 * p)).cast("bigint")
-    own = F.floor((F.col(pos) - 1) / size)
-    last = F.floor((F.col(pos) - 1 + p) / size)
+    size = max(block_rows, 4 * p)
     return (
-        df.withColumn("_own", own)
-        .withColumn("_block", F.explode(F.sequence(F.col("_own"), last)))
-        .withColumn("_halo", F.col("_block") > F.col("_own"))
-        .drop("_own")
+        df.selectExpr("*", f"({pos} - 1) DIV {size} AS _own")
+        .selectExpr("*", f"explode(sequence(_own, ({pos} - 1 + {p}) DIV {size})) AS _block")
+        .selectExpr("* EXCEPT (_own)", "_block > _own AS _halo")
     )
 
 

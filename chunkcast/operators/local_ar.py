@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from chunkcast.operators.history import BLOCK_ROWS, add_lags
 
@@ -22,38 +22,37 @@ COLLINEAR = 1e-12
 
 
 def covariance_sums(
-    rows: DataFrame, keys: list[str], target: str, predictors: list[str], carry: list[Column] = ()
+    rows: DataFrame, keys: list[str], target: str, predictors: list[str], carry: list[str] = ()
 ) -> DataFrame:
     """``n_eff``, ``means`` (predictors then target) and the flattened covariance ``cov`` per key,
-    over the rows where target and predictors are all present."""
+    over the rows where target and predictors are all present; ``carry`` adds further aggregates."""
     names = [*predictors, target]
-    complete = F.lit(True)
-    for c in names:
-        complete = complete & F.col(c).isNotNull()
-    used = {c: F.when(complete, F.col(c).cast("double")) for c in names}
-    cells = {}
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            cells[a, b] = F.var_pop(used[a]) if a == b else F.covar_pop(used[a], used[b])
-    flat = [cells[(a, b) if (a, b) in cells else (b, a)] for a in names for b in names]
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_k"),
-        F.count(F.when(complete, 1)).alias("n_eff"),
-        F.array(*[F.avg(used[c]) for c in names]).alias("means"),
-        F.array(*flat).alias("cov"),
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    used = {c: f"CASE WHEN {complete} THEN CAST({c} AS DOUBLE) END" for c in names}
+    masked = rows.selectExpr("*", f"{complete} AS _complete", *[f"{e} AS _u_{c}" for c, e in used.items()])
+
+    def cell(a: str, b: str) -> str:
+        a, b = sorted((a, b), key=names.index)
+        return f"var_pop(_u_{a})" if a == b else f"covar_pop(_u_{a}, _u_{b})"
+
+    aggregates = [
+        "count(1) AS n_k",
+        "count_if(_complete) AS n_eff",
+        f"array({', '.join(f'avg(_u_{c})' for c in names)}) AS means",
+        f"array({', '.join(cell(a, b) for a in names for b in names)}) AS cov",
         *carry,
-    )
+    ]
+    return masked.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
 
 
-def _solve_closed_form(k: int) -> Column:
+def _closed_form(k: int) -> str:
     """Slopes for one or two predictors, null if they are collinear."""
-    v = lambda i, j: F.get("cov", F.lit(i * (k + 1) + j))
     if k == 1:
-        return F.when(v(0, 0) > 0, F.array(v(0, 1) / v(0, 0)))
-    det = v(0, 0) * v(1, 1) - v(0, 1) * v(0, 1)
-    b1 = (v(0, 2) * v(1, 1) - v(1, 2) * v(0, 1)) / det
-    b2 = (v(1, 2) * v(0, 0) - v(0, 2) * v(0, 1)) / det
-    return F.when(det > COLLINEAR * v(0, 0) * v(1, 1), F.array(b1, b2))
+        return "CASE WHEN cov[0] > 0 THEN array(cov[1] / cov[0]) END"
+    det = "(cov[0] * cov[4] - cov[1] * cov[1])"
+    first = f"(cov[2] * cov[4] - cov[5] * cov[1]) / {det}"
+    second = f"(cov[5] * cov[0] - cov[2] * cov[1]) / {det}"
+    return f"CASE WHEN {det} > {COLLINEAR!r}D * cov[0] * cov[4] THEN array({first}, {second}) END"
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -76,29 +75,25 @@ def _solve_small(covs: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def solve_least_squares(sums: DataFrame, k: int) -> DataFrame:
-    """Add ``slopes``, ``intercept``, ``sse`` to the output of :func:`covariance_sums`."""
-    slopes = _solve_closed_form(k) if k <= 2 else _solve_small.asNondeterministic()("cov")
-    inner = lambda a, b: F.aggregate(
-        F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-    )
+    """Add ``slopes``, ``intercept`` and ``sse`` to the output of :func:`covariance_sums`."""
+    slopes = F.expr(_closed_form(k)) if k <= 2 else _solve_small.asNondeterministic()("cov")
+
+    def inner(first: int) -> str:
+        return " + ".join(f"slopes[{i}] * {'means' if first < 0 else 'cov'}[{i + max(first, 0)}]" for i in range(k))
+
     # the covariances of the target with the predictors are the first k cells of the last row
-    cross = F.slice("cov", k * (k + 1) + 1, k)
-    spread = F.get("cov", F.lit((k + 1) * (k + 1) - 1))
-    return (
-        sums.withColumn("slopes", slopes)
-        .withColumn("intercept", F.get("means", F.lit(k)) - inner(F.col("slopes"), F.slice("means", 1, k)))
-        .withColumn("sse", F.col("n_eff") * (spread - inner(F.col("slopes"), cross)))
+    last = k * (k + 1)
+    return sums.withColumn("slopes", slopes).selectExpr(
+        "*",
+        f"means[{k}] - ({inner(-1)}) AS intercept",
+        f"n_eff * (cov[{last + k}] - ({inner(last)})) AS sse",
     )
 
 
-def fit_status(free: int) -> Column:
+def fit_status(free: int) -> str:
     """Why a chunk has no usable model, or ``ok``."""
-    return (
-        F.when(F.col("n_eff") <= free, "too_short")
-        .when(F.col("slopes").isNull(), "singular")
-        .when(~(F.col("sse") > 0), "degenerate")
-        .otherwise("ok")
-    )
+    return f"""CASE WHEN n_eff <= {free} THEN 'too_short' WHEN slopes IS NULL THEN 'singular'
+        WHEN NOT coalesce(sse > 0, false) THEN 'degenerate' ELSE 'ok' END"""
 
 
 def fit_local_ar(
@@ -120,19 +115,17 @@ def fit_local_ar(
         chunked.select(*CHUNK, "chunk_size", "pos", "y"), list(range(1, p + 1)), CHUNK, "pos",
         block_rows=block_rows,
     )
-    sums = covariance_sums(
-        rows, CHUNK, "y", predictors,
-        [((F.col("chunk") - 1) * F.max("chunk_size") + 1).alias("start")],
-    )
-    solved = solve_least_squares(sums, k).withColumn("status", fit_status(k + 1))
-    ok = F.col("status") == "ok"
-    c1 = F.get("slopes", F.lit(0)) if trend else F.lit(0.0)
-    pis = F.slice("slopes", 2, p) if trend else F.col("slopes")
-    return solved.select(
-        *CHUNK, "start", "n_k", "n_eff",
-        F.when(ok, F.col("sse") / (F.col("n_k") - (k + 1))).alias("sigma2"),
-        F.when(ok, F.concat(F.array("intercept", c1), pis)).alias("coef"),
-        "status", "means", "cov",
+    sums = covariance_sums(rows, CHUNK, "y", predictors, ["max(chunk_size) AS chunk_size"])
+    c1, pis = ("slopes[0]", f"slice(slopes, 2, {p})") if trend else ("0D", "slopes")
+    return (
+        solve_least_squares(sums, k)
+        .selectExpr("*", f"{fit_status(k + 1)} AS status")
+        .selectExpr(
+            *CHUNK, "(chunk - 1) * chunk_size + 1 AS start", "n_k", "n_eff",
+            f"CASE WHEN status = 'ok' THEN sse / (n_k - {k + 1}) END AS sigma2",
+            f"CASE WHEN status = 'ok' THEN concat(array(intercept, {c1}), {pis}) END AS coef",
+            "status", "means", "cov",
+        )
     )
 
 

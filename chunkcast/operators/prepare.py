@@ -51,10 +51,11 @@ def index_series(series: DataFrame, interval_seconds: int, cell_rows: int = CELL
     A series with at most one row per interval has at most ``cell_rows`` rows per time cell, however
     long it is; each cell is ranked on its own and shifted by the number of earlier rows. For feeds
     with many rows per interval use :func:`index_series_by_range`. Rows with equal time are ordered
-    by value. The counts read the same aggregated input as the rows, so Spark computes that once.
+    by value. The counts read the same aggregated input as the rows, so Spark computes that once;
+    the cell is kept free of nulls, as a null check on one side only would make the inputs differ.
     """
     width = F.lit(interval_seconds * cell_rows).cast("bigint")
-    in_cells = series.withColumn("_cell", F.floor(epoch_seconds("ts") / width))
+    in_cells = series.withColumn("_cell", F.coalesce(F.floor(epoch_seconds("ts") / width), F.lit(0)))
     before = Window.partitionBy("series_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("series_id")
     offsets = (

@@ -55,9 +55,9 @@ def series_from_rows(
 ) -> DataFrame:
     """Sum ``value`` per series and interval of ``interval_seconds``.
 
-    Values are summed as ``decimal(18,2)``, so the result does not depend on the order of rows. The
-    sum is partial before the shuffle: a series or an interval that holds most of the rows reaches
-    the shuffle as one row per task.
+    Values are rounded to hundredths and summed as whole numbers, so the result does not depend on
+    the order of rows. The sum is partial before the shuffle: a series or an interval that holds
+    most of the rows reaches the shuffle as one row per task.
     """
     if series_id is None:
         series_id = F.lit("all")
@@ -68,7 +68,7 @@ def series_from_rows(
     return (
         rows.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
         .groupBy(series_id.cast("string").alias("series_id"), slot.alias("_slot"))
-        .agg(F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("y"))
+        .agg((F.sum(F.rint(F.col(value) * 100).cast("bigint")) / 100).alias("y"))
         .select("series_id", from_epoch_seconds(F.col("_slot")).alias("ts"), "y")
     )
 
