@@ -43,6 +43,11 @@ class Order:
             cols.append(np.arange(1.0, n + 1))
         return np.array([self.difference(c) for c in cols]) if cols else np.zeros((0, n))
 
+    def constants(self) -> int:
+        """Free constants of the differenced model without a trend left in it."""
+        differences = self.d + self.sd
+        return int((differences == 0 and self.mean) or (differences == 1 and self.drift))
+
     def difference(self, x: np.ndarray) -> np.ndarray:
         for _ in range(self.sd):
             x = x[self.m :] - x[: -self.m]
@@ -98,7 +103,18 @@ class CssProblem:
     """Residuals and their derivatives as functions of [ar, sar, ma, sma, regression] parameters."""
 
     def __init__(self, y: np.ndarray, order: Order):
-        self.o, self.w, self.x = order, order.difference(y), order.regressors(len(y))
+        self._hold(order, order.difference(y), order.regressors(len(y)))
+
+    @classmethod
+    def of_differenced(cls, w: np.ndarray, order: Order) -> CssProblem:
+        """The same problem for a stretch of an already differenced series, whose only regressor can
+        be a constant."""
+        made = cls.__new__(cls)
+        made._hold(order, w, np.full((order.constants(), len(w)), float(order.m if order.sd else 1)))
+        return made
+
+    def _hold(self, order: Order, w: np.ndarray, x: np.ndarray) -> None:
+        self.o, self.w, self.x = order, w, x
         self.cuts = np.cumsum([order.p, order.sp, order.q, order.sq])
         self.start = order.p + order.m * order.sp
         self.free = int(self.cuts[-1]) + len(self.x)

@@ -9,17 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chunkcast.config import ForecastConfig, SearchOptions
 from chunkcast.functions.boxcox import inv_box_cox
+from chunkcast.functions.css import Order
 from chunkcast.operators import combine as cb
 from chunkcast.operators import evaluate as ev
 from chunkcast.operators import expand as ex
 from chunkcast.operators import forecast as fc
 from chunkcast.operators import prepare as pr
 from chunkcast.operators.history import add_lags
-from chunkcast.config import ForecastConfig, SearchOptions
 from chunkcast.operators.local_ar import fit_local_ar, rebase_trend
 from chunkcast.operators.local_sarima import diff_orders as choose_differences
 from chunkcast.operators.local_sarima import fit_sarima, search_ar
+from chunkcast.operators.whole_sarima import fit_whole_sarima
 from chunkcast.plans import runs
 from chunkcast.session import staged
 from chunkcast.sources import series as src
@@ -230,6 +232,22 @@ def sarima_css_ar(spark, d):
     return rounded(out, "sigma2", "mean", "pi1", "pi2", digits=4)
 
 
+def sarima_whole(spark, d):
+    """A moving-average model of each whole series, fitted by passes over blocks of its rows."""
+    models = fit_whole_sarima(staged(events_indexed(spark, d), "events"), Order(1, 0, 1, 1, 0, 0, 24), tol=200)
+    parts = {f"{c}1": F.get(c, F.lit(0)) for c in ("ar", "ma", "sar")}
+    return rounded(models.withColumns(parts).select(*MODEL_VIEW, *parts, "mean", "sigma2"), *parts, "mean", "sigma2", digits=2)
+
+
+def sarima_whole_ar(spark, d):
+    """The same fitter on a pure autoregression, which must agree with plain least squares."""
+    models = fit_whole_sarima(staged(events_indexed(spark, d), "events"), Order(2, 0, 0), tol=50)
+    out = models.select(
+        "series_id", "n_k", "sigma2", "mean", *[F.get("ar", F.lit(i - 1)).alias(f"pi{i}") for i in (1, 2)]
+    )
+    return rounded(out, "sigma2", "mean", "pi1", "pi2", digits=4)
+
+
 def diff_orders(spark, d):
     chunked = pr.assign_chunks(shipments_indexed(spark, d), CHUNKS, ForecastConfig.max_chunk_rows)
     return choose_differences(chunked, ForecastConfig(period=7))
@@ -455,7 +473,8 @@ QUERIES = {
         hourly_series, hourly_total, daily_orders_series, daily_shipments_series, series_sizes, row_index,
         row_index_ranged, gap_fill, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
         ar1_local, ar2_local, ar1_trend_local, local_weights, model_rows, model_status,
-        order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar, diff_orders,
+        order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar,
+        sarima_whole, sarima_whole_ar, diff_orders,
         dlsa_weighted, dlsa_orders, global_sigma2, dlsa_full_p2,
         poly_product, pi_weights, ar_intercept_trend,
         lag_design, fitted_residuals, forecast_ar2, psi_weights, forecast_se, intervals_multi,

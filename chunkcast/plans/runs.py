@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from chunkcast.config import ForecastConfig
+from chunkcast.functions.css import Order
 from chunkcast.operators import combine as cb
 from chunkcast.operators import evaluate as ev
 from chunkcast.operators import forecast as fc
@@ -15,6 +16,7 @@ from chunkcast.operators import prepare as pr
 from chunkcast.operators.expand import expand_models
 from chunkcast.operators.local_ar import rebase_trend
 from chunkcast.operators.local_sarima import fit_sarima
+from chunkcast.operators.whole_sarima import fit_whole_sarima
 from chunkcast.session import staged
 from chunkcast.sources.sinks import write_bundle
 
@@ -26,11 +28,24 @@ def fit_chunks(train: DataFrame, config: ForecastConfig, slots: int = 1) -> Data
     return rebase_trend(local) if config.rebase_trend else local
 
 
-def forecast_whole_series(train: DataFrame, config: ForecastConfig, slots: int = 1) -> DataFrame:
-    """Comparison run: the same steps with one chunk per series, the candidates of a series dealt to
-    ``slots`` tasks. A series beyond ``max_chunk_rows`` is still cut, so no task outgrows that."""
-    single = ForecastConfig(**{**config.__dict__, "chunks": 1})
-    model = staged(cb.combine(staged(fit_chunks(train, single, slots), "local")), "model")
+def forecast_whole_series(
+    train: DataFrame, config: ForecastConfig, slots: int = 1, distributed: bool = False
+) -> DataFrame:
+    """Comparison run: one model per series.
+
+    By default the same steps with one chunk per series, the candidates of a series dealt to
+    ``slots`` tasks; a series beyond ``max_chunk_rows`` is still cut, so no task outgrows that.
+    ``distributed`` fits a fixed order to all rows of a series of any length.
+    """
+    if distributed:
+        (p, d, q), (sp, sd, sq) = config.order, config.seasonal
+        drift = config.search.allow_drift and d + sd == 1
+        order = Order(p, d, q, sp, sd, sq, config.period, config.search.allow_mean, drift)
+        local = expand_models(fit_whole_sarima(train, order, config.tol), config.tol)
+    else:
+        single = ForecastConfig(**{**config.__dict__, "chunks": 1})
+        local = fit_chunks(train, single, slots)
+    model = staged(cb.combine(staged(local, "local")), "model")
     return fc.forecast(train, model, config.h, config.tol, config.interval_seconds, list(config.levels))
 
 

@@ -297,6 +297,11 @@ SELECT series_id, chunk, arg_min(p, aicc) AS p, round(min(aicc), 6) AS aicc FROM
     "sarima_css_ar": _query(
         [EVENTS, INDEXED, _chunked(CHUNKS), AR2],
         """SELECT series_id, chunk, n_k, round(sigma2, 4) AS sigma2, round(c0 / (1 - pi1 - pi2), 4) AS mean,
+  round(pi1, 4) + 0.0 AS pi1, round(pi2, 4) + 0.0 AS pi2 FROM models""",
+    ),
+    "sarima_whole_ar": _query(
+        [EVENTS, INDEXED, _chunked(1), AR2],
+        """SELECT series_id, n_k, round(sigma2, 4) AS sigma2, round(c0 / (1 - pi1 - pi2), 4) AS mean,
   round(pi1, 4) + 0.0 AS pi1, round(pi2, 4) + 0.0 AS pi2 FROM models""",
     ),
     "whole_series_ar2": _query(

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Rows of one series per written file.
+FILE_ROWS = 5_000_000
+
 
 def write_series_csv(split: DataFrame, folder: str) -> None:
-    """Train and hold-out values per series as ``series_id=../split=../*.csv`` with ``demand,time``."""
-    rows = split.select(
+    """Train and hold-out values per series as ``series_id=../split=../*.csv`` with ``demand,time``.
+
+    Rows are brought together by series and stretch of positions, so a short series is one file and
+    a long one is many files written by many tasks.
+    """
+    rows = split.repartition("series_id", "split", F.expr(f"idx DIV {FILE_ROWS}")).select(
         "series_id", "split", F.col("y").alias("demand"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
     )

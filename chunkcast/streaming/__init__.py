@@ -1,0 +1 @@
+"""Intentionally empty: the forecasting method is a batch method and has no streaming operators."""

@@ -70,6 +70,13 @@ def test_whole_series_run_equals_one_chunk(spark, named):
     assert [r.pred for r in whole] == pytest.approx(forecast_loop(named["a"], local.coef, 12))
 
 
+def test_distributed_whole_series_run(spark, named):
+    train = pr.index_series(series_frame(spark, named["a"], "a"), HOUR)
+    one_task = runs.forecast_whole_series(train, SMALL).filter("level = 95").orderBy("step").collect()
+    by_blocks = runs.forecast_whole_series(train, SMALL, distributed=True).filter("level = 95").orderBy("step").collect()
+    assert [r.pred for r in by_blocks] == pytest.approx([r.pred for r in one_task], abs=1e-2)
+
+
 def test_chunked_and_whole_forecasts_are_close(spark):
     y = simulate(3000, ar=(0.6,), mean=20)
     train = pr.index_series(series_frame(spark, y, "a"), HOUR)
