@@ -82,11 +82,14 @@ def _advance(order: Order, tolerance: float):
                         jtj = np.asarray(r.jtj, dtype=float).reshape(len(theta), -1)
                         unit = np.sqrt(np.maximum(np.diag(jtj), 1e-300))
                         scaled = jtj / np.outer(unit, unit)
-                        step = -np.linalg.lstsq(scaled, np.asarray(r.jte, dtype=float) / unit, rcond=1e-12)[0] / unit
+                        slope = np.asarray(r.jte, dtype=float)
+                        step = -np.linalg.lstsq(scaled, slope / unit, rcond=1e-12)[0] / unit
                         base, sse, size = theta, r.new_sse, 1.0
+                        # nothing left that another step could gain
+                        done = done or -step @ slope <= tolerance * sse
                     else:
                         size /= 2
-                        done = size < 1e-4
+                        done = size < 1e-4 or r.new_sse - sse <= tolerance * sse
                     step, base = np.asarray(step, dtype=float), np.asarray(base, dtype=float)
                     probe = CssProblem.of_differenced(np.zeros(1), order)
                     while not done and not probe.stable(base + size * step) and size > 1e-6:

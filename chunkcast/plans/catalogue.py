@@ -234,8 +234,8 @@ def sarima_css_ar(spark, d):
 
 def sarima_whole(spark, d):
     """A moving-average model of each whole series, fitted by passes over blocks of its rows."""
-    models = fit_whole_sarima(staged(events_indexed(spark, d), "events"), Order(1, 0, 1, 1, 0, 0, 24), tol=200)
-    parts = {f"{c}1": F.get(c, F.lit(0)) for c in ("ar", "ma", "sar")}
+    models = fit_whole_sarima(staged(events_indexed(spark, d), "events"), Order(0, 0, 1, 1, 0, 0, 24), tol=200)
+    parts = {f"{c}1": F.get(c, F.lit(0)) for c in ("ma", "sar")}
     return rounded(models.withColumns(parts).select(*MODEL_VIEW, *parts, "mean", "sigma2"), *parts, "mean", "sigma2", digits=2)
 
 
