@@ -32,7 +32,7 @@ def ar_combined(k: int):
 
 def long_series(spark):
     """Shipments repeated to a million points in a row: indexing, chunking, fitting and combining."""
-    daily = src.daily_shipments(spark, SF_DIR)
+    daily = src.daily_shipments(spark, SF_DIR).repartition(4 * int(CPUS))
     copies = LONG_ROWS // 2500
     longer = daily.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(
         "series_id", (F.col("ts") + F.make_dt_interval(F.col("_copy") * 2600)).alias("ts"), (F.col("y") / 1e6).alias("y")
