@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkcast.llm import bitpack, decontaminate, jaccard_join, packing
+from chunkcast.llm import bitpack, decontaminate, jaccard_join, packing, quality, toxicity
+from chunkcast.llm.labelled import remainder
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +45,34 @@ def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def held_out(modulo: int, value: int):
+    return F.coalesce(remainder("doc_id", modulo) == value, F.lit(False))
+
+
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    field = toxicity.train(docs, table(spark, d, "labels"), "toxic")
+    found = docs.select("doc_id", toxicity.toxicity(docs, field).alias("found"))
+    score = F.col("found")["score"]
+    return found.select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.7).cast("int").alias("predicted"),
+        F.col("found")["spans"].alias("spans"),
+    )
+
+
+def op10_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, table(spark, d, "labels"), "quality", meta=("n_chars",))
+    scored = docs.select("doc_id", quality.quality_score(docs, machine, ("n_chars",)).alias("score"))
+    return scored.select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
-    f.__name__: f for f in (op3_jaccard_join, op4_bitpack, op7_decontamination, op8_packing)
+    f.__name__: f
+    for f in (op3_jaccard_join, op4_bitpack, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
 }

@@ -9,10 +9,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkcast.llm import decontaminate, jaccard_join, packing
+from chunkcast.llm import decontaminate, jaccard_join, packing, quality, toxicity
+from chunkcast.llm.decontaminate import free_name
 from chunkcast.session import staged
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, trained on the labelled ones, scores at 0.5 or more."""
+    machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", meta=("n_chars",))
+    score = free_name(docs, "_score")
+    return docs.withColumn(score, quality.quality_score(docs, machine, ("n_chars",))).where(F.col(score) >= 0.5).drop(score)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7."""
+    field = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
+    found = free_name(docs, "_found")
+    return docs.withColumn(found, toxicity.toxicity(docs, field)).where(F.col(found)["score"] < 0.7).drop(found)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id.
 
@@ -40,6 +55,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
     ("near_duplicates", near_duplicates),
     ("benchmark_text", benchmark_text),
     ("packing", pack),
