@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkcast.llm import bitpack, decontaminate, jaccard_join, packing, quality, toxicity
+from chunkcast.llm import bitpack, decontaminate, jaccard_join, packing, quality, toxicity, url_filter, warc_zip
 from chunkcast.llm.labelled import remainder
 
 
@@ -13,6 +13,26 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: The contract's rules.
+URL_RULES = [
+    url_filter.Rule("allow", "org/"),
+    url_filter.Rule("block", "example.org/es/"),
+    url_filter.Rule("block", "example.org/en/1"),
+    url_filter.Rule("allow", "com/fr/"),
+    url_filter.Rule("block", "com/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled URLs are those that a rule judges."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    host, path = url_filter.host_and_path(F.col("url"))
+    _, verdict = url_filter.rule_of(host, path, URL_RULES)
+    labelled = pages.select("url", (verdict == "block").alias("blocked"))
+    judged = url_filter.judge_urls(pages, URL_RULES, url_filter.train(labelled, most_rows=20_000))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, d, "documents"), width=3, percent=90)
 
@@ -23,6 +43,11 @@ def op4_bitpack(spark: SparkSession, d: str) -> DataFrame:
     return bitpack.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_warc(spark: SparkSession, d: str) -> DataFrame:
+    manifest = warc_zip.write_packages(table(spark, d, "pages"), least_bytes=0)
+    return warc_zip.read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), window=13)
     one = F.col("found")
@@ -74,5 +99,5 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_jaccard_join, op4_bitpack, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
+    for f in (op1_url_filter, op3_jaccard_join, op4_bitpack, op5_warc, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
 }
