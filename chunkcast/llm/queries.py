@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkcast.llm import bitpack, decontaminate, jaccard_join, packing, quality, toxicity, url_filter, warc_zip
+from chunkcast.llm import bitpack, decontaminate, jaccard_join, lm_score, packing, quality, toxicity, url_filter, warc_zip
 from chunkcast.llm.labelled import remainder
 
 
@@ -33,6 +33,12 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model, words = lm_score.train(docs)
+    return lm_score.score_documents(docs, model, words)
+
+
 def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, d, "documents"), width=3, percent=90)
 
@@ -99,5 +105,5 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op3_jaccard_join, op4_bitpack, op5_warc, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
+    for f in (op1_url_filter, op2_lm_score, op3_jaccard_join, op4_bitpack, op5_warc, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
 }
