@@ -9,13 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from chunkcast.session import staged
 
 
-def _forest(batches):
-    """A spanning forest of one partition's edges as stars around each tree's least vertex."""
-    parts = [b for b in batches]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    a, b = table.column(0).to_numpy(), table.column(1).to_numpy()
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of edges as stars around each tree's least vertex; without the loops."""
     names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
     root = np.arange(len(names))
@@ -29,7 +24,16 @@ def _forest(batches):
         if np.array_equal(root, before):
             break
     far = np.flatnonzero(root != np.arange(len(names)))
-    yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], ["a", "b"])
+    return names[far], names[root[far]]
+
+
+def _forest(batches):
+    """The forest of one partition's edges."""
+    parts = list(batches)
+    if parts:
+        table = pa.Table.from_batches(parts)
+        a, b = forest(table.column(0).to_numpy(), table.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

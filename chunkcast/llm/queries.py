@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkcast.llm import bitpack, decontaminate, jaccard_join, lm_score, packing, quality, toxicity, url_filter, warc_zip
+from chunkcast.llm import bitpack, decontaminate, hnsw, jaccard_join, lm_score, packing, quality, toxicity, url_filter, warc_zip
 from chunkcast.llm.labelled import remainder
 
 
@@ -54,6 +54,10 @@ def op5_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc_zip.read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, d, "embeddings"), least=0.9)
+
+
 def op7_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), window=13)
     one = F.col("found")
@@ -105,5 +109,5 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_lm_score, op3_jaccard_join, op4_bitpack, op5_warc, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
+    for f in (op1_url_filter, op2_lm_score, op3_jaccard_join, op4_bitpack, op5_warc, op6_embedding_dedup, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
 }
