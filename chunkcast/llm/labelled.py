@@ -18,8 +18,8 @@ def training_texts(
     extra: tuple[str, ...] = (),
     modulo: int = 3,
     held_out: int = 1,
-    most_rows: int = 8_000,
-    most_bytes: int = 48_000_000,
+    most_rows: int = 4_000,
+    most_bytes: int = 12_000_000,
 ) -> pa.Table:
     """``text, label`` (0 or 1) and ``extra`` columns of a bounded sample of labelled documents.
 

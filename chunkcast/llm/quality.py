@@ -25,14 +25,14 @@ WORD_BUCKETS = 1 << 17
 BINS = 12
 META_BUCKETS = 1 << 10
 
-_UPPER = np.zeros(256, np.int64)
-_UPPER[65:91] = 1
-_LETTER = np.zeros(256, np.int64)
-_LETTER[65:91] = _LETTER[97:123] = 1
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
-_MARK = np.zeros(256, np.int64)
-_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = 1
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 
 @dataclass
@@ -53,7 +53,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Batch:
     per_byte, per_word = np.maximum(size, 1), np.maximum(counts, 1)
 
     def share(of_byte: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(of_byte)])
+        total = np.concatenate([[0], np.cumsum(of_byte, dtype=np.int32)])
         return total[offsets[1:]] - total[offsets[:-1]]
 
     def by_word(of_word: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Batch:
     same = np.zeros(len(h), np.int64)
     same[1:] = h[1:] == h[:-1]
     same[first[counts > 0]] = 0
-    last = _MARK[data[ends - 1]] if len(ends) else np.zeros(0, np.int64)
+    last = _MARK[data[ends - 1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     two = last * (length > 1) * (_MARK[data[np.maximum(ends - 2, 0)]] if len(ends) else last)
     longest, top = np.zeros(rows), np.zeros(rows)
     new = np.ones(len(h), bool)
@@ -88,9 +88,9 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Batch:
         [
             np.log1p(size), np.log1p(counts), by_word(length) / per_word, np.log1p(longest), share(_UPPER[data]) / np.maximum(letters, 1),
             share(_DIGIT[data]) / per_byte, share(_MARK[data]) / per_byte, (size - by_word(length)) / per_byte,
-            share((data == 10).astype(np.int64)) / per_byte, share((data >= 128).astype(np.int64)) / per_byte,
+            share(data == 10) / per_byte, share(data >= 128) / per_byte,
             distinct / per_word, top / per_word, by_word(same) / per_word, by_word(last) / per_word,
-            share((data == 124).astype(np.int64)) / per_byte, by_word(two) / per_word,
+            share(data == 124) / per_byte, by_word(two) / per_word,
         ],
         axis=1,
     )
@@ -177,7 +177,8 @@ def fit(texts: pa.Table, meta: tuple[str, ...] = (), factors: int = 8, epochs: i
     if not len(labels):
         return machine
     data, offsets = text_buffers(texts.column("text"))
-    batch = describe(data, offsets)
+    parts = [describe(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+    batch = Batch(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("words", "n", "stats")))
     quantiles = np.linspace(0, 1, BINS + 1)[1:-1]
     machine.edges = [np.unique(np.quantile(batch.stats[:, k], quantiles)) for k in range(len(STATISTICS))]
     machine.v = rng.normal(0, 0.05, (size, factors)).astype(np.float32)

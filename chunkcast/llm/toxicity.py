@@ -58,8 +58,8 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Words:
     kinds += [hash_spans(low, s, np.minimum(s + k, e)) for k in PREFIXES]
     kinds += [hash_spans(low, np.maximum(e - k, s), e) for k in SUFFIXES]
     kinds.append(np.minimum(length, 24).astype(np.uint64))
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
-    wide = np.concatenate([[0], np.cumsum(data >= 128)])
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58), dtype=np.int32)])
+    wide = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
     shape = (digits[e] > digits[s]) + 2 * (wide[e] > wide[s]) + 4 * (data[s] != low[s]) if len(s) else np.zeros(0, np.int64)
     kinds += [shape.astype(np.uint64), np.zeros(len(s), np.uint64)]
     features = [(mix(x, np.full(1, np.uint64(k + 1))) % np.uint64(BUCKETS)).astype(np.int64) for k, x in enumerate(kinds)]
