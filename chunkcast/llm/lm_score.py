@@ -96,7 +96,7 @@ class NgramModel:
         at[first] = False  # no score for the beginning
         one = self.filters[0].levels(seq)
         p = (self.filters[0].means[one] + 1) / (self.n + self.v + 1)
-        context, new = self.filters[0].as_context(one)
+        context, new = self.filters[0].as_context(one) if self.order > 1 else (p, p)
         for k in range(2, self.order + 1):
             if len(seq) < k:
                 break
@@ -271,7 +271,7 @@ def train(
     model = NgramModel(order, n, v)
     least = max(1, int(np.ceil(n * share)))
     ends = words.where(F.col("h") == int(END.view(np.int64))).first()
-    model.filters.append(build_filter(words, least, ones=1, extra=(BEGIN, max(ends.c if ends else 1, least))))
+    model.filters.append(build_filter(words, least, ones=1, extra=(BEGIN, max(ends.c, least)) if ends else None))
     for k in range(2, order + 1):
         shorter = sc.broadcast(model.filters[-1])
         counts = staged(count_ngrams(texts, k, shorter, least), "ngram-counts")
