@@ -31,8 +31,10 @@ class ForecastConfig:
     """Everything one forecasting run needs besides the series itself.
 
     ``order=None`` asks for automatic orders; ``(p, d, q)`` and ``(P, D, Q)`` fix them.
-    ``max_chunk_rows`` raises the number of chunks of a series that is longer than
+    ``max_chunk_rows``, if given, raises the number of chunks of a series that is longer than
     ``chunks * max_chunk_rows``, so that one fitting task never holds more rows than that.
+    ``keep_unconverged`` uses the estimates of fits that stopped at their iteration limit or lie near
+    the unit circle, with their status; False leaves those chunks out.
     """
 
     period: int = 24
@@ -43,8 +45,9 @@ class ForecastConfig:
     order: tuple[int, int, int] | None = None
     seasonal: tuple[int, int, int] = (0, 0, 0)
     interval_seconds: int = 3600
-    max_chunk_rows: int | None = 100_000
+    max_chunk_rows: int | None = None
     rebase_trend: bool = True
+    keep_unconverged: bool = True
     search: SearchOptions = field(default_factory=SearchOptions)
 
     def __post_init__(self):

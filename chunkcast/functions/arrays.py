@@ -91,17 +91,30 @@ def append_array(df: DataFrame, name: str, compute: Callable[[pa.RecordBatch], l
     return df.mapInArrow(run, schema)
 
 
+def list_rows(column: pa.Array) -> list[np.ndarray | None]:
+    """The arrays of a list column as views of its flat values; a null element is NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[a:b] if v else None for a, b, v in zip(ends[:-1], ends[1:], valid)]
+
+
 def _stack(rows: list, width: int) -> np.ndarray:
     out = np.zeros((len(rows), width))
     for k, values in enumerate(rows):
-        values = np.asarray(values[:width], dtype=float)
-        out[k, : len(values)] = values
+        out[k, : min(len(values), width)] = values[:width]
     return out
 
 
 def _ratio_of_batch(nums: list, dens: list, terms: int) -> list:
-    """The recursion of all rows of a batch at once."""
-    known = [k for k, pair in enumerate(zip(nums, dens)) if None not in pair]
+    """The recursion of all rows of a batch, as many together as about 32 MB hold."""
+    step = max(1, 4_000_000 // (terms + 1))
+    if len(nums) > step:
+        parts = (_ratio_of_batch(nums[k : k + step], dens[k : k + step], terms) for k in range(0, len(nums), step))
+        return [row for part in parts for row in part]
+    known = [k for k, (a, b) in enumerate(zip(nums, dens)) if a is not None and b is not None]
     a = _stack([nums[k] for k in known], terms + 1)
     b = _stack([dens[k] for k in known], max((len(dens[k]) for k in known), default=1))
     q = b.shape[1] - 1
@@ -121,5 +134,5 @@ def add_series_ratio(df: DataFrame, num: str, den: str, terms: int, name: str) -
     if terms <= HOF_TERMS:
         ratio = let(lambda n, d: _series_ratio_hof(n, d, terms), F.col(num), F.col(den))
         return df.withColumn(name, F.when(F.col(num).isNotNull() & F.col(den).isNotNull(), ratio))
-    columns = lambda batch: [batch.column(c).to_pylist() for c in (num, den)]
+    columns = lambda batch: [list_rows(batch.column(c)) for c in (num, den)]
     return append_array(df, name, lambda batch: _ratio_of_batch(*columns(batch), terms))

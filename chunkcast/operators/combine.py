@@ -20,10 +20,10 @@ def add_weights(local: DataFrame) -> DataFrame:
 def combine_terms(local: DataFrame) -> DataFrame:
     """Combined coefficients in long form: ``(series_id, pos, theta, sigma2)``, pos from 0.
 
-    A chunk without a complete model counts in neither sum. Partial aggregation leaves one row per
+    A chunk without coefficients counts in neither sum. Partial aggregation leaves one row per
     coefficient and task for the shuffle, so a series with very many chunks is no hot spot.
     """
-    usable = local.filter(F.col("status") == "ok")
+    usable = local.filter(F.col("coef").isNotNull() & (F.col("sigma2") > 0))
     # the outer form, as the plain one has the optimizer compute the array once more in a filter
     terms = usable.select(
         "series_id", "n_k", (F.col("n_k") / F.col("sigma2")).alias("w"), F.posexplode_outer("coef").alias("pos", "c")
@@ -53,15 +53,23 @@ def combine(local: DataFrame) -> DataFrame:
 def full_covariance_terms(local: DataFrame) -> DataFrame:
     """Sigma_k^-1 = X'X / sigma2_k of each chunk as rows ``(series_id, chunk, i, j, v, vb)``.
 
-    Index 0 is the constant, index i the i-th lag; ``vb`` = v * coefficient j, so the right-hand
-    side of the combined system is a sum over the same rows. Needs the sums of a fit without trend.
+    Index 0 is the constant, index i the i-th lag; of a fit with trend index 1 is the position in the
+    series and index i + 1 the i-th lag. ``vb`` = v * coefficient j, so the right-hand side of the
+    combined system is a sum over the same rows. A fit with trend is given as it comes from the chunk,
+    with its own origin; the origin is moved to the start of the series here.
     """
-    side = F.size("means")  # lags + target, the same as constant + lags
-    augmented = lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.get("means", i - 1))
+    side = F.size("means")  # predictors + target, the same as constant + predictors
+    trend = side == F.size("coef")
+    first = F.col("start") if "start" in local.columns else F.lit(1)
+    shift = F.when(trend, first - 1).otherwise(F.lit(0))
+    mean = lambda i: F.get("means", i - 1) + F.when(trend & (i == 1), shift).otherwise(F.lit(0))
+    augmented = lambda i: F.when(i == 0, F.lit(1.0)).otherwise(mean(i))
     centred = lambda i, j: F.when((i == 0) | (j == 0), F.lit(0.0)).otherwise(
         F.get("cov", (i - 1) * side + j - 1)
     )
-    theta = F.when(F.col("j") == 0, F.get("coef", F.lit(0))).otherwise(F.get("coef", F.col("j") + 1))
+    constant = F.get("coef", F.lit(0)) - F.get("coef", F.lit(1)) * shift
+    at = F.col("j") + F.when(trend, F.lit(0)).otherwise(F.lit(1))
+    theta = F.when(F.col("j") == 0, constant).otherwise(F.get("coef", at))
     cells = (
         local.filter(F.col("status") == "ok")
         .withColumn("i", F.explode(F.sequence(F.lit(0), side - 1)))
@@ -132,7 +140,7 @@ def model_status(series_ids: DataFrame, local: DataFrame) -> DataFrame:
     """
     chunks = local.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("chunks"),
-        F.count_if(F.col("status") != "ok").alias("failed"),
+        F.count_if(F.col("coef").isNull()).alias("failed"),
     )
     return (
         series_ids.select("series_id")

@@ -70,10 +70,18 @@ def intercept_and_trend(expanded: DataFrame) -> DataFrame:
     )
 
 
-def expand_models(models: DataFrame, tol: int) -> DataFrame:
-    """Models with ``coef = [c0, c1, pi_1..pi_tol]`` in place of their parts."""
+#: States of a fit that has estimates, though its status says that they need a look.
+ESTIMATED = ("ok", "no_convergence", "near_unit_root")
+
+
+def expand_models(models: DataFrame, tol: int, keep_unconverged: bool = True) -> DataFrame:
+    """Models with ``coef = [c0, c1, pi_1..pi_tol]`` in place of their parts.
+
+    A model has coefficients if its fit gave estimates; those that did not converge keep theirs, and
+    their status, unless ``keep_unconverged`` is false.
+    """
     expanded = intercept_and_trend(pi_weights(models, tol))
-    usable = F.col("status") == "ok"
+    usable = F.col("status").isin(*(ESTIMATED if keep_unconverged else ("ok",)))
     return expanded.withColumn("coef", F.when(usable, F.concat(F.array("c0", "c1"), "pi"))).drop(
         "ar_poly", "ma_poly", "pi", "c0", "c1"
     )

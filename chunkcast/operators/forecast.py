@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chunkcast.functions.arrays import add_series_ratio, append_array, dot, let
+from chunkcast.functions.arrays import add_series_ratio, append_array, dot, let, list_rows
 from chunkcast.functions.boxcox import inv_box_cox
 from chunkcast.functions.timeaxis import shift_seconds
 from chunkcast.operators.history import BLOCK_ROWS, block_window, with_halo
@@ -63,6 +63,9 @@ def fitted_values(train: DataFrame, model: DataFrame, p: int, block_rows: int =
         out = rows.select("series_id", "idx", "y", fit.alias("fitted"))
     else:
         halo = with_halo(train.select("series_id", "idx", "y"), p, "idx", block_rows)
+        # new column identities, as the model may come from the same rows
+        models = models.select(*[F.col(c).alias(c) for c in models.columns])
+        halo = halo.select(*[F.col(c).alias(c) for c in halo.columns])
         out = (
             halo.groupBy("series_id", "_block")
             .cogroup(models.groupBy("series_id", "_block"))
@@ -105,12 +108,15 @@ def recent_values(train: DataFrame, p: int) -> DataFrame:
 
 def forecast_path(tails: DataFrame, h: int, p: int) -> DataFrame:
     """Add ``path`` = the h recursive forecasts of rows with ``coef``, ``n`` and ``recent``; null if
-    the model is missing or fewer than p values precede the forecast."""
+    the model is missing, fewer values than it has lags precede the forecast, or one of those is
+    missing. ``p`` decides only where the recursion runs, not its result."""
     if h < 1:
         raise ValueError("h must be at least 1")
     if h * p <= HOF_WORK:
         path = let(lambda *v: _walk(*v, h), *[F.col(c) for c in ("coef", "n", "recent")])
-        return tails.withColumn("path", F.when(F.size("recent") >= p, path))
+        used = F.slice("recent", 1, F.size("coef") - 2)
+        known = ~F.exists(used, lambda y: y.isNull() | F.isnan(y))
+        return tails.withColumn("path", F.when((F.size("recent") >= F.size("coef") - 2) & known, path))
     return append_array(tails, "path", lambda batch: _walk_batch(batch, h))
 
 
@@ -126,13 +132,14 @@ def _walk(coef: Column, n: Column, recent: Column, h: int) -> Column:
 
 def _walk_batch(batch: pa.RecordBatch, h: int) -> list:
     out = []
-    for coef, n, recent in zip(*(batch.column(c).to_pylist() for c in ("coef", "n", "recent"))):
-        if coef is None or recent is None or len(recent) < len(coef) - 2:
+    columns = (list_rows(batch.column("coef")), batch.column("n").to_pylist(), list_rows(batch.column("recent")))
+    for coef, n, recent in zip(*columns):
+        if coef is None or recent is None or len(recent) < len(coef) - 2 or np.isnan(recent[: len(coef) - 2]).any():
             out.append(None)
             continue
-        pi = np.asarray(coef[2:])[::-1]
+        pi = coef[2:][::-1]
         p = len(pi)
-        y = np.concatenate([np.asarray(recent)[:p][::-1], np.empty(h)])
+        y = np.concatenate([recent[:p][::-1], np.empty(h)])
         trend = coef[0] + coef[1] * (n + np.arange(1, h + 1))
         for i in range(h):
             y[p + i] = trend[i] + pi @ y[i : p + i]
@@ -183,11 +190,12 @@ def check_levels(levels: float | Sequence[float] = (80, 95), fan: bool = False)
     levels = [float(levels)] if isinstance(levels, (int, float)) else [float(x) for x in levels]
     if not levels:
         raise ValueError("at least one level is needed")
-    if min(levels) > 0 and max(levels) < 1:
-        return [100 * x for x in levels]
-    if min(levels) < 0 or max(levels) > 99.99:
-        raise ValueError("confidence level out of range")
-    return levels
+    scale = 100 if all(0 < x < 1 for x in levels) else 1
+    scaled = [scale * x for x in levels]
+    for given, percent in zip(levels, scaled):
+        if not 0 <= percent <= 99.99 and scale == 1:
+            raise ValueError(f"confidence level {given:g} lies outside 0 to 99.99 percent")
+    return scaled
 
 
 def quantile_of(level: float) -> float:

@@ -97,10 +97,12 @@ def fit_candidates(chunked: DataFrame, config: ForecastConfig, slots: int = 1) -
     """All candidate models of each chunk.
 
     ``slots`` deals the candidates of one chunk to that many tasks, each with a copy of the chunk;
-    use it when there are fewer chunks than cores.
+    use it when there are fewer chunks than cores. It has no influence on the result: an approximate
+    search, which ranks all candidates of a chunk before it fits the best, takes one task per chunk.
     """
     options, m = config.search, config.period
     candidates = candidate_orders(options, m)
+    slots = 1 if options.approximation else slots
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = _values(pdf)

@@ -24,7 +24,8 @@ def clean(series: DataFrame) -> DataFrame:
 def fill_gaps(series: DataFrame, interval_seconds: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add the missing intervals between the first and the last time of each series, with null y.
 
-    The grid is generated cell by cell, so no single array spans a long series.
+    The grid is generated cell by cell, and the cells are dealt to tasks before they are filled, so
+    neither an array nor a task spans a long series.
     """
     step = F.lit(interval_seconds).cast("bigint")
     width = F.lit(interval_seconds * cell_rows).cast("bigint")
@@ -34,6 +35,7 @@ def fill_gaps(series: DataFrame, interval_seconds: int, cell_rows: int = CELL_RO
     grid = (
         span.withColumn("_from", F.explode(F.sequence("_lo", "_hi", width)))
         .withColumn("_to", F.least(F.col("_from") + width - step, F.col("_hi")))
+        .repartition("series_id", "_from")
         .select("series_id", F.explode(F.sequence("_from", "_to", step)).alias("_slot"))
         .select("series_id", from_epoch_seconds(F.col("_slot")).alias("ts"))
     )
@@ -51,7 +53,7 @@ def index_series(series: DataFrame, interval_seconds: int, cell_rows: int = CELL
     A series with at most one row per interval has at most ``cell_rows`` rows per time cell, however
     long it is; each cell is ranked on its own and shifted by the number of earlier rows. For feeds
     with many rows per interval use :func:`index_series_by_range`. Rows with equal time are ordered
-    by value. The counts read the same aggregated input as the rows, so Spark computes that once;
+    by value; rows without a value, such as filled intervals, have a position too. The counts read the same aggregated input as the rows, so Spark computes that once;
     the cell is kept free of nulls, as a null check on one side only would make the inputs differ.
     """
     width = F.lit(interval_seconds * cell_rows).cast("bigint")
@@ -60,7 +62,7 @@ def index_series(series: DataFrame, interval_seconds: int, cell_rows: int = CELL
     whole = Window.partitionBy("series_id")
     offsets = (
         in_cells.groupBy("series_id", "_cell")
-        .agg(F.count("y").alias("_rows"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .select(
             "series_id",
             "_cell",
@@ -137,13 +139,18 @@ def test_rows(split: DataFrame) -> DataFrame:
 
 def index_holdout(holdout: DataFrame, interval_seconds: int) -> DataFrame:
     """``(series_id, step, ts, y)`` of separate hold-out rows in time order; null values keep their
-    step, so that later steps still meet the right forecast."""
-    marked = holdout.withColumn("_y", F.col("y")).withColumn("y", F.coalesce("y", F.lit(float("nan"))))
-    return index_series(marked, interval_seconds).select(
-        "series_id", F.col("idx").alias("step"), "ts", F.col("_y").alias("y")
+    step, so that later steps still meet the right forecast. Rows without a time take no step; count
+    them with :func:`untimed_rows`."""
+    return index_series(holdout.filter(F.col("ts").isNotNull()), interval_seconds).select(
+        "series_id", F.col("idx").alias("step"), "ts", "y"
     )
 
 
+def untimed_rows(rows: DataFrame) -> DataFrame:
+    """Rows without a time, per series."""
+    return rows.groupBy("series_id").agg(F.count_if(F.col("ts").isNull()).alias("untimed"))
+
+
 def assign_chunks(indexed: DataFrame, chunks: int, max_chunk_rows: int | None = None) -> DataFrame:
     """Add ``chunk`` 1..K of floor(n/K) rows each, the last one taking the remainder.
 

@@ -7,11 +7,14 @@ engines can be compared by value.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chunkcast.config import ForecastConfig, SearchOptions
 from chunkcast.functions.boxcox import inv_box_cox
-from chunkcast.functions.css import Order
+from chunkcast.functions.css import CssProblem, Order
 from chunkcast.operators import combine as cb
 from chunkcast.operators import evaluate as ev
 from chunkcast.operators import expand as ex
@@ -23,12 +26,18 @@ from chunkcast.operators.local_sarima import diff_orders as choose_differences
 from chunkcast.operators.local_sarima import fit_sarima, search_ar
 from chunkcast.operators.whole_sarima import fit_whole_sarima
 from chunkcast.plans import runs
-from chunkcast.session import staged
-from chunkcast.sources import series as src
+from chunkcast.session import shared_dir, staged
+from chunkcast.sources import series as src, sinks
 
 HOUR, DAY = 3600, 86400
 CHUNKS = 4
 HORIZON = 24
+# Lengths beyond the limits at which the expressions give way to Arrow functions.
+TOL_LONG, STEPS_LONG, LAGS_LONG = 250, 10_001, 26
+# Steps held out of customers' series, which are mostly short.
+STATUS_STEPS = 3
+# AR, MA and seasonal MA parameters at which the loss is compared.
+CSS_POINT = (0.3, 0.4, 0.25)
 
 
 # ---- shared pieces --------------------------------------------------------------------------
@@ -80,7 +89,7 @@ def shipments_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 def customers_indexed(spark: SparkSession, d: str) -> DataFrame:
     orders = spark.read.parquet(f"{d}/orders.parquet")
-    daily = src.series_from_rows(orders, "o_orderdate", "o_totalprice", DAY, "o_custkey")
+    daily = src.series_from_rows(orders, "o_orderdate", "o_totalprice", DAY, "o_custkey", src.MONEY_DIGITS)
     return pr.index_series(pr.clean(millions(daily)), DAY)
 
 
@@ -142,6 +151,58 @@ def split_holdout(spark, d):
     return text_ts(events_split(spark, d).select("series_id", "idx", "ts", "y", "split", "step", "n"))
 
 
+def gap_fill_index(spark, d):
+    """Positions of a series with its missing hours filled in, ranked in cells of 50 hours."""
+    filled = pr.fill_gaps(src.hourly_events(spark, d), HOUR, cell_rows=50)
+    return text_ts(pr.index_series(filled, HOUR, cell_rows=50).select("series_id", "ts", "y", "idx", "n"))
+
+
+def dirty_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Single orders per customer: urgent ones without a number, those of high priority without a time,
+    those of medium priority without a value."""
+    orders, kind = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderpriority")
+    value = F.when(kind == "1-URGENT", F.lit(float("nan"))).when(kind == "3-MEDIUM", F.lit(None).cast("double"))
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("series_id"),
+        F.when(kind != "2-HIGH", F.col("o_orderdate").cast("timestamp_ntz")).alias("ts"),
+        value.otherwise(F.col("o_totalprice")).alias("y"),
+    )
+
+
+def csv_round_trip(spark, d):
+    """Dirty rows written as ``demand,time``, read back and cleaned."""
+    rows = dirty_orders(spark, d)
+    path = f"{shared_dir(spark)}/chunkcast/csv-{uuid.uuid4().hex}"
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time")
+    rows.select(F.col("y").alias("demand"), time).write.option("header", True).csv(path)
+    return text_ts(pr.clean(src.read_series_csv(spark, path, "orders")))
+
+
+def zone_export(spark, d):
+    """Training and hold-out files per series, read back by folder."""
+    path = f"{shared_dir(spark)}/chunkcast/zones-{uuid.uuid4().hex}"
+    sinks.write_series_csv(events_split(spark, d), path)
+    schema = f"{src.CSV_SCHEMA}, series_id string, split string"
+    back = spark.read.schema(schema).option("header", True).csv(path)
+    return back.select("series_id", "split", F.col("time").alias("ts"), F.col("demand").alias("y"))
+
+
+def coefficients_csv(spark, d):
+    path = f"{shared_dir(spark)}/chunkcast/coefficients-{uuid.uuid4().hex}"
+    sinks.write_coefficients_csv(trained_model(events_indexed(spark, d)), path)
+    back = spark.read.schema("series_id string, pos int, theta double, sigma2 double").option("header", True).csv(path)
+    return rounded(back, "theta", "sigma2")
+
+
+def forecast_csv(spark, d):
+    path = f"{shared_dir(spark)}/chunkcast/forecast-{uuid.uuid4().hex}"
+    out = fc.add_intervals(_event_steps(spark, d), [95.0])
+    sinks.write_forecast_csv(out.select("series_id", "step", "ts", "pred", "lower", "upper"), path)
+    schema = "series_id string, step int, ts string, pred double, lower double, upper double"
+    back = spark.read.schema(schema).option("header", True).csv(path)
+    return rounded(back, "pred", "lower", "upper")
+
+
 # ---- local models ---------------------------------------------------------------------------
 
 
@@ -162,6 +223,24 @@ def ar2_local(spark, d):
     return _coefs(fit_local_ar(pr.assign_chunks(orders_indexed(spark, d), CHUNKS), 2), 2)
 
 
+def ar3_local(spark, d):
+    return _coefs(fit_local_ar(pr.assign_chunks(shipments_indexed(spark, d), CHUNKS), 3), 3)
+
+
+def css_loss(spark, d):
+    """Conditional sum of squares of a seasonal ARMA at fixed parameters, per chunk of the daily orders."""
+    order = Order(1, 0, 1, 0, 0, 1, SEASON, True, False)
+
+    def loss(pdf):
+        y = pdf.sort_values("idx")["y"].to_numpy()
+        e, _ = CssProblem(y, order).evaluate(np.array([*CSS_POINT, y.mean()]), jacobian=False)
+        return pdf[["series_id", "chunk"]].head(1).assign(n_errors=len(e), sse=float(e @ e))
+
+    chunked = pr.assign_chunks(orders_indexed(spark, d), CHUNKS)
+    rows = chunked.select("series_id", "chunk", "idx", "y").groupBy("series_id", "chunk")
+    return rounded(rows.applyInPandas(loss, "series_id string, chunk int, n_errors bigint, sse double"), "sse", digits=4)
+
+
 def ar1_trend_local(spark, d):
     """AR(1) with trend, the trend origin moved to the start of the series."""
     local = rebase_trend(fit_local_ar(pr.assign_chunks(shipments_indexed(spark, d), CHUNKS), 1, trend=True))
@@ -312,7 +391,7 @@ def moment_models(spark: SparkSession, d: str) -> DataFrame:
 def poly_product(spark, d):
     polys = ex.lag_polynomials(moment_models(spark, d))
     terms = polys.select("series_id", "chunk", F.posexplode_outer("ar_poly").alias("lag", "coef"))
-    return rounded(terms.filter(F.abs("coef") > 1e-9), "coef")
+    return rounded(terms, "coef")
 
 
 def pi_weights(spark, d):
@@ -320,6 +399,12 @@ def pi_weights(spark, d):
     return rounded(weights.select("series_id", "chunk", F.posexplode_outer("pi").alias("lag", "weight")), "weight")
 
 
+def pi_weights_long(spark, d):
+    """Weights beyond the length that higher-order functions take."""
+    weights = ex.pi_weights(moment_models(spark, d), TOL_LONG)
+    return rounded(weights.select("series_id", "chunk", F.posexplode_outer("pi").alias("lag", "weight")), "weight")
+
+
 def ar_intercept_trend(spark, d):
     expanded = ex.intercept_and_trend(ex.pi_weights(moment_models(spark, d), TOL))
     return rounded(expanded.select("series_id", "chunk", "c0", "c1"), "c0", "c1")
@@ -349,6 +434,19 @@ def forecast_ar2(spark, d):
     return rounded(_event_steps(spark, d).select("series_id", "step", "pred"), "pred")
 
 
+def forecast_long(spark, d):
+    """More steps than the higher-order recursion takes, with their errors."""
+    return rounded(_event_steps(spark, d, STEPS_LONG).select("series_id", "step", "pred", "se"), "pred", "se")
+
+
+def fitted_long(spark, d):
+    """Fitted values of an autoregression with more lags than fit into columns: equal weights."""
+    rows = staged(shipments_indexed(spark, d), "shipments")
+    coef = F.array(F.lit(0.5), F.lit(0.0), *[F.lit(0.02)] * LAGS_LONG)
+    model = rows.select("series_id").distinct().withColumn("coef", coef)
+    return rounded(fc.fitted_values(rows, model, LAGS_LONG), "fitted", "residual")
+
+
 def psi_weights(spark, d):
     model = fc.psi_weights(trained_model(pr.train_rows(events_split(spark, d))), HORIZON)
     return rounded(model.select("series_id", F.posexplode_outer("psi").alias("lag", "psi")), "psi")
@@ -467,19 +565,29 @@ def run_sizes(spark, d):
     )
 
 
+def run_status(spark, d):
+    """What became of each customer's series of dirty orders in a run with an AR(1) per series."""
+    series = staged(dirty_orders(spark, d), "orders")
+    split = staged(pr.split_holdout(pr.index_series(pr.clean(millions(series)), DAY), STATUS_STEPS), "split")
+    train, test = pr.train_rows(split), pr.test_rows(split)
+    local = staged(fit_local_ar(pr.assign_chunks(train, 1), 1), "local")
+    out = fc.forecast(train, cb.combine(local), STATUS_STEPS, 1, DAY, 95)
+    return runs.run_status(series, train, local, staged(out, "forecast"), test)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hourly_series, hourly_total, daily_orders_series, daily_shipments_series, series_sizes, row_index,
-        row_index_ranged, gap_fill, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
-        ar1_local, ar2_local, ar1_trend_local, local_weights, model_rows, model_status,
+        row_index_ranged, gap_fill, gap_fill_index, csv_round_trip, zone_export, coefficients_csv, forecast_csv, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
+        ar1_local, ar2_local, ar3_local, css_loss, ar1_trend_local, local_weights, model_rows, model_status,
         order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar,
         sarima_whole, sarima_whole_ar, diff_orders,
         dlsa_weighted, dlsa_orders, global_sigma2, dlsa_full_p2,
-        poly_product, pi_weights, ar_intercept_trend,
-        lag_design, fitted_residuals, forecast_ar2, psi_weights, forecast_se, intervals_multi,
+        poly_product, pi_weights, pi_weights_long, ar_intercept_trend,
+        lag_design, fitted_residuals, fitted_long, forecast_ar2, forecast_long, psi_weights, forecast_se, intervals_multi,
         intervals_fan, forecast_table, inv_box_cox_series,
         whole_series_ar2, whole_series_forecast, chunked_seasonal_forecast,
-        seasonal_scale, seasonal_scale_weekly, score_steps, mean_scores, unmatched_steps, flagship, run_sizes,
+        seasonal_scale, seasonal_scale_weekly, score_steps, mean_scores, unmatched_steps, flagship, run_sizes, run_status,
     )
 }

@@ -24,7 +24,7 @@ from chunkcast.sources.sinks import write_bundle
 def fit_chunks(train: DataFrame, config: ForecastConfig, slots: int = 1) -> DataFrame:
     """``local_ar`` of every chunk: seasonal models rewritten as autoregressions of length ``tol``."""
     chunked = pr.assign_chunks(train, config.chunks, config.max_chunk_rows)
-    local = expand_models(fit_sarima(chunked, config, slots), config.tol)
+    local = expand_models(fit_sarima(chunked, config, slots), config.tol, config.keep_unconverged)
     return rebase_trend(local) if config.rebase_trend else local
 
 
@@ -34,16 +34,19 @@ def forecast_whole_series(
     """Comparison run: one model per series.
 
     By default the same steps with one chunk per series, the candidates of a series dealt to
-    ``slots`` tasks; a series beyond ``max_chunk_rows`` is still cut, so no task outgrows that.
-    ``distributed`` fits a fixed order to all rows of a series of any length.
+    ``slots`` tasks that hold the whole series; ``max_chunk_rows`` is left out of account, as cutting
+    the series would be another model. ``distributed`` fits a fixed order to all rows of a series of
+    any length, block by block.
     """
     if distributed:
+        if config.order is None:
+            raise ValueError("the distributed fit of whole series takes a fixed order")
         (p, d, q), (sp, sd, sq) = config.order, config.seasonal
         drift = config.search.allow_drift and d + sd == 1
         order = Order(p, d, q, sp, sd, sq, config.period, config.search.allow_mean, drift)
-        local = expand_models(fit_whole_sarima(train, order, config.tol), config.tol)
+        local = expand_models(fit_whole_sarima(train, order, config.tol), config.tol, config.keep_unconverged)
     else:
-        single = ForecastConfig(**{**config.__dict__, "chunks": 1})
+        single = ForecastConfig(**{**config.__dict__, "chunks": 1, "max_chunk_rows": None})
         local = fit_chunks(train, single, slots)
     model = staged(cb.combine(staged(local, "local")), "model")
     return fc.forecast(train, model, config.h, config.tol, config.interval_seconds, list(config.levels))
@@ -59,6 +62,8 @@ class Run:
     forecast: DataFrame
     scores: DataFrame
     summary: DataFrame
+    status: DataFrame
+    fitted: DataFrame
     seconds: dict[str, float] = field(default_factory=dict)
 
     def write(self, folder: str) -> None:
@@ -80,6 +85,42 @@ def run_summary(train: DataFrame, local: DataFrame, config: ForecastConfig, seco
     )
 
 
+def run_status(
+    series: DataFrame, train: DataFrame, local: DataFrame, forecast: DataFrame, test: DataFrame
+) -> DataFrame:
+    """One row for each series of the input, whatever became of it.
+
+    ``rows`` of the input, ``dropped`` of them without a time or value, ``trained`` rows, ``chunks``
+    with ``failed`` (no coefficients) and ``flagged`` ones (estimates whose status is not ok), forecast
+    rows that are ``missing`` a value, and steps that only the forecast or only the hold-out has.
+    ``status``: ``empty`` after cleaning, ``short`` if nothing is left to train on, ``no_model``,
+    ``no_forecast``, else ``ok``.
+    """
+    usable = F.col("ts").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.coalesce("y", F.lit(0.0)))
+    out = series.groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~usable).alias("dropped"))
+    flagged = F.count_if(F.col("coef").isNotNull() & (F.col("status") != "ok"))
+    parts = [
+        train.groupBy("series_id").agg(F.count(F.lit(1)).alias("trained")),
+        local.groupBy("series_id").agg(
+            F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("coef").isNull()).alias("failed"), flagged.alias("flagged")
+        ),
+        fc.missing_forecasts(forecast),
+        ev.unmatched_steps(forecast, test),
+    ]
+    for part in parts:
+        out = out.join(part, "series_id", "left")
+    counts = [c for c in out.columns if c != "series_id"]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    status = (
+        F.when(F.col("rows") == F.col("dropped"), "empty")
+        .when(F.col("trained") == 0, "short")
+        .when(F.col("chunks") == F.col("failed"), "no_model")
+        .when(F.col("missing") > 0, "no_forecast")
+        .otherwise("ok")
+    )
+    return out.withColumn("status", status)
+
+
 def run_forecast(
     series: DataFrame, config: ForecastConfig, holdout: DataFrame | None = None, slots: int = 1
 ) -> Run:
@@ -112,7 +153,9 @@ def run_forecast(
     )
     lap("forecast")
     scores = staged(ev.score_steps(forecast, test, ev.seasonal_scale(train, config.period)), "scores")
+    status = staged(run_status(series, train, local, forecast, test), "status")
+    fitted = fc.fitted_values(train, model, config.tol)
     lap("evaluate")
     coefficients = model.select("series_id", "sigma2", F.posexplode("coef").alias("pos", "theta"))
     summary = run_summary(train, local, config, seconds)
-    return Run(local, model, coefficients, forecast, scores, summary, seconds)
+    return Run(local, model, coefficients, forecast, scores, summary, status, fitted, seconds)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from chunkcast.plans.catalogue import CHUNKS, HORIZON, SEASON, TOL
+from chunkcast.plans.catalogue import CHUNKS, CSS_POINT, HORIZON, LAGS_LONG, SEASON, STATUS_STEPS, STEPS_LONG, TOL, TOL_LONG
 
 
 def _z(level: float) -> str:
@@ -169,10 +169,11 @@ ma_terms AS (
   SELECT series_id, chunk, p.lag + q.lag AS lag, sum(p.c * q.c) AS coef
   FROM factors p JOIN factors q USING (series_id, chunk) WHERE p.f = 5 AND q.f = 6 GROUP BY 1, 2, 3)"""
 
-# the weights as one growing list per model
-WEIGHTS = f"""grid AS (
+def _weights(tol: int) -> str:
+    """The weights as one growing list per model."""
+    return f"""grid AS (
   SELECT series_id, chunk, lag, coalesce(x.coef, 0) AS a, coalesce(y.coef, 0) AS b
-  FROM moments CROSS JOIN (SELECT unnest(range(0, {TOL} + 1)) AS lag) l
+  FROM moments CROSS JOIN (SELECT unnest(range(0, {tol} + 1)) AS lag) l
   LEFT JOIN ar_terms x USING (series_id, chunk, lag) LEFT JOIN ma_terms y USING (series_id, chunk, lag)),
 lists AS (
   SELECT series_id, chunk, list(a ORDER BY lag) AS a, list(b ORDER BY lag) AS b FROM grid GROUP BY 1, 2),
@@ -181,11 +182,14 @@ expansion AS (
   UNION ALL
   SELECT series_id, chunk, j + 1,
          list_append(r, a[j + 1] - list_sum(list_transform(range(1, j + 1), lambda i: b[i + 1] * r[j + 1 - i]))), a, b
-  FROM expansion WHERE j <= {TOL}),
-finished AS (SELECT series_id, chunk, r FROM expansion WHERE j = {TOL} + 1),
+  FROM expansion WHERE j <= {tol}),
+finished AS (SELECT series_id, chunk, r FROM expansion WHERE j = {tol} + 1),
 weights AS (
   SELECT series_id, chunk, lag, -r[lag + 1] AS weight
-  FROM finished CROSS JOIN (SELECT unnest(range(1, {TOL} + 1)) AS lag) l)"""
+  FROM finished CROSS JOIN (SELECT unnest(range(1, {tol} + 1)) AS lag) l)"""
+
+
+WEIGHTS = _weights(TOL)
 
 MODELS_FROM_MOMENTS = [EVENTS, INDEXED, _chunked(2), MOMENTS]
 
@@ -220,6 +224,32 @@ ORACLES = {
   SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM series GROUP BY 1) g
 LEFT JOIN series s ON s.series_id = g.series_id AND s.ts = g.ts""",
     ),
+    "gap_fill_index": _query(
+        [EVENTS],
+        f""", filled AS (SELECT g.series_id, g.ts, s.y FROM (
+  SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM series GROUP BY 1) g
+LEFT JOIN series s ON s.series_id = g.series_id AND s.ts = g.ts)
+SELECT series_id, {TS.format('ts')}, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS idx,
+  count(*) OVER (PARTITION BY series_id) AS n FROM filled""",
+    ),
+    "csv_round_trip": f"""SELECT 'orders' AS series_id, {TS.format('o_orderdate')}, o_totalprice AS y FROM orders
+WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
+    "zone_export": _query(
+        [EVENTS, SPLIT],
+        f"""SELECT series_id, 'train' AS split, {TS.format('ts')}, y FROM indexed
+UNION ALL SELECT series_id, 'test', {TS.format('ts')}, y FROM holdout""",
+    ),
+    "coefficients_csv": _query(
+        [EVENTS, INDEXED, _chunked(CHUNKS), AR2, GLOBAL2],
+        """SELECT series_id, pos, round(theta, 6) + 0.0 AS theta, round(sigma2, 6) AS sigma2 FROM (
+  SELECT series_id, 0 AS pos, c0 AS theta, sigma2 FROM model UNION ALL SELECT series_id, 1, 0, sigma2 FROM model
+  UNION ALL SELECT series_id, 2, pi1, sigma2 FROM model UNION ALL SELECT series_id, 3, pi2, sigma2 FROM model)""",
+    ),
+    "forecast_csv": _query(
+        [*EVENT_STEPS, _intervals([95])],
+        f"SELECT series_id, step, {TS.format('ts')}, {_r('pred', 'lower', 'upper')} FROM intervals",
+        recursive=True,
+    ),
     "chunk_assign": _query(
         [EVENTS, INDEXED, _chunked(7)], "SELECT series_id, idx, chunk, chunk_size, pos FROM chunked"
     ),
@@ -243,6 +273,51 @@ LEFT JOIN series s ON s.series_id = g.series_id AND s.ts = g.ts""",
         [ORDERS, INDEXED, _chunked(CHUNKS), AR2],
         f"SELECT series_id, chunk, n_k, {_r('sigma2', 'c0', 'pi1', 'pi2')} FROM models",
     ),
+    "ar3_local": _query(
+        [SHIPMENTS, INDEXED, _chunked(CHUNKS)],
+        """, more AS (SELECT *, lag(y, 3) OVER (PARTITION BY series_id, chunk ORDER BY idx) AS l3 FROM lagged),
+centred AS (
+  SELECT series_id, chunk, y, l1, l2, l3, y - avg(y) OVER w AS dy, l1 - avg(l1) OVER w AS d1,
+         l2 - avg(l2) OVER w AS d2, l3 - avg(l3) OVER w AS d3
+  FROM more WHERE l3 IS NOT NULL WINDOW w AS (PARTITION BY series_id, chunk)),
+sums AS (
+  SELECT series_id, chunk, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l3) AS m3,
+         sum(d1 * d1) AS a, sum(d1 * d2) AS b, sum(d1 * d3) AS c, sum(d2 * d2) AS d, sum(d2 * d3) AS e, sum(d3 * d3) AS f,
+         sum(d1 * dy) AS u, sum(d2 * dy) AS v, sum(d3 * dy) AS w FROM centred GROUP BY 1, 2),
+dets AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM sums),
+slopes AS (
+  SELECT *, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS pi1,
+         (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det AS pi2,
+         (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS pi3 FROM dets),
+counts AS (SELECT series_id, chunk, count(*) AS n_k FROM chunked GROUP BY 1, 2),
+models AS (
+  SELECT s.series_id, s.chunk, any_value(n_k) AS n_k, any_value(my - pi1 * m1 - pi2 * m2 - pi3 * m3) AS c0,
+         any_value(pi1) AS pi1, any_value(pi2) AS pi2, any_value(pi3) AS pi3,
+         sum(power(r.dy - pi1 * r.d1 - pi2 * r.d2 - pi3 * r.d3, 2)) / (any_value(n_k) - 4) AS sigma2
+  FROM centred r JOIN slopes s USING (series_id, chunk) JOIN counts USING (series_id, chunk) GROUP BY 1, 2)
+SELECT series_id, chunk, n_k, """
+        + _r("sigma2", "c0", "pi1", "pi2", "pi3")
+        + " FROM models",
+    ),
+    "css_loss": _query(
+        [
+            ORDERS, INDEXED, _chunked(CHUNKS),
+            f"""centred AS (
+  SELECT series_id, chunk, list(v ORDER BY idx) AS v FROM (
+    SELECT series_id, chunk, idx, y - avg(y) OVER (PARTITION BY series_id, chunk) AS v FROM chunked) GROUP BY 1, 2),
+errors AS (
+  SELECT series_id, chunk, v, 1 AS k, CAST([] AS DOUBLE[]) AS e FROM centred
+  UNION ALL
+  SELECT series_id, chunk, v, k + 1, list_append(e, v[k + 1] - {CSS_POINT[0]} * v[k]
+    - {CSS_POINT[1]} * coalesce(e[k - 1], 0) * (k > 1)::INT
+    - {CSS_POINT[2]} * (CASE WHEN k > {SEASON} THEN e[k - {SEASON}] ELSE 0 END)
+    - {CSS_POINT[1] * CSS_POINT[2]} * (CASE WHEN k > {SEASON} + 1 THEN e[k - {SEASON} - 1] ELSE 0 END))
+  FROM errors WHERE k < len(v))"""
+        ],
+        """SELECT series_id, chunk, CAST(len(e) AS BIGINT) AS n_errors,
+  round(list_sum(list_transform(e, lambda x: x * x)), 4) AS sse FROM errors WHERE k = len(v)""",
+        recursive=True,
+    ),
     "ar1_trend_local": _query(
         [SHIPMENTS, INDEXED, _chunked(CHUNKS)],
         """, centred AS (
@@ -341,13 +416,20 @@ SELECT series_id, 1, round((a * v - b * u) / (a * c - b * b), 6) + 0.0,
     ),
     "poly_product": _query(
         MODELS_FROM_MOMENTS,
-        "SELECT series_id, chunk, lag, round(coef, 6) + 0.0 AS coef FROM ar_terms WHERE abs(coef) > 1e-9",
+        """, reach AS (SELECT series_id, chunk, unnest(range(0, max(lag) + 1)) AS lag FROM ar_terms GROUP BY 1, 2)
+SELECT series_id, chunk, CAST(lag AS INTEGER) AS lag, round(coalesce(coef, 0), 6) + 0.0 AS coef
+FROM reach LEFT JOIN ar_terms USING (series_id, chunk, lag)""",
     ),
     "pi_weights": _query(
         [*MODELS_FROM_MOMENTS, WEIGHTS],
         "SELECT series_id, chunk, CAST(lag - 1 AS INTEGER) AS lag, round(weight, 6) + 0.0 AS weight FROM weights",
         recursive=True,
     ),
+    "pi_weights_long": _query(
+        [*MODELS_FROM_MOMENTS, _weights(TOL_LONG)],
+        "SELECT series_id, chunk, CAST(lag - 1 AS INTEGER) AS lag, round(weight, 6) + 0.0 AS weight FROM weights",
+        recursive=True,
+    ),
     "ar_intercept_trend": _query(
         [*MODELS_FROM_MOMENTS, WEIGHTS],
         """SELECT series_id, chunk,
@@ -371,6 +453,15 @@ FROM indexed WINDOW w AS (PARTITION BY series_id ORDER BY idx)""",
   FROM indexed i JOIN model USING (series_id))
 SELECT series_id, idx, y, round(fit, 6) AS fitted, round(y - fit, 6) + 0.0 AS residual FROM fits""",
     ),
+    "fitted_long": _query(
+        [SHIPMENTS, INDEXED],
+        f"""SELECT series_id, idx, y, CASE WHEN idx > {LAGS_LONG} THEN round(0.5 + 0.02 * sum(y) OVER w, 6) END AS fitted,
+  CASE WHEN idx > {LAGS_LONG} THEN round(y - 0.5 - 0.02 * sum(y) OVER w, 6) + 0.0 END AS residual FROM indexed
+WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {LAGS_LONG} PRECEDING AND 1 PRECEDING)""",
+    ),
+    "forecast_long": _query(
+        [*EVENT_MODEL, _steps(STEPS_LONG, "HOUR")], f"SELECT series_id, step, {_r('pred', 'se')} FROM steps", recursive=True
+    ),
     "forecast_ar2": _query(EVENT_STEPS, f"SELECT series_id, step, {_r('pred')} FROM steps", recursive=True),
     "psi_weights": _query(
         EVENT_STEPS, f"SELECT series_id, step - 1 AS lag, {_r('psi')} FROM steps", recursive=True
@@ -418,7 +509,35 @@ FROM scores GROUP BY 1, 2""",
     ),
     "unmatched_steps": _query(
         [EVENTS, SPLIT],
-        f"""SELECT series_id, 30 - count(*) AS forecast_only, 0 * count(*) AS holdout_only FROM holdout GROUP BY 1""",
+        """, reached AS (SELECT DISTINCT series_id, unnest(range(1, 31)) AS step FROM indexed)
+SELECT series_id, count(*) FILTER (WHERE h.step IS NULL) AS forecast_only, count(*) FILTER (WHERE f.step IS NULL) AS holdout_only
+FROM reached f FULL JOIN holdout h USING (series_id, step) GROUP BY 1""",
+    ),
+    "run_status": _query(
+        [
+            f"""dirty AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS series_id, o_orderdate AS ts, o_totalprice AS y,
+         o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS usable FROM orders),
+sizes AS (
+  SELECT series_id, count(*) AS rows, count(*) FILTER (WHERE NOT usable) AS dropped,
+         greatest(count(*) FILTER (WHERE usable) - {STATUS_STEPS}, 0) AS trained,
+         least(count(*) FILTER (WHERE usable), {STATUS_STEPS}) AS held FROM dirty GROUP BY 1),
+kept AS (
+  SELECT series_id, lag(y) OVER (PARTITION BY series_id ORDER BY ts, y) AS l1,
+         row_number() OVER (PARTITION BY series_id ORDER BY ts, y) AS idx FROM dirty WHERE usable),
+spreads AS (
+  SELECT series_id, count(DISTINCT l1) AS spread FROM kept JOIN sizes USING (series_id) WHERE idx <= trained GROUP BY 1),
+states AS (
+  SELECT *, CASE WHEN trained > 0 THEN 1 ELSE 0 END AS chunks,
+         CASE WHEN trained > 0 AND (trained <= 3 OR spread < 2) THEN 1 ELSE 0 END AS failed
+  FROM sizes LEFT JOIN spreads USING (series_id))"""
+        ],
+        f"""SELECT series_id, rows, dropped, trained, chunks, failed, 0 AS flagged,
+  CASE WHEN failed = 1 THEN {STATUS_STEPS} ELSE 0 END AS missing,
+  CASE WHEN trained > 0 THEN {STATUS_STEPS} - held ELSE 0 END AS forecast_only,
+  CASE WHEN trained > 0 THEN 0 ELSE held END AS holdout_only,
+  CASE WHEN rows = dropped THEN 'empty' WHEN trained = 0 THEN 'short' WHEN failed = 1 THEN 'no_model' ELSE 'ok' END AS status
+FROM states""",
     ),
     "flagship": _query(
         [EVENTS_ALL, SPLIT, _chunked(CHUNKS), AR2, GLOBAL2, _steps(HORIZON, "HOUR"), _intervals([95]), _scale(24), SCORES],

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chunkcast.functions.timeaxis import epoch_seconds, from_epoch_seconds
 
+# Decimals of the given tables' money columns.
+MONEY_DIGITS = 2
 # Fixed file layout: header row, columns bound by position.
 CSV_SCHEMA = "demand double, time string"
 CSV_NAME_PATTERN = r"^(.*)_(train|test)\.csv$"
@@ -52,23 +54,28 @@ def series_from_rows(
     value: str,
     interval_seconds: int,
     series_id: str | Column | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Sum ``value`` per series and interval of ``interval_seconds``.
 
-    Values are rounded to hundredths and summed as whole numbers, so the result does not depend on
-    the order of rows. The sum is partial before the shuffle: a series or an interval that holds
+    With ``digits``, values are rounded to so many decimals and summed as whole numbers, so the result
+    does not depend on the order of rows; without it they are summed as they are. The sum is partial before the shuffle: a series or an interval that holds
     most of the rows reaches the shuffle as one row per task.
     """
     if series_id is None:
         series_id = F.lit("all")
     elif isinstance(series_id, str):
         series_id = F.col(series_id)
+    if digits is None:
+        total = F.sum(F.col(value).cast("double"))
+    else:
+        total = F.sum(F.rint(F.col(value) * 10**digits).cast("bigint")) / 10**digits
     seconds = epoch_seconds(ts)
     slot = seconds - F.pmod(seconds, F.lit(interval_seconds).cast("bigint"))
     return (
         rows.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
         .groupBy(series_id.cast("string").alias("series_id"), slot.alias("_slot"))
-        .agg((F.sum(F.rint(F.col(value) * 100).cast("bigint")) / 100).alias("y"))
+        .agg(total.alias("y"))
         .select("series_id", from_epoch_seconds(F.col("_slot")).alias("ts"), "y")
     )
 
@@ -80,17 +87,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def hourly_events(spark: SparkSession, sf_dir: str, by_type: bool = True) -> DataFrame:
     """Hourly sum of event values, one series per event type or one over all types."""
     events = _table(spark, sf_dir, "events")
-    return series_from_rows(events, "ts", "value", 3600, "event_type" if by_type else None)
+    return series_from_rows(events, "ts", "value", 3600, "event_type" if by_type else None, MONEY_DIGITS)
 
 
 def daily_orders(spark: SparkSession, sf_dir: str, by_priority: bool = False) -> DataFrame:
     """Daily order totals."""
     orders = _table(spark, sf_dir, "orders")
     return series_from_rows(
-        orders, "o_orderdate", "o_totalprice", 86400, "o_orderpriority" if by_priority else None
+        orders, "o_orderdate", "o_totalprice", 86400, "o_orderpriority" if by_priority else None, MONEY_DIGITS
     )
 
 
 def daily_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily extended price of shipped lines."""
-    return series_from_rows(_table(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice", 86400)
+    return series_from_rows(_table(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice", 86400, digits=MONEY_DIGITS)

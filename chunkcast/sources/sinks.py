@@ -34,6 +34,6 @@ def write_forecast_csv(forecast: DataFrame, folder: str) -> None:
 
 
 def write_bundle(run, folder: str) -> None:
-    """Coefficients, forecast, scores and summary of a run as Parquet tables under one folder."""
-    for name in ("coefficients", "forecast", "scores", "summary"):
+    """Coefficients, forecast, scores, summary, status and fitted values of a run as Parquet tables under one folder."""
+    for name in ("coefficients", "forecast", "scores", "summary", "status", "fitted"):
         getattr(run, name).write.mode("overwrite").parquet(f"{folder}/{name}")
