@@ -8,9 +8,9 @@ from segments that make many candidates, by costs measured over all documents. C
 with the exact sets.
 
 Equal sets are one class from the start. In a group of classes with equal segments every class is first
-compared with the group's pivot only; the rest of a group is compared where it is not connected yet and
-the triangle inequality of the Jaccard distance leaves a link possible. Classes in one component need no
-further comparison, so no group is expanded into all its pairs and no link between components is lost.
+compared with the group's pivot only. What is not connected then is compared in tiles of bounded size that
+hold the sets of two blocks of classes; classes of one component need no further comparison, so pairs
+are never written out and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SET_SEED, SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767
 COST_SAMPLE = np.uint64(63)
 #: The cost of verifying a candidate, in signature rows.
 VERIFY_COST = 20
-#: At most so many classes meet in one group of a task; larger groups are compared tile by tile.
-TILE = 4096
+#: At most about so many classes are in one block; larger groups are compared tile by tile.
+TILE = 1024
 
 
 @dataclass(frozen=True)
@@ -280,11 +280,29 @@ def _stars(signatures: DataFrame) -> DataFrame:
     return signatures.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(stars, "sig long, pivot long, fp long")
 
 
+def _grams(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``fp, grams`` (sorted 64-bit hashes) of the classes ``wanted``, built again from one text of each."""
+    keys = classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")).select("key").distinct()
+    keys = staged(keys, "keys")
+    small = keys.count() <= 1_000_000  # 16 MB at most; beyond it the texts are shuffled
+    texts = _texts(docs).select(F.xxhash64("text").alias("key"), "text")
+    texts = texts.join(F.broadcast(keys) if small else keys, "key", "left_semi").select("text")
+
+    def sets(batches):
+        seen: set = set()
+        for batch in batches:
+            for _, _, s in _sets_of(batch, 0, width):
+                new = _fresh(seen, s.fp, s.n)
+                flat = signed(s.tokens)[np.repeat(new, s.n)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.fp)[new]), binary_column(flat, s.n[new])], ["fp", "grams"])
+
+    return texts.mapInArrow(sets, "fp long, grams binary")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """``a, b, common, either`` (sizes of intersection and union) of the pairs of classes ``a, b``.
 
-    Sets are built again from one text of each class that occurs. A class ``a`` with many partners is
-    dealt to several groups.
+    A class ``a`` with many partners is dealt to several groups.
     """
     pairs = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("m")), "a").select(
         "a", "b", F.ceil(F.col("m") / TILE).cast("int").alias("groups")
@@ -295,21 +313,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
         F.col("a").alias("fp"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role")
     )
     needs = staged(member.unionByName(centre), "needs")
-    wanted = needs.select("fp").distinct()
-    keys = staged(classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")).select("key").distinct(), "keys")
-    small = keys.count() <= 1_000_000  # 16 MB at most; beyond it the texts are shuffled
-    texts = _texts(docs).select(F.xxhash64("text").alias("key"), "text")
-    texts = texts.join(F.broadcast(keys) if small else keys, "key", "left_semi").select("text")
-
-    def sets(batches):
-        seen: set = set()
-        for batch in batches:
-            for _, _, s in _sets_of(batch, 0, width):
-                new = _fresh(seen, s.fp, s.n)
-                flat = signed(s.tokens)[np.repeat(new, s.n)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.fp)[new]), binary_column(flat, s.n[new])], ["fp", "grams"])
-
-    grams = texts.mapInArrow(sets, "fp long, grams binary")
+    grams = _grams(docs, classes, needs.select("fp").distinct(), width)
     rows = needs.join(grams, "fp").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "fp")
 
     def compare(batches):
@@ -336,49 +340,106 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     return staged(rows.select(columns).mapInArrow(compare, "a long, b long, common long, either long"), "verified")
 
 
-def _rest(stars: DataFrame, verified: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a signature, lie in different components and may still be similar."""
+def _unsettled(stars: DataFrame, components: DataFrame) -> DataFrame:
+    """``key, kind, fp, comp``: groups of classes in several components that may still hold links.
+
+    Groups are clusters of classes that signatures connect, or the signatures' own groups where those
+    of a cluster have fewer pairs; either way every pair with a common signature meets in a group.
+    """
     comp = components.select(F.col("id").alias("fp"), F.col("component_id").alias("comp"))
-    far = verified.select(
-        F.col("a").alias("pivot"), F.col("b").alias("fp"), (1 - F.col("common") / F.col("either")).alias("d"), "either", "common"
-    )
-    rows = stars.join(far, ["pivot", "fp"]).join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    mixed = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    mixed = mixed.where("m > 1 and x <> y").select("sig", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "comp", "d"
+    pairs = stars.select("pivot", "fp").distinct()
+    cluster = connected_components(pairs).select(F.col("id").alias("fp"), F.col("component_id").alias("cluster"))
+    cluster = staged(cluster.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "clusters")
+    open_ones = cluster.groupBy("cluster").agg(F.count("*").alias("g"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    open_ones = open_ones.where("g > 2 and x <> y").select("cluster", F.col("g").cast("double").alias("g"))
+    of_pivot = cluster.select(F.col("fp").alias("pivot"), "cluster")
+    groups = stars.groupBy("sig", "pivot").agg((F.count("*") + 1).cast("double").alias("m")).join(of_pivot, "pivot")
+    cost = groups.groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    way = staged(open_ones.join(cost, "cluster").select("cluster", (F.col("g") * F.col("g") <= F.col("pairs")).alias("whole")), "ways")
+    whole = cluster.join(way.where("whole"), "cluster").select(F.col("cluster").alias("key"), F.lit(0).alias("kind"), "fp", "comp")
+    some = stars.join(of_pivot, "pivot").join(way.where("not whole"), "cluster", "left_semi")
+    member = some.select("sig", "fp").unionByName(some.select("sig", F.col("pivot").alias("fp")).distinct())
+    own = member.join(cluster.select("fp", "comp"), "fp").select(F.col("sig").alias("key"), F.lit(1).alias("kind"), "fp", "comp")
+    mixed = own.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    own = own.join(mixed.where("m > 2 and x <> y").select("key"), "key", "left_semi")
+    return staged(whole.unionByName(own), "unsettled")
+
+
+def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that connect all components of each group which have similar classes.
+
+    Large components are split into blocks of their own, small ones share blocks. A tile holds two
+    blocks, or one with itself; tiles inside one component are left out.
+    """
+    sizes = members.groupBy("key", "kind", "comp").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= TILE).groupBy("key", "kind").agg(F.ceil(F.sum("n") / TILE).cast("long").alias("blocks"))
+    rows = members.join(sizes, ["key", "kind", "comp"]).join(small, ["key", "kind"], "left")
+    large = F.col("n") > TILE
+    block = F.struct(
+        F.when(large, F.col("comp")).otherwise(F.lit(0)).alias("of"),
+        F.when(large, F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / TILE).cast("long")))
+        .otherwise(F.pmod(F.xxhash64("comp"), F.col("blocks"))).alias("part"),
+        large.alias("large"),
+    )
+    rows = rows.select("key", "kind", "fp", "comp", block.alias("block"))
+    blocks = rows.select("key", "kind", "block").distinct().groupBy("key", "kind").agg(F.collect_list("block").alias("all"))
+    rows = rows.join(blocks, ["key", "kind"]).withColumn(
+        "other",
+        F.explode(F.filter("all", lambda o: ~(o["large"] & F.col("block")["large"] & (o["of"] == F.col("block")["of"])))),
     )
-    slack = 1 - percent / 100 + 1e-9
+    tile = F.xxhash64("key", "kind", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(tile.alias("tile"), "fp", "comp", F.xxhash64("block").alias("block"), (F.col("block") == F.col("other")).alias("same"))
+    grams = _grams(docs, classes, members.select("fp").distinct(), width).dropDuplicates(["fp"])
+    placed = rows.join(grams, "fp").repartition("tile").sortWithinPartitions("tile", "comp", "fp")
 
-    def across(batches):
-        held: list = []
-        last = None
+    def links(batches):
+        last, held = None, []
         for batch in batches:
-            for sig, i, j, block, fp, comp, d in zip(*(c.to_pylist() for c in batch.columns)):
-                if (sig, i, j) != last:
-                    yield from pairs_of(last, held)
-                    last, held = (sig, i, j), []
-                held.append((block, fp, comp, d))
-        yield from pairs_of(last, held)
-
-    def pairs_of(key, rows):
-        if len(rows) < 2:
+            data, offsets = binary_buffers(batch.column("grams"))
+            flat, ends = data.view(np.int64).view(np.uint64), offsets // 8
+            for k, (t, fp, comp, block, same) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "fp", "comp", "block", "same")))):
+                if t != last:
+                    yield from compare(held)
+                    last, held = t, []
+                held.append((fp, comp, block, same, flat[ends[k] : ends[k + 1]].copy()))
+        yield from compare(held)
+
+    def compare(held):
+        if len(held) < 2:
             return
-        block, fp, comp = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        d = np.array([r[3] for r in rows])
-        for k in range(len(rows) - 1):
-            other = slice(k + 1, None)
-            on = (comp[other] != comp[k]) & (np.abs(d[other] - d[k]) <= slack)
-            on &= (block[other] != block[k]) | (key[1] == key[2])
-            to = fp[other][on]
-            if len(to):
-                low, high = np.minimum(to, fp[k]), np.maximum(to, fp[k])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-
-    found = tiles.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "fp").mapInArrow(across, "a long, b long")
-    known = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return staged(found.distinct().join(known, ["a", "b"], "left_anti"), "rest")
+        fp, comp, block = (np.array([h[k] for h in held], np.int64) for k in range(3))
+        same = held[0][3]
+        _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.argsort(size[comp], kind="stable")  # small components look for partners in large ones
+        fp, comp, block = fp[order], comp[order], block[order]
+        sets = [held[k][4] for k in order.tolist()]
+        n = np.array([len(x) for x in sets])
+        flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
+        found = []
+        for k in range(len(sets) - 1):
+            on = comp != comp[k]
+            on[: k + 1] = False
+            if not same:
+                on &= block != block[k]
+            on &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            others = np.flatnonzero(on)
+            for low in range(0, len(others), 256):
+                some = others[low : low + 256]
+                some = some[comp[some] != comp[k]]
+                if not len(some):
+                    continue
+                m = n[some]
+                pick = flat[np.repeat(ends[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                at = np.minimum(np.searchsorted(sets[k], pick), n[k] - 1)
+                common = np.add.reduceat((sets[k][at] == pick).astype(np.int64), np.cumsum(m) - m)
+                for j in some[100 * common >= percent * (m + n[k] - common)].tolist():
+                    if comp[j] != comp[k]:
+                        found.append((int(fp[k]), int(fp[j])))
+                        comp[comp == comp[j]] = comp[k]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return staged(placed.mapInArrow(links, "a long, b long"), "tile-links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -401,10 +462,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     similar = F.col("common") * 100 >= F.col("either") * percent
     links = verified.where(similar).select("a", "b")
     components = connected_components(links)
-    rest = _rest(stars, verified, components, percent)
-    if not rest.isEmpty():
-        more = _verified(docs, classes, rest, width).where(similar).select("a", "b")
-        components = connected_components(links.unionByName(more))
+    members = _unsettled(stars, components)
+    if not members.isEmpty():
+        components = connected_components(links.unionByName(_tile_links(docs, classes, members, width, percent)))
     comp = components.select(F.col("id").alias("fp"), F.col("component_id").alias("comp"))
     named = sizes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
