@@ -36,9 +36,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     no id at all.
     """
     groups = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = staged(kept, "kept")
+    small = kept.count() <= 2_000_000  # 32 MB at most; beyond it the documents are shuffled
+
+    def chosen(some: DataFrame) -> DataFrame:
+        ids = some.select("doc_id")
+        return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select(docs.columns)
+
+    once, repeated = chosen(kept.where("n = 1")), chosen(kept.where("n > 1")).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
