@@ -27,6 +27,7 @@ from chunkcast.session import staged
 
 END, BEGIN = np.uint64(0xE4D00000000000E1), np.uint64(0xBE61000000000B01)
 SEGMENT_BITS = 1 << 22
+SEGMENT_MASK = np.int64(SEGMENT_BITS - 1)
 PROBES = 5
 BITS_PER_KEY = 10
 LEVELS = 48
@@ -44,24 +45,44 @@ class CountFilter:
     number: np.ndarray  # n-grams of each level
     novel: np.ndarray | None = None  # mean number of distinct words after an n-gram of a level
 
-    def _place(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
-        """The bit of a key's probe, in its segment."""
-        a = mix(keys, np.full(1, np.uint64(PROBES * level + probe)))
-        return segment_of(keys, self.segments) * SEGMENT_BITS + (a % np.uint64(SEGMENT_BITS)).astype(np.int64)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels found by repeated probes, 0 for n-grams not stored."""
+    def probes(self, keys: np.ndarray, level: int):
+        """A start and a step of each key's probes at a level, to be taken modulo the segment's bits."""
+        a = mix(keys, np.full(1, np.uint64(level))).view(np.int64)
+        return a, a >> 32 | 1
+
+    def levels(self, keys: np.ndarray, repeated: bool = False) -> np.ndarray:
+        """Levels found by repeated probes, 0 for n-grams not stored; ``repeated`` looks equal keys up once."""
+        if repeated and len(keys):
+            order = np.argsort(keys)
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[order][1:] != keys[order][:-1]
+            out = np.empty(len(keys), np.int8)
+            out[order] = self.levels(keys[order][new])[np.cumsum(new) - 1]
+            return out
         out = np.zeros(len(keys), np.int8)
-        alive = np.arange(len(keys))
+        alive, base = np.arange(len(keys)), segment_of(keys, self.segments) * SEGMENT_BITS
         for level in range(1, LEVELS):
             if not len(alive) or not self.segments:
                 break
-            for probe in range(PROBES):
-                place = self._place(keys[alive], level, probe)
-                alive = alive[(self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+            a, step = self.probes(keys[alive], level)
+            for _ in range(PROBES):
+                place = base + (a & SEGMENT_MASK)
+                hit = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                alive, base, a, step = alive[hit], base[hit], a[hit], step[hit]
+                a = a + step
             out[alive] = level
         return out
 
+    def put(self, keys: np.ndarray, top: np.ndarray) -> None:
+        """Set the bits of the keys' levels up to ``top``."""
+        base = segment_of(keys, self.segments) * SEGMENT_BITS
+        for level in range(1, int(top.max(initial=0)) + 1):
+            on = top >= level
+            a, step = self.probes(keys[on], level)
+            for k in range(PROBES):
+                place = base[on] + (a + k * step & SEGMENT_MASK)
+                np.bitwise_or.at(self.bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+
     def as_context(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and number of distinct following words of contexts; 0 and 1 of those not stored."""
         stored = level > 0
@@ -69,7 +90,7 @@ class CountFilter:
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (mix(keys, np.full(1, np.uint64(5))) % np.uint64(max(segments, 1))).astype(np.int64)
+    return ((mix(keys, np.full(1, np.uint64(5))) >> np.uint64(32)) * np.uint64(max(segments, 1)) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
@@ -94,7 +115,7 @@ class NgramModel:
         first = np.cumsum(n) - n
         at = np.ones(len(seq), bool)
         at[first] = False  # no score for the beginning
-        one = self.filters[0].levels(seq)
+        one = self.filters[0].levels(seq, repeated=True)
         p = (self.filters[0].means[one] + 1) / (self.n + self.v + 1)
         context, new = self.filters[0].as_context(one) if self.order > 1 else (p, p)
         for k in range(2, self.order + 1):
@@ -162,7 +183,7 @@ def count_ngrams(texts: DataFrame, order: int, shorter, least: int) -> DataFrame
                 seq, n = with_marks(h, n)
                 grams, _ = ngrams(seq, n, order)
                 parts, have = (seq, n) if order == 2 else ngrams(seq, n, order - 1)
-                level = shorter.value.levels(parts)
+                level = shorter.value.levels(parts, repeated=order == 2)
                 left = np.ones(len(parts), bool)
                 left[np.cumsum(have)[have > 0] - 1] = False
                 at = np.flatnonzero(left)
@@ -226,12 +247,9 @@ def build_filter(counts: DataFrame, least: int, ones: int = 0, extra: tuple[np.u
     stored = rows.where("level > 0").select("h", "level")
 
     def fill(key, table):
-        one = CountFilter(np.zeros(SEGMENT_BITS, np.uint8), segments, means, number)
-        h, top = table.column("h").to_numpy().view(np.uint64), table.column("level").to_numpy()
-        for k in range(1, int(top.max()) + 1):
-            for probe in range(PROBES):
-                one.bits[one._place(h[top >= k], k, probe) % SEGMENT_BITS] = 1
-        packed = np.packbits(one.bits, bitorder="little").tobytes()
+        one = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, means, number)
+        one.put(table.column("h").to_numpy().view(np.uint64), table.column("level").to_numpy())
+        packed = one.bits.tobytes()
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed], pa.binary())})
 
     def segment(h: pa.Array) -> pa.Array:
@@ -247,10 +265,7 @@ def build_filter(counts: DataFrame, least: int, ones: int = 0, extra: tuple[np.u
             top = int(np.log2(max(c, least) / least) + 1e-12) + 1
             out.means[top] = (out.means[top] * number[top] + c) / (number[top] + 1)
             number[top] += 1
-            for k in range(1, top + 1):
-                for probe in range(PROBES):
-                    place = out._place(key, k, probe)
-                    out.bits[place >> 3] |= np.uint8(1) << (place & 7).astype(np.uint8)
+            out.put(key, np.array([top]))
     return out
 
 
