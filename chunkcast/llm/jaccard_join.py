@@ -30,6 +30,8 @@ SET_SEED, SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767
 COST_SAMPLE = np.uint64(63)
 #: The cost of verifying a candidate, in signature rows.
 VERIFY_COST = 20
+#: Bins of a set's count profile, a byte each.
+BINS = 128
 #: At most about so many classes are in one block; larger groups are compared tile by tile.
 TILE = 1024
 
@@ -195,8 +197,40 @@ def _fresh(seen: set, fp: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _profiles(sets: Sets) -> pa.Array:
+    """How many n-grams of each set fall into each of ``BINS`` hash bins; null for very large sets."""
+    owner = np.repeat(np.arange(len(sets.n)), sets.n)
+    counts = np.bincount(owner * BINS + (sets.weight % np.uint64(BINS)).astype(np.int64), minlength=len(sets.n) * BINS)
+    large = counts.reshape(-1, BINS).max(1, initial=0) > 255
+    flat = np.minimum(counts, 255).astype(np.uint8)
+    return pa.array([None if big else flat[BINS * k : BINS * (k + 1)].tobytes() for k, big in enumerate(large.tolist())], pa.binary())
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose profiles leave room for the similarity: the sum over bins of the smaller count
+    is no less than the intersection."""
+    known = classes.where("fp is not null").groupBy("fp").agg(F.max("n").alias("n"), F.max("profile").alias("p"))
+    for side in ("a", "b"):
+        own = known.select(F.col("fp").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}"))
+        pairs = pairs.join(own, side)
+
+    def room(rows: pa.Array) -> pa.Array:
+        n, m, x, y = rows.flatten()
+        n, m = n.to_numpy(), m.to_numpy()
+        keep = np.ones(len(rows), bool)
+        both = np.flatnonzero((x.is_valid().to_numpy(zero_copy_only=False)) & (y.is_valid().to_numpy(zero_copy_only=False)))
+        if len(both):
+            u, v = (binary_buffers(c.take(pa.array(both)))[0].reshape(-1, BINS) for c in (x, y))
+            most = np.minimum(u, v).sum(1, dtype=np.int64)
+            keep[both] = 100 * most >= percent * (n[both] + m[both] - most)
+        return pa.array(keep)
+
+    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.where(alike).where(F.arrow_udf(room, "boolean")(F.struct("na", "nb", "pa", "pb"))).select("a", "b")
+
+
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, key, n, fp`` of every row; ``key`` is a hash of the text, ``fp`` is null for empty sets."""
+    """``doc_id, key, n, fp, profile`` of every row; ``key`` is a hash of the text, ``fp`` is null for empty sets."""
 
     def classes(batches):
         for batch in batches:
@@ -207,12 +241,13 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
                         batch.column(1).slice(low, high - low),
                         pa.array(sets.n),
                         pa.array(signed(sets.fp), mask=sets.n == 0),
+                        _profiles(sets),
                     ],
-                    ["doc_id", "key", "n", "fp"],
+                    ["doc_id", "key", "n", "fp", "profile"],
                 )
 
     rows = _texts(docs).select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return staged(rows.mapInArrow(classes, "doc_id long, key long, n long, fp long"), "classes")
+    return staged(rows.mapInArrow(classes, "doc_id long, key long, n long, fp long, profile binary"), "classes")
 
 
 def _signatures(docs: DataFrame, width: int, signer: Signer, sampled: bool) -> DataFrame:
@@ -458,7 +493,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     stars = staged(_stars(_signatures(docs, width, Signer(bands, budgets), False)), "stars")
     pairs = stars.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
     sizes = classes.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    verified = _verified(docs, classes, pairs, width)
+    verified = _verified(docs, classes, staged(_possible(pairs, classes, percent), "pairs"), width)
     similar = F.col("common") * 100 >= F.col("either") * percent
     links = verified.where(similar).select("a", "b")
     components = connected_components(links)
