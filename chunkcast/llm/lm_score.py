@@ -1,29 +1,31 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 Counts of runs of one to ``order`` words are taken over all training texts. An n-gram whose count is c
-gets the level 1 + floor(log2(c / least)) and its keys (n-gram, 1) to (n-gram, level) are put into a
-Bloom filter; a lookup probes level after level until one is missing. The score of a word interpolates
-the probabilities of its contexts, from the shortest to the longest, with the counts so found: a context
+gets the level 1 + floor(log2 c) and its keys (n-gram, 1) to (n-gram, level) are put into a Bloom filter;
+a lookup probes level after level until one is missing. The score of a word interpolates the
+probabilities of its contexts, from the shortest to the longest, with the counts so found: a context
 keeps as much for other words as words have been new after contexts of its level (Witten and Bell).
 
-An n-gram is stored if its share of all training words is at least ``share``. Levels of stored n-grams
-of one order then sum to at most 1 / share, whatever the size of the corpus: that bounds the filter,
-which every worker holds, to ``order * 10 / share`` bits. A longer n-gram can only reach the share if
-both its shorter parts do, so n-grams with a part that is missing from the filter are not counted.
+Every n-gram of the training texts is stored, so a filter grows with the corpus: ``BITS_PER_KEY`` bits for
+each training word and order. It is a table of segments that no process holds as a whole. N-grams to
+count and probes to answer are dealt out by segment, packed for a slice of text at a time and each once a
+slice; the answers go back to the slices.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from chunkcast.llm.labelled import remainder
-from chunkcast.llm.textbytes import NOT_SPACE, mix, ngrams, signed, slices, text_buffers, word_hashes
-from chunkcast.session import staged
+from chunkcast.llm.textbytes import NOT_SPACE, binary_buffers, binary_column, mix, ngrams, signed, slices, text_buffers, word_hashes
+from chunkcast.session import staged as written
 
 END, BEGIN = np.uint64(0xE4D00000000000E1), np.uint64(0xBE61000000000B01)
 SEGMENT_BITS = 1 << 22
@@ -35,11 +37,28 @@ LEVELS = 48
 EXACT_WORDS = 1 << 19
 
 
+@contextmanager
+def freed_shuffles(spark):
+    """Shuffle files go at the end of the query that wrote them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    with freed_shuffles(df.sparkSession):
+        return written(df, name)
+
+
 @dataclass
 class CountFilter:
     """Bloom filter of one order's quantised counts, in segments of ``SEGMENT_BITS`` bits."""
 
-    bits: np.ndarray  # uint8, packed
+    bits: np.ndarray | None  # uint8, packed; None where the segments stay in their table
     segments: int
     means: np.ndarray  # mean count of the n-grams of a level; [0] is that of n-grams not stored
     number: np.ndarray  # n-grams of each level
@@ -95,18 +114,32 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
 
 @dataclass
 class NgramModel:
-    """Filters of all orders, totals of the training words and the exact counts of frequent words."""
+    """Filters of all orders, totals of the training words and the exact counts of frequent words.
+
+    ``segments`` is the table ``order, segment, bits`` of all filters; it stays out of what tasks are sent.
+    """
 
     order: int
     n: int = 0
     v: int = 0
     filters: list[CountFilter] = field(default_factory=list)
+    segments: DataFrame | None = None
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def log_probabilities(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def load(self) -> None:
+        """Bring all segments here, for a small model that is asked outside of Spark."""
+        for own in self.filters:
+            own.bits = np.zeros(own.segments * SEGMENT_BITS // 8, np.uint8)
+        for r in self.segments.toLocalIterator():
+            low = r.segment * SEGMENT_BITS // 8
+            self.filters[r.order - 1].bits[low : low + SEGMENT_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+
+    def log_probabilities(self, h: np.ndarray, counts: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of every word and end of a run of texts; rows have ``counts + 1`` values.
 
+        ``levels`` are those of all n-grams of each order; without them the segments are brought here.
+
         P_1(w) = mean count of w's level / (N + V + 1), with one added to counts, which sums to one over
         all words and one unknown word; P_n = (c(context, w) + T * P_{n-1}) / (c(context) + T) with T distinct
         words after a context of that level.
@@ -115,17 +148,20 @@ class NgramModel:
         first = np.cumsum(n) - n
         at = np.ones(len(seq), bool)
         at[first] = False  # no score for the beginning
-        one = self.filters[0].levels(seq, repeated=True)
+        if levels is None:
+            if any(own.bits is None for own in self.filters):
+                self.load()
+            levels = [own.levels(grams, repeated=True) for own, grams in zip(self.filters, runs(seq, n, self.order))]
+        one = levels[0]
         p = (self.filters[0].means[one] + 1) / (self.n + self.v + 1)
         context, new = self.filters[0].as_context(one) if self.order > 1 else (p, p)
         for k in range(2, self.order + 1):
             if len(seq) < k:
                 break
-            grams, _ = ngrams(seq, n, k)
-            level = self.filters[k - 1].levels(grams)
+            level = levels[k - 1]
             found = np.where(level > 0, self.filters[k - 1].means[level], 0.0)
             ends = np.concatenate([[0], np.cumsum(np.maximum(n - k + 1, 0))])
-            place = np.arange(len(grams)) + np.repeat(first + k - 1 - ends[:-1], np.diff(ends))  # the last word's place
+            place = np.arange(len(level)) + np.repeat(first + k - 1 - ends[:-1], np.diff(ends))  # the last word's place
             before, other = context[place - 1], new[place - 1]
             p[place] = (np.minimum(found, before) + other * p[place]) / (before + other)
             if k < self.order:
@@ -140,6 +176,11 @@ def with_marks(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(np.insert(h, ends, END), ends - counts + np.arange(len(counts)), BEGIN), counts + 2
 
 
+def runs(seq: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams of one to ``order`` words of marked texts."""
+    return [seq, *(ngrams(seq, n, k)[0] for k in range(2, order + 1))]
+
+
 def _tallies(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = np.sort(h)
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -167,12 +208,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_ngrams(texts: DataFrame, order: int, shorter, least: int) -> DataFrame:
-    """Rows ``h, c`` of the n-grams of two or more words that occur at least ``least`` times.
+def dealt(segment: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The segments that occur, ascending, and each column's values of a segment as one binary."""
+    by = np.argsort(segment, kind="stable")
+    at = np.flatnonzero(np.diff(segment[by], prepend=-1))
+    sizes = np.diff(np.append(at, len(by)))
+    return segment[by][at], [binary_column(c[by], sizes) for c in columns]
+
 
-    ``shorter`` is the broadcast filter of the order below; n-grams with a part that it lacks are not
-    counted. Rows with a null ``h`` tell, for each ``level`` of contexts, how many distinct n-grams
-    (``types``) and occurrences (``c``) followed, stored or not.
+def joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return binary_buffers(table.column(column).combine_chunks())[0].view(kind)
+
+
+def count_ngrams(texts: DataFrame, order: int, segments: int) -> DataFrame:
+    """``segment, h, before, c``: the n-grams of two or more words of each slice of text, by filter segment.
+
+    ``h`` packs their keys, ``before`` those of their contexts and ``c`` how often each occurs in the slice.
     """
 
     def count(batches):
@@ -183,115 +234,139 @@ def count_ngrams(texts: DataFrame, order: int, shorter, least: int) -> DataFrame
                 seq, n = with_marks(h, n)
                 grams, _ = ngrams(seq, n, order)
                 parts, have = (seq, n) if order == 2 else ngrams(seq, n, order - 1)
-                level = shorter.value.levels(parts, repeated=order == 2)
                 left = np.ones(len(parts), bool)
                 left[np.cumsum(have)[have > 0] - 1] = False
-                at = np.flatnonzero(left)
-                both = (level[at] > 0) & (level[at + 1] > 0)
-                grams, level = grams[both], level[at][both]
                 by = np.argsort(grams, kind="stable")
                 keys, c = _tallies(grams)
-                first = np.cumsum(c) - c
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(c), pa.array(level[by][first].astype(np.int32))], ["h", "c", "level"])
-
-    def keep(batches):
-        types, mass = np.zeros(LEVELS, np.int64), np.zeros(LEVELS, np.int64)
-        for batch in batches:
-            c, level = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            types += np.bincount(level, minlength=LEVELS)
-            mass += np.bincount(level, c, LEVELS).astype(np.int64)
-            some = pa.array(np.flatnonzero(c >= least))
-            none = pa.nulls(len(some), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), none, none.cast(pa.int64())], _KEPT)
-        on = np.flatnonzero(types)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(on), pa.int64()), pa.array(mass[on]), pa.array(on.astype(np.int32)), pa.array(types[on])], _KEPT
-        )
-
-    rows = texts.mapInArrow(count, "h long, c long, level int").groupBy("h").agg(F.sum("c").alias("c"), F.max("level").alias("level"))
-    return rows.mapInArrow(keep, "h long, c long, level int, types long")
-
-
-_KEPT = ["h", "c", "level", "types"]
-
-
-def followers(shorter: CountFilter, counts: DataFrame) -> np.ndarray:
-    """Mean number of distinct words after a context of each level; uncounted ones were new each time."""
+                before = parts[left][by][np.cumsum(c) - c]
+                at, packed = dealt(segment_of(keys, segments), keys, before, c.astype("<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(at), *packed], ["segment", "h", "before", "c"])
+
+    return texts.mapInArrow(count, "segment long, h binary, before binary, c binary")
+
+
+BUILT = "segment long, bits binary, number array<long>, mass array<long>, h binary, types binary, c binary"
+
+
+def level_of(c: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c)."""
+    return np.frexp(c.astype(np.float64))[1]
+
+
+def built(counts: DataFrame, groups: int) -> DataFrame:
+    """Each segment's bits and the number and occurrences of its n-grams by level; also, dealt out to
+    ``groups`` by context, the contexts ``h`` of its n-grams with the distinct words (``types``) and all
+    words (``c``) seen after each."""
+
+    def build(key, table):
+        h, before, c = joined(table, "h", np.uint64), joined(table, "before", np.uint64), joined(table, "c", "<u4")
+        by = np.argsort(h, kind="stable")
+        keys, times = _tallies(h)
+        first = np.cumsum(times) - times
+        c = np.add.reduceat(c[by].astype(np.int64), first)
+        level = level_of(c)
+        one = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, np.zeros(0), np.zeros(0))
+        one.put(keys, level)
+        before = before[by][first]
+        by = np.argsort(before, kind="stable")
+        contexts, types = _tallies(before)
+        after = np.add.reduceat(c[by], np.cumsum(types) - types)
+        at, packed = dealt(segment_of(contexts, groups), contexts, types.astype("<u4"), after.astype("<u8"))
+        number, mass = np.bincount(level, minlength=LEVELS), np.bincount(level, c, LEVELS).astype(np.int64)
+        none = len(at)
+        return pa.table({
+            "segment": pa.array([key[0].as_py(), *at.tolist()], pa.int64()),
+            "bits": pa.concat_arrays([pa.array([one.bits.tobytes()], pa.binary()), pa.nulls(none, pa.binary())]),
+            "number": pa.array([number.tolist(), *[None] * none], pa.list_(pa.int64())),
+            "mass": pa.array([mass.tolist(), *[None] * none], pa.list_(pa.int64())),
+            **{k: pa.concat_arrays([pa.nulls(1, pa.binary()), x]) for k, x in zip(("h", "types", "c"), packed)},
+        })
+
+    return counts.groupBy("segment").applyInArrow(build, BUILT)
+
+
+def followers(table: DataFrame) -> np.ndarray:
+    """Mean number of distinct words after a context of each level, from the contexts of ``built``."""
+
+    def add(table):
+        h, types, c = joined(table, "h", np.uint64), joined(table, "types", "<u4"), joined(table, "c", "<u8")
+        by = np.argsort(h, kind="stable")
+        _, times = _tallies(h)
+        first = np.cumsum(times) - times
+        level = level_of(np.add.reduceat(c[by], first))
+        number, after = np.bincount(level, minlength=LEVELS), np.bincount(level, np.add.reduceat(types[by].astype(np.int64), first), LEVELS)
+        on = np.flatnonzero(number)
+        return pa.table({"level": pa.array(on), "number": pa.array(number[on]), "types": pa.array(after[on].astype(np.int64))})
+
+    rows = table.where("h is not null").select("segment", "h", "types", "c").groupBy("segment").applyInArrow(add, "level long, number long, types long")
     out = np.ones(LEVELS)
-    seen = counts.where("h is null").groupBy("level").agg(F.sum("types").alias("types"), F.sum("c").alias("c")).collect()
-    total, types = shorter.means * shorter.number, np.zeros(LEVELS)
-    for r in seen:
-        total[r.level] -= r.c
-        types[r.level] = r.types
-    on = shorter.number > 0
-    out[on] = np.maximum(1, (types + np.maximum(total, 0))[on] / shorter.number[on])
+    for r in rows.groupBy("level").agg(F.sum("number").alias("number"), F.sum("types").alias("types")).collect():
+        out[r.level] = r.types / r.number
     return out
 
 
-def build_filter(counts: DataFrame, least: int, ones: int = 0, extra: tuple[np.uint64, int] | None = None) -> CountFilter:
-    """The filter of the n-grams ``h, c`` of a count of ``least`` or more, segment by segment.
-
-    ``ones`` unseen n-grams of count 0 share the mean of those not stored. ``extra`` is one more n-gram.
-    The segments, whose total size is bounded by the share that ``least`` stands for, come to the driver.
-    """
+def filter_of(counts: DataFrame, least: int = 1) -> tuple[CountFilter, DataFrame | None]:
+    """The filter of the n-grams ``h, c`` of a count of ``least`` or more, and its table ``segment, bits``."""
     level = F.when(F.col("c") >= least, F.floor(F.log2(F.col("c") / least) + 1e-12) + 1).otherwise(0).cast("int")
     rows = counts.withColumn("level", level)
     seen = {r.level: r for r in rows.groupBy("level").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    means = np.zeros(LEVELS)
+    means, number = np.zeros(LEVELS), np.zeros(LEVELS, np.int64)
     for k, r in seen.items():
-        means[k] = r.c / (r.n + (ones if k == 0 else 0))
-    keys = sum(k * r.n for k, r in seen.items()) + (LEVELS if extra else 0)
-    segments = -(-keys * BITS_PER_KEY // SEGMENT_BITS)
-    number = np.array([seen[k].n if k in seen else 0 for k in range(LEVELS)])
-    out = CountFilter(np.zeros(segments * SEGMENT_BITS // 8, np.uint8), segments, means, number)
-    stored = rows.where("level > 0").select("h", "level")
+        means[k], number[k] = r.c / r.n, r.n
+    segments = -(-sum(k * r.n for k, r in seen.items()) * BITS_PER_KEY // SEGMENT_BITS)
+    own = CountFilter(None, segments, means, number)
 
     def fill(key, table):
         one = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, means, number)
         one.put(table.column("h").to_numpy().view(np.uint64), table.column("level").to_numpy())
-        packed = one.bits.tobytes()
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([one.bits.tobytes()], pa.binary())})
 
     def segment(h: pa.Array) -> pa.Array:
         return pa.array(segment_of(h.to_numpy().view(np.uint64), segments))
 
-    if segments:
-        numbered = stored.withColumn("segment", F.arrow_udf(segment, "long")("h"))
-        for r in numbered.groupBy("segment").applyInArrow(fill, "segment long, bits binary").toLocalIterator():
-            low = r.segment * SEGMENT_BITS // 8
-            out.bits[low : low + SEGMENT_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-        if extra:
-            key, c = np.array([extra[0]]), extra[1]
-            top = int(np.log2(max(c, least) / least) + 1e-12) + 1
-            out.means[top] = (out.means[top] * number[top] + c) / (number[top] + 1)
-            number[top] += 1
-            out.put(key, np.array([top]))
-    return out
+    numbered = rows.where("level > 0").select("h", "level").withColumn("segment", F.arrow_udf(segment, "long")("h"))
+    return own, numbered.groupBy("segment").applyInArrow(fill, "segment long, bits binary")
+
+
+def build_filter(counts: DataFrame, least: int) -> CountFilter:
+    """The filter of ``filter_of`` with all its bits, for a small table."""
+    own, table = filter_of(counts, least)
+    NgramModel(1, filters=[own], segments=table.select(F.lit(1).alias("order"), "segment", "bits")).load()
+    return own
 
 
-def train(
-    docs: DataFrame, order: int = 3, share: float = 2.0**-24, modulo: int = 7, held: int = 2
-) -> tuple[NgramModel, DataFrame]:
+def train(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> tuple[NgramModel, DataFrame]:
     """The model of all documents but the held-out ones, and the exact counts ``h, c`` of their words.
 
     A document is held out if crc32(doc_id as text) modulo ``modulo`` is ``held``; null doc_ids are not.
-    ``share`` is that of the module's text. Without training documents every word has
-    the probability of an unknown one.
+    Without training documents every word has the probability of an unknown one.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     texts = _rows(docs, held, modulo).where("not held_out").select("text")
     words = staged(count_words(texts), "word-counts")
     totals = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals.n or 0, totals.v
     model = NgramModel(order, n, v)
-    least = max(1, int(np.ceil(n * share)))
     ends = words.where(F.col("h") == int(END.view(np.int64))).first()
-    model.filters.append(build_filter(words, least, ones=1, extra=(BEGIN, max(ends.c, least)) if ends else None))
+    begin = spark.createDataFrame([(int(BEGIN.view(np.int64)), ends.c)] if ends else [], "h long, c long")
+    one, table = filter_of(words.unionByName(begin))
+    model.filters.append(one)
+    tables = [staged(table, "filter-1")]
+    segments = -(-n * BITS_PER_KEY // SEGMENT_BITS)  # an n-gram of count c has at most c levels
     for k in range(2, order + 1):
-        shorter = sc.broadcast(model.filters[-1])
-        counts = staged(count_ngrams(texts, k, shorter, least), "ngram-counts")
-        model.filters[-1].novel = followers(model.filters[-1], counts)
-        model.filters.append(build_filter(counts.where("h is not null").select("h", "c"), least))
+        table = staged(built(count_ngrams(texts, k, max(segments, 1)), max(1, segments // 4)), f"filter-{k}")
+        number, mass = np.zeros(LEVELS, np.int64), np.zeros(LEVELS)
+        bits = table.where("bits is not null")
+        for r in bits.select(F.posexplode("number")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+            number[r.pos] = r.n
+        for r in bits.select(F.posexplode("mass")).groupBy("pos").agg(F.sum("col").alias("c")).collect():
+            mass[r.pos] = r.c
+        model.filters[-1].novel = followers(table)
+        model.filters.append(CountFilter(None, segments, mass / np.maximum(number, 1), number))
+        tables.append(bits.select("segment", "bits"))
+    for k, table in enumerate(tables, 1):
+        part = table.select(F.lit(k).alias("order"), "segment", "bits")
+        model.segments = part if k == 1 else model.segments.unionByName(part)
     top = words.orderBy(F.col("c").desc(), "h").limit(EXACT_WORDS).toArrow()
     keys, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     by = np.argsort(keys)
@@ -299,6 +374,69 @@ def train(
     return model, words
 
 
+def cut_slices(rows: DataFrame) -> DataFrame:
+    """``slice, rows``: all rows, a slice of text at a time in Arrow's stream format."""
+
+    def cut(batches):
+        part, number = TaskContext.get().partitionId() << 20, 0
+        for batch in batches:
+            _, offsets = text_buffers(batch.column(2))
+            for low, high in slices(offsets, 8_000_000):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(batch.slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([pa.array([part + number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "rows"])
+                number += 1
+
+    return rows.mapInArrow(cut, "slice long, rows binary")
+
+
+def opened(raw: pa.Scalar) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a slice, the hashes of their words and how many each has."""
+    rows = pa.ipc.open_stream(raw.as_buffer()).read_all()
+    h, n = word_hashes(*text_buffers(rows.column("text")), NOT_SPACE)
+    return rows, h, n
+
+
+def asked(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in the order of their segments, these segments, and the place of every key."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    segment = segment_of(distinct, segments)
+    by = np.argsort(segment, kind="stable")
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    return distinct[by], segment[by], back[place]
+
+
+def find_levels(sliced: DataFrame, model: NgramModel) -> DataFrame:
+    """``slice, order, segment, levels``: the levels of a slice's distinct n-grams, in the order of ``asked``."""
+    sizes = [own.segments for own in model.filters]
+
+    def probe(batches):
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, h, n = opened(raw)
+                for k, keys in enumerate(runs(*with_marks(h, n), len(sizes)), 1):
+                    if sizes[k - 1] and len(keys):
+                        distinct, segment, _ = asked(keys, sizes[k - 1])
+                        own, (packed,) = dealt(segment, distinct)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(own), at)), pa.array(np.full(len(own), k, np.int32)), pa.array(own), packed], ["slice", "order", "segment", "h"]
+                        )
+
+    def answer(probes, segment):
+        h = joined(probes, "h", np.uint64)
+        sizes = pc.binary_length(probes.column("h")).to_numpy() // 8
+        level = np.zeros(len(h), np.int8)
+        if segment.num_rows:
+            own = CountFilter(np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8), 1, np.zeros(0), np.zeros(0))
+            level = own.levels(h, repeated=True)
+        return probes.drop_columns(["h"]).append_column("levels", binary_column(level, sizes))
+
+    probes = sliced.mapInArrow(probe, "slice long, order int, segment long, h binary").groupBy("order", "segment")
+    return probes.cogroup(model.segments.groupBy("order", "segment")).applyInArrow(answer, "slice long, order int, segment long, levels binary")
+
+
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, m int"
 
 
@@ -310,54 +448,62 @@ def score_documents(docs: DataFrame, model: NgramModel, words: DataFrame, modulo
     words are known to every task, those of the others are joined. Null texts are empty, repeated rows
     keep a row each, null doc_ids are not held out, other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None, filters=[replace(f, bits=None) for f in model.filters]))
 
-    def score(batches):
-        part, row = TaskContext.get().partitionId() << 40, 0
+    def score(own, answers):
         model = shared.value
         floor = np.log10(model.n + model.v + 1)
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            for low, high in slices(offsets):
-                h, n = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], NOT_SPACE)
-                logs = np.concatenate([[0], np.cumsum(model.log_probabilities(h, n))])
-                h, n = np.insert(h, np.cumsum(n), END), n + 1
-                ends = np.cumsum(n)
-                at = np.minimum(np.searchsorted(model.words, h), max(len(model.words) - 1, 0))
-                exact = model.words[at] == h if len(model.words) else np.zeros(len(h), bool)
-                base = np.where(exact, np.log10((model.counts[at] if len(model.words) else at) + 1) - floor, 0)
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (exact, base)]
-                known, base = (s[ends] - s[ends - n] for s in sums)
-                keys = part + row + np.arange(high - low)
-                row += high - low
-                doc = np.repeat(keys, n)[~exact]
-                order = np.lexsort((h[~exact], doc))
-                doc, rest = doc[order], h[~exact][order]
-                new = np.ones(len(rest), bool)
-                new[1:] = (rest[1:] != rest[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rest)))
-                none = len(first)
-                zero = np.zeros(none)
-                yield pa.RecordBatch.from_arrays(
+        done = []
+        for at, raw in zip(own.column("slice").to_pylist(), own.column("rows")):
+            rows, h, n = opened(raw)
+            levels = []
+            for k, grams in enumerate(runs(*with_marks(h, n), model.order), 1):
+                found = answers.filter(pc.equal(answers.column("order"), k)).sort_by("segment")
+                place = asked(grams, model.filters[k - 1].segments)[2]
+                levels.append(joined(found, "levels", np.int8)[place] if found.num_rows else np.zeros(len(grams), np.int8))
+            logs = np.concatenate([[0], np.cumsum(model.log_probabilities(h, n, levels))])
+            h, n = np.insert(h, np.cumsum(n), END), n + 1
+            ends = np.cumsum(n)
+            near = np.minimum(np.searchsorted(model.words, h), max(len(model.words) - 1, 0))
+            exact = model.words[near] == h if len(model.words) else np.zeros(len(h), bool)
+            base = np.where(exact, np.log10((model.counts[near] if len(model.words) else near) + 1) - floor, 0)
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (exact, base)]
+            known, base = (x[ends] - x[ends - n] for x in sums)
+            keys = (at << 24) + np.arange(len(n))
+            doc = np.repeat(keys, n)[~exact]
+            order = np.lexsort((h[~exact], doc))
+            doc, rest = doc[order], h[~exact][order]
+            new = np.ones(len(rest), bool)
+            new[1:] = (rest[1:] != rest[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(rest)))
+            none = len(first)
+            zero = np.zeros(none)
+            done.append(
+                pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([keys, doc[first]])),
-                        pa.concat_arrays([batch.column(0).slice(low, high - low), pa.nulls(none, pa.int64())]),
-                        pa.concat_arrays([batch.column(1).slice(low, high - low), pa.nulls(none, pa.bool_())]),
+                        pa.concat_arrays([*rows.column(0).chunks, pa.nulls(none, pa.int64())]),
+                        pa.concat_arrays([*rows.column(1).chunks, pa.nulls(none, pa.bool_())]),
                         pa.array(np.concatenate([n, zero.astype(np.int64)])),
                         pa.array(np.concatenate([known, zero]).astype(np.int64)),
                         pa.array(np.concatenate([base, zero])),
                         pa.array(np.concatenate([logs[ends] - logs[ends - n], zero])),
                         # rows of documents are spread like words, and count no word
                         pa.array(signed(np.concatenate([mix(keys.astype(np.uint64), np.full(1, END)), rest[first]]))),
-                        pa.array(np.concatenate([np.zeros(high - low, np.int32), times.astype(np.int32)])),
+                        pa.array(np.concatenate([np.zeros(len(n), np.int32), times.astype(np.int32)])),
                     ],
                     [x.split()[0] for x in SCORED.split(", ")],
                 )
+            )
+        return pa.Table.from_batches(done)
 
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = F.col("m") * (F.log10(c + 1) - F.log10(F.lit(float(model.n + model.v + 1))))
-    rows = _rows(docs, held, modulo).mapInArrow(score, SCORED).join(words, "h", "left")
+    sliced = staged(cut_slices(_rows(docs, held, modulo)), "slices")
+    levels = staged(find_levels(sliced, model), "levels")
+    scored = sliced.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, SCORED)
+    rows = scored.join(words, "h", "left")
     return (
         rows.groupBy("key")
         .agg(

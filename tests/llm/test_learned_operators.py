@@ -200,3 +200,21 @@ def test_factor_machine_identity():
     i, x = np.array([0, 3, 5, 8]), rng.normal(size=4)
     slow = 0.3 + m.w[i] @ x + sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a in range(4) for b in range(a))
     assert np.isclose(m.margin(i, x, np.array([4]))[0], slow)
+
+
+def test_lm_keeps_every_training_ngram(spark):
+    """Words, pairs and triples seen once stay in the filters among 20 million training words."""
+    from chunkcast.llm.textbytes import NOT_SPACE, text_buffers, word_hashes
+
+    rare = [(None, f"a{k} b{k} c{k} of the day") for k in range(60)]
+    docs = spark.range(480).selectExpr("id AS doc_id", "repeat('x ', 50000) AS text").unionByName(cases.frame(spark, rare).select("doc_id", "text"))
+    model, words = lm_score.train(docs)
+    assert model.n > 2**24 and all(own.bits is None for own in model.filters)
+    got = lm_score.score_documents(docs, model, words).where("doc_id is null").collect()
+    h, n = word_hashes(*text_buffers(pa.array([t for _, t in rare])), NOT_SPACE)
+    logs = model.log_probabilities(h, n).reshape(60, -1).sum(axis=1)
+    grams = lm_score.runs(*lm_score.with_marks(h, n), 3)
+    assert all((own.levels(g) > 0).all() for own, g in zip(model.filters, grams))
+    # seen once: 3 words, 4 pairs and 4 triples a text
+    assert [int(own.number[1]) for own in model.filters] == [180, 240, 240]
+    assert np.allclose(sorted(r.score for r in got), sorted(logs)) and (logs > -40).all()
