@@ -62,20 +62,25 @@ def _wide_space_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class TextEncoder:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    Special token strings in a text are ordinary text. ``dtype`` is that of the ids: two bytes for
-    vocabularies of up to 65,536 entries, else four. The dictionary starts anew beyond ``most`` units.
+    With ``added``, rows that hold the text of an added token go whole to the library, which splits there
+    as it does by default; without it, special token strings are ordinary text (the library's
+    ``encode_special_tokens``). ``dtype`` is that of the ids: two bytes for vocabularies of up to 65,536
+    entries, else four. The dictionary starts anew beyond ``most`` units.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_200_000, added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        known = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        self.added = [t.content.encode() for t in known]
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.width = 2 if self.vocabulary <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.most = most
-        self.kind = self._kind(json.loads(self.tokenizer.to_str()))
+        # tokens that match normalized text cannot be found in the raw one
+        self.kind = None if any(t.normalized for t in known) else self._kind(json.loads(self.tokenizer.to_str()))
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._forget()
@@ -172,7 +177,34 @@ class TextEncoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.which = keys[order], np.concatenate([self.which, named])[order]
 
+    def _added_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows that hold the text of an added token."""
+        raw, rows = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[row + 1]
+                if inside:
+                    rows.add(row)
+                at = raw.find(token, int(offsets[row + 1]) if inside else at + 1)
+        return sorted(rows)
+
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes, at = [], [], 0
+        for row in [*(self._added_rows(data, offsets) if self.kind else ()), len(offsets) - 1]:
+            if row > at:
+                got, n = self._plain(data[offsets[at] : offsets[row]], offsets[at : row + 1] - offsets[at])
+                ids.append(got)
+                sizes.append(n)
+            if row < len(offsets) - 1:
+                whole = self._library(data[offsets[row] : offsets[row + 1]].tobytes().decode())
+                ids.append(np.array(whole, self.dtype))
+                sizes.append(np.array([len(whole)], np.int64))
+            at = row + 1
+        return np.concatenate([np.zeros(0, self.dtype), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(rows, np.int64)
@@ -216,4 +248,4 @@ class TextEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """The worker's encoder for a tokenizer file."""
-    return TextEncoder(path)
+    return TextEncoder(path, added=True)

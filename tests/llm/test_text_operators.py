@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from chunkcast.llm import bitpack, decontaminate, jaccard_join, packing
 from chunkcast.llm.textbytes import hash_word
-from chunkcast.llm.token_ids import TextEncoder
+from chunkcast.llm.token_ids import TextEncoder, encoder
 
 WORD_FILE, BYTE_FILE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ENCODERS = {f: TextEncoder(f, most=50) for f in (WORD_FILE, BYTE_FILE)}
@@ -187,3 +187,18 @@ def test_token_files(spark):
 
 def test_word_hashes_are_those_of_single_words():
     assert hash_word("ABC") == hash_word("abc") != hash_word("abd")
+
+
+@pytest.mark.parametrize("path", [WORD_FILE, BYTE_FILE])
+def test_added_tokens_in_texts_are_split_as_by_the_library(spark, path):
+    tool = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> a", "plain text", "", "<|endoftext|>", "a<|endoftext|><|startoftext|>b é", "<|endof", "text|> x", "<|ENDOFTEXT|> it's", None, "x"]
+    want = [[*tool.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    own = []
+    for _, ids, n in encoder(path).encode(pa.array(texts, pa.string()), end_id=7):
+        own += [ids[e - k : e].tolist() for e, k in zip(np.cumsum(n), n)]
+    assert own == want
+    pieces = packing.pack_documents(cases.frame(spark, list(enumerate(texts))), path, end_id=7, length=1024).collect()
+    assert {p.doc_id: np.frombuffer(p.ids, "<u4" if len(p.ids) == 4 * p.length else "<u2").tolist() for p in pieces} == dict(enumerate(want))
+    manifest = bitpack.write_token_files(cases.frame(spark, list(enumerate(texts))), path, end_id=7)
+    assert {r.doc_id: r.n_tokens for r in bitpack.read_token_files(manifest).collect()} == {k: len(w) for k, w in enumerate(want)}
