@@ -101,13 +101,94 @@ def _advance(order: Order, tolerance: float):
     return advance
 
 
+def _lag_products(long: int):
+    """The number of own rows and the products with each of the ``long`` rows before, of a block's centred values."""
+
+    def products(rows: np.ndarray, own: np.ndarray, row, order: Order) -> np.ndarray:
+        return np.array([own.sum(), *(rows[i:] * own[i:] @ rows[: len(rows) - i] for i in range(long + 1) if i < len(rows))])
+
+    return products
+
+
+def _two_stage(long: int):
+    """Normal equations of the regression on own lags and on lags of a long autoregression's residuals."""
+
+    def products(v: np.ndarray, own: np.ndarray, row, order: Order) -> np.ndarray:
+        e = np.convolve(v, np.r_[1.0, -np.asarray(row["long"], dtype=float)])[: len(v)]
+        e[:long] = 0
+        lags = [(v, i) for i in range(1, order.p + 1)] + [(v, j * order.m) for j in range(1, order.sp + 1)]
+        lags += [(e, i) for i in range(1, order.q + 1)] + [(e, j * order.m) for j in range(1, order.sq + 1)]
+        cols = np.array([np.r_[np.zeros(min(i, len(x))), x[: max(len(x) - i, 0)]] for x, i in lags] + [v])[:, own]
+        return (cols @ cols.T).ravel()
+
+    return products
+
+
+def _block_totals(blocks: DataFrame, asked: DataFrame, order: Order, size: int, products) -> DataFrame:
+    """``series_id, total``: the sums over all blocks of what ``products`` gives for one."""
+    lost = order.d + order.m * order.sd
+
+    def sums(rows: pd.DataFrame, series: pd.DataFrame) -> pd.DataFrame:
+        if not len(series) or not len(rows):
+            return pd.DataFrame(columns=["series_id", "cells"])
+        rows = rows[rows["idx"] > lost].sort_values("idx")
+        v = rows["w"].to_numpy(dtype=float) - series["centre"].iloc[0]
+        cells = products(v, ~rows["_halo"].to_numpy(dtype=bool), series.iloc[0], order)
+        return pd.DataFrame({"series_id": [series["series_id"].iloc[0]], "cells": [cells]})
+
+    placed = asked.selectExpr("*", f"explode(sequence(0, (n - 1) DIV {size})) AS _block")
+    made = blocks.groupBy("series_id", "_block").cogroup(placed.groupBy("series_id", "_block"))
+    cells = made.applyInPandas(sums, "series_id string, cells array<double>").select("series_id", F.posexplode("cells"))
+    added = cells.groupBy("series_id", "pos").agg(F.sum("col").alias("col")).groupBy("series_id")
+    return added.agg(F.array_sort(F.collect_list(F.struct("pos", "col")))["col"].alias("total"))
+
+
+def _seeds(blocks: DataFrame, w: DataFrame, lacking: DataFrame, order: Order, size: int, reach: int) -> DataFrame:
+    """``series_id, theta`` from all rows: Yule-Walker for a long autoregression, then the two-stage regression."""
+    far = max(order.q, order.m * order.sq)
+    long = max(1, min(max(10, order.p + order.q + 2, order.m + 2 if order.sp + order.sq else 0), reach - far))
+    held = F.avg("w") if order.constants() else F.lit(0.0)
+    range_of = w.where("w IS NOT NULL").groupBy("series_id").agg(held.alias("centre"), (F.max("w") > F.min("w")).alias("lively"))
+    asked = lacking.join(range_of.where("lively"), "series_id").select("series_id", "n", "centre")
+
+    def yule_walker(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                gamma = np.zeros(long + 1)
+                gamma[: len(r.total) - 1] = r.total[1:]
+                table = gamma[np.abs(np.subtract.outer(np.arange(long), np.arange(long)))]
+                out.append((r.series_id, r.n, r.centre, np.linalg.lstsq(table, gamma[1:], rcond=1e-10)[0]))
+            yield pd.DataFrame(out, columns=["series_id", "n", "centre", "long"])
+
+    first = asked.join(_block_totals(blocks, asked, order, size, _lag_products(long)), "series_id")
+    asked = staged(first.mapInPandas(yule_walker, "series_id string, n bigint, centre double, long array<double>"), "long-lags")
+
+    def regress(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                k = order.p + order.sp + order.q + order.sq
+                table = np.asarray(r.total, dtype=float).reshape(k + 1, k + 1)
+                theta = np.r_[np.linalg.lstsq(table[:k, :k], table[:k, k], rcond=1e-10)[0], [r.centre / (order.m if order.sd else 1)] * order.constants()]
+                probe = CssProblem.of_differenced(np.zeros(1), order)
+                while not probe.stable(theta, 0.98):
+                    theta[:k] *= 0.9
+                out.append((r.series_id, theta))
+            yield pd.DataFrame(out, columns=["series_id", "theta"])
+
+    second = asked.join(_block_totals(blocks, asked, order, size, _two_stage(long)), "series_id")
+    return second.mapInPandas(regress, "series_id string, theta array<double>")
+
+
 def fit_whole_sarima(
     train: DataFrame, order: Order, tol: int = 500, start_rows: int = 2_000, passes: int = 12,
     block_rows: int = BLOCK_ROWS, tolerance: float = 1e-8,
 ) -> DataFrame:
     """``models`` with one row per series: a fixed order fitted to all of its rows.
 
-    Starts from the fit of the first ``start_rows`` rows and makes at most ``passes`` passes over the
+    Starts from the fit of the first ``start_rows`` rows, or where they give none, from a two-stage
+    regression over all rows, and makes at most ``passes`` passes over the
     data, fewer if every series has converged. ``tol`` is the length after which the weights of the
     autoregressive form count as zero. The state between passes is a written table.
     """
@@ -131,6 +212,16 @@ def fit_whole_sarima(
     head = train.filter(F.col("idx") <= start_rows).select("series_id", "idx", "y")
     state = staged(head.groupBy("series_id").applyInPandas(first_fit, STATE), "state")
     size = max(block_rows, 4 * reach)
+    lacking = state.where("theta IS NULL").join(keys.where(F.col("n") > start_rows), "series_id").select("series_id", "n")
+    if not lacking.isEmpty():
+        seeds = _seeds(blocks, w, lacking, order, size, reach).withColumnRenamed("theta", "seed")
+        both = state.join(seeds, "series_id", "left")
+        state = staged(
+            both.selectExpr(
+                "series_id", "coalesce(theta, seed) AS theta", "coalesce(base, seed) AS base", "size", "sse", "step", "done AND seed IS NULL AS done"
+            ),
+            "state",
+        )
     for _ in range(passes):
         placed = state.join(keys, "series_id").selectExpr(
             "series_id", "theta", "done", f"explode(sequence(0, (n - 1) DIV {size})) AS _block"

@@ -37,3 +37,16 @@ def test_blocks_give_the_fit_of_the_whole_series(spark, order, integrate):
     assert got["tiny"].status == "too_short" and got["tiny"].sigma2 is None
     model = cb.combine(ex.expand_models(models, 50)).collect()
     assert sorted(r.series_id for r in model) == ["a", "b"] and all(len(r.coef) == 52 for r in model)
+
+
+def test_a_flat_head_does_not_lose_the_series(spark):
+    order = Order(1, 0, 1, 0, 0, 0, 1, True)
+    lively = simulate(3000, ar=(0.6,), ma=(0.3,), mean=10)
+    named = {"late": np.r_[np.full(400, 10.0), lively], "flat": np.full(900, 3.0), "plain": lively}
+    train = pr.index_series(series_frames(spark, named), HOUR)
+    got = {r.series_id: r for r in fit_whole_sarima(train, order, tol=150, start_rows=300, block_rows=700).collect()}
+    expected = fit_css(named["late"], order)
+    assert got["late"].status == got["plain"].status == "ok"
+    assert got["late"].ar == pytest.approx(expected["ar"], abs=2e-3) and got["late"].ma == pytest.approx(expected["ma"], abs=2e-3)
+    assert got["late"].sigma2 == pytest.approx(expected["sigma2"], rel=1e-4)
+    assert got["flat"].sigma2 is None
