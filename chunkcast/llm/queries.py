@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkcast.llm import bitpack, decontaminate, hnsw, jaccard_join, lm_score, packing, quality, toxicity, url_filter, warc_zip
+from chunkcast.llm import bitpack, decontaminate, hnsw, jaccard_join, lm_score, packing, periodic_runs, quality, repeated_passages, toxicity, url_filter, warc_zip, whitening
 from chunkcast.llm.labelled import remainder
 
 
@@ -107,7 +107,49 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"), components=8)
+
+
+def planted_runs(text, doc_id):
+    """The contract's texts: of every tenth crc32(doc_id), the words from a on become a run of period p."""
+    w = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    h = F.crc32(doc_id.cast("string"))
+    n, g = F.size(w).cast("long"), F.floor(h / 10).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+    turned = F.array_join(F.transform(place, lambda i: F.element_at(w, (i + 1).cast("int"))), " ")
+    return F.when((h % 10 == 0) & (n > 0), turned).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``best`` is the run of the greatest exact length / period, of several the first with the smallest period."""
+    docs = table(spark, d, "documents").select("doc_id", planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    found = docs.select("doc_id", periodic_runs.periodic_runs(F.col("text")).alias("found"))
+    found = found.select("doc_id", "found.runs", "found.collapsed")
+    nothing = F.lit(None).cast("struct<start bigint, length bigint, period bigint>")
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", nothing, lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    kept = repeated_passages.remove_repeats(table(spark, d, "documents"), width=35)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["length"])
+    return kept.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_lm_score, op3_jaccard_join, op4_bitpack, op5_warc, op6_embedding_dedup, op7_decontamination, op8_packing, op9_toxicity, op10_quality)
+    for f in (op1_url_filter, op2_lm_score, op3_jaccard_join, op4_bitpack, op5_warc, op6_embedding_dedup, op7_decontamination, op8_packing, op9_toxicity, op10_quality, op11_whitening, op12_periodic_runs, op13_substring_dedup)
 }

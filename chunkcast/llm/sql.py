@@ -74,4 +74,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES = {"op3_jaccard_join": OP3, "op5_warc": OP5, "op6_embedding_dedup": OP6, "op7_decontamination": OP7}
+#: A window is named by its 35 words; it counts for its words if it starts in two places.
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), v AS (
+  SELECT rid, k, array_to_string(w[k:k + 34], ' ') AS t
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)
+), r AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY t) AS c FROM v) WHERE c > 1),
+gone AS (SELECT rid, list(DISTINCT p) AS g FROM (SELECT rid, unnest(range(k, k + 35)) AS p FROM r) GROUP BY rid),
+words AS (SELECT rid, p, w[p] AS x FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (
+  SELECT words.rid, string_agg(x, ' ' ORDER BY words.p) AS t, count(*) AS n
+  FROM words LEFT JOIN (SELECT rid, unnest(g) AS p FROM gone) o ON o.rid = words.rid AND o.p = words.p
+  WHERE o.p IS NULL GROUP BY words.rid
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+ORACLES = {"op3_jaccard_join": OP3, "op5_warc": OP5, "op6_embedding_dedup": OP6, "op7_decontamination": OP7, "op13_substring_dedup": OP13}

@@ -141,3 +141,34 @@ def ngrams(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def longer_runs(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Hashes of runs put together from a first and a second part each; order matters."""
+    return mix(first[: len(then)] * _ODD + np.uint64(1), then)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Texts of ``counts`` words each, the byte ranges in order, joined by one space."""
+    sizes = ends - starts + 1
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    source = np.arange(places[-1]) + np.repeat(starts - places[:-1], sizes)
+    out = np.append(data, np.uint8(32))[source]
+    out[places[1:] - 1] = 32
+    row = places[np.concatenate([[0], np.cumsum(counts)])]
+    keep = np.ones(len(out), bool)
+    keep[row[1:][counts > 0] - 1] = False  # no space after a last word
+    offsets = row - np.concatenate([[0], np.cumsum(counts > 0)])
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[keep])]
+    return pa.Array.from_buffers(pa.large_string(), len(counts), buffers).cast(pa.string())
+
+
+def marked(inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A mask over ``inside`` places that is true in the given ranges."""
+    steps = np.zeros(inside + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
