@@ -116,10 +116,12 @@ def planted_runs(text, doc_id):
     w = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     h = F.crc32(doc_id.cast("string"))
     n, g = F.size(w).cast("long"), F.floor(h / 10).cast("long")
-    a = g % n
+    a = g % F.greatest(n, F.lit(1))
     p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
-    turned = F.array_join(F.transform(place, lambda i: F.element_at(w, (i + 1).cast("int"))), " ")
+    period = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    run = F.slice(F.flatten(F.array_repeat(period, times)), 1, (n - a).cast("int"))
+    turned = F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), run), " ")
     return F.when((h % 10 == 0) & (n > 0), turned).otherwise(text)
 
 
