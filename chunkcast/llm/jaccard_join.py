@@ -7,6 +7,11 @@ budgets (0, 1, 2) sum to one more than the greatest difference, no pair is lost.
 from segments that make many candidates, by costs measured over all documents. Candidates are verified
 with the exact sets.
 
+Segments that are empty in both sets agree without saying anything. A table therefore has some more segments
+than the budgets need (its slack), and a set does not index its empty segments while their budgets sum to no
+more than the slack: the budgets of the others then still exceed the greatest difference, so two similar
+sets of which one is such agree elsewhere. Sets with more empty segments index them all.
+
 Equal sets are one class from the start. In a group of classes with equal segments every class is first
 compared with the group's pivot only. What is not connected then is compared in tiles of bounded size that
 hold the sets of two blocks of classes; classes of one component need no further comparison, so pairs
@@ -30,6 +35,8 @@ SET_SEED, SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767
 COST_SAMPLE = np.uint64(63)
 #: The cost of verifying a candidate, in signature rows.
 VERIFY_COST = 20
+#: At most one of so many segments gives its budget to another one, so that the slack still covers empty subsets.
+MOVED = 16
 #: Bins of a set's count profile, a byte each.
 BINS = 128
 #: At most about so many classes are in one block; larger groups are compared tile by tile.
@@ -43,6 +50,7 @@ class Bands:
     percent: int
     floor: np.ndarray
     segments: np.ndarray  # of each band's table; 1 where only equal sets can be similar
+    slack: np.ndarray  # budgets of empty segments that a set of the table may leave out
 
     @staticmethod
     def of(percent: int, most: int = 1 << 40) -> Bands:
@@ -50,7 +58,14 @@ class Bands:
         while floor[-1] <= most:
             floor.append(100 * floor[-1] // percent + 1)
         low = np.array(floor, np.int64)
-        return Bands(percent, low[:-1], (100 - percent) * (low[1:] - 1) // percent + 1)
+        need = (100 - percent) * (low[1:] - 1) // percent + 1
+        slack = np.zeros(len(need), np.int64)
+        for _ in range(20):  # the budgets of empty segments of nearly all sets of the least size
+            m = need + slack
+            fill = low[:-1] / m
+            empty = (m + 2 * fill * np.maximum(m // MOVED, 1)) * np.exp(-fill)
+            slack = np.where(need > 1, (empty + 2 * np.sqrt(empty)).astype(np.int64), 0)
+        return Bands(percent, low[:-1], need + slack, slack)
 
     def band(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.floor, n, "right") - 1
@@ -137,9 +152,13 @@ class Signer:
         for k in np.unique(table).tolist():
             if k in self.budgets:
                 budget[table[of] == k] = np.tile(self.budgets[k], int((table == k).sum()))
-        on = budget > 0
+        size = np.bincount(slot, minlength=len(sums))
+        blank = (size == 0) | (size == 1) & (budget == 2)  # an empty subset is indexed
+        spent = np.bincount(of, np.where(blank, budget, 0), minlength=len(which))
+        left_out = (spent <= self.bands.slack[table])[of]
+        on = (budget > 0) & ~(left_out & (size == 0))
         out = [(mix(sums[on], key[on]), which[of[on]], table[of[on]], segment[on])]
-        near = budget[slot] == 2  # the segment's subsets without one n-gram
+        near = (budget[slot] == 2) & ~(left_out & (size == 1))[slot]  # the segment's subsets without one n-gram
         if near.any():
             s = slot[near]
             out.append((mix(sums[s] - weight[near], key[s]), which[of[s]], table[of[s]], segment[s]))
@@ -165,7 +184,7 @@ def allocate(costs: dict[tuple[int, int], int], sets: dict[int, int], bands: Ban
         budget = np.ones(m, np.int8)
         dear = np.argsort(-pairs, kind="stable")
         cheap = dear[::-1]
-        for k in range(m // 2):
+        for k in range(max(m // MOVED, 1)):
             gain = VERIFY_COST * pairs[dear[k]] + rows
             loss = VERIFY_COST * pairs[cheap[k]] + deletions
             if gain <= loss:
@@ -315,8 +334,40 @@ def _stars(signatures: DataFrame) -> DataFrame:
     return signatures.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(stars, "sig long, pivot long, fp long")
 
 
-def _grams(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``fp, grams`` (sorted 64-bit hashes) of the classes ``wanted``, built again from one text of each."""
+def _fine_profiles(sets: Sets, some: np.ndarray) -> pa.Array:
+    """Count profiles of the sets ``some`` with at most two n-grams a bin on average, a byte a bin;
+    empty where a byte is too small. The number of bins is the greatest power of two within the size."""
+    n = sets.n[some]
+    bins = 1 << (np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1)
+    first = np.cumsum(bins) - bins
+    owner = np.repeat(np.arange(len(n)), n)
+    places = first[owner] + (sets.weight[np.repeat(some, sets.n)] & (bins[owner] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(places, minlength=int(bins.sum()))
+    fits = np.maximum.reduceat(counts, first) <= 255 if len(n) else np.zeros(0, bool)
+    return binary_column(counts[np.repeat(fits, bins)].astype(np.uint8), bins * fits)
+
+
+def _room(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """At most so large an intersection, and at least so large a union, of sets of these profiles."""
+    if not len(x) or not len(y):
+        return 1, 1
+    least = min(len(x), len(y))  # bins of a larger profile fold onto those of a smaller one
+    u, v = (p.reshape(-1, least).sum(0, dtype=np.int64) for p in (x, y))
+    most = int(np.minimum(u, v).sum())
+    return most, int(u.sum() + v.sum()) - most
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return common, len(x) + len(y) - common
+
+
+def _grams(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, coarse: bool = False) -> DataFrame:
+    """``fp, grams`` (sorted 64-bit hashes) of the classes ``wanted``, built again from one text of each;
+    fine profiles instead of the sets if ``coarse``."""
     keys = classes.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")).select("key").distinct()
     keys = staged(keys, "keys")
     small = keys.count() <= 1_000_000  # 16 MB at most; beyond it the texts are shuffled
@@ -328,16 +379,17 @@ def _grams(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -
         for batch in batches:
             for _, _, s in _sets_of(batch, 0, width):
                 new = _fresh(seen, s.fp, s.n)
-                flat = signed(s.tokens)[np.repeat(new, s.n)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.fp)[new]), binary_column(flat, s.n[new])], ["fp", "grams"])
+                own = _fine_profiles(s, new) if coarse else binary_column(signed(s.tokens)[np.repeat(new, s.n)], s.n[new])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.fp)[new]), own], ["fp", "grams"])
 
     return texts.mapInArrow(sets, "fp long, grams binary")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, coarse: bool = False) -> DataFrame:
     """``a, b, common, either`` (sizes of intersection and union) of the pairs of classes ``a, b``.
 
-    A class ``a`` with many partners is dealt to several groups.
+    A class ``a`` with many partners is dealt to several groups. ``coarse`` compares fine profiles, an
+    eighth as large as the sets at most: then ``common`` is no smaller and ``either`` no larger than with sets.
     """
     pairs = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("m")), "a").select(
         "a", "b", F.ceil(F.col("m") / TILE).cast("int").alias("groups")
@@ -348,14 +400,15 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
         F.col("a").alias("fp"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role")
     )
     needs = staged(member.unionByName(centre), "needs")
-    grams = _grams(docs, classes, needs.select("fp").distinct(), width)
+    grams = _grams(docs, classes, needs.select("fp").distinct(), width, coarse)
+    kind, sizes = (np.uint8, _room) if coarse else (np.uint64, _overlap)
     rows = needs.join(grams, "fp").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "fp")
 
     def compare(batches):
         centre, held, before = None, None, None
         for batch in batches:
             data, offsets = binary_buffers(batch.column("grams"))
-            flat, ends = data.view(np.int64).view(np.uint64), offsets // 8
+            flat, ends = data.view(kind), offsets // np.dtype(kind).itemsize
             out = []
             for k, (a, salt, role, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "fp")))):
                 own = flat[ends[k] : ends[k + 1]]
@@ -364,10 +417,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
                         centre, held, before = (a, salt), own.copy(), None
                 elif fp != before:  # the same class from two tasks
                     before = fp
-                    small, large = (own, held) if len(own) <= len(held) else (held, own)
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    common = int((large[at] == small).sum())
-                    out.append((a, fp, common, len(own) + len(held) - common))
+                    out.append((a, fp, *sizes(own, held)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b", "common", "either"])
 
@@ -400,8 +450,8 @@ def _unsettled(stars: DataFrame, components: DataFrame) -> DataFrame:
     return staged(whole.unionByName(own), "unsettled")
 
 
-def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``a, b`` that connect all components of each group which have similar classes.
+def _tiles(members: DataFrame) -> DataFrame:
+    """``tile, key, kind, fp, comp, block, same``: the members of each group, dealt to tiles.
 
     Large components are split into blocks of their own, small ones share blocks. A tile holds two
     blocks, or one with itself; tiles inside one component are left out.
@@ -423,31 +473,77 @@ def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width:
         F.explode(F.filter("all", lambda o: ~(o["large"] & F.col("block")["large"] & (o["of"] == F.col("block")["of"])))),
     )
     tile = F.xxhash64("key", "kind", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(tile.alias("tile"), "fp", "comp", F.xxhash64("block").alias("block"), (F.col("block") == F.col("other")).alias("same"))
-    grams = _grams(docs, classes, members.select("fp").distinct(), width).dropDuplicates(["fp"])
-    placed = rows.join(grams, "fp").repartition("tile").sortWithinPartitions("tile", "comp", "fp")
+    same = F.col("block") == F.col("other")
+    return rows.select(tile.alias("tile"), "key", "kind", "fp", "comp", F.xxhash64("block").alias("block"), same.alias("same"))
+
+
+def _each_tile(rows: DataFrame, work, kind, columns: list[str], schema: str) -> DataFrame:
+    """``work(columns, flat, ends)`` on each tile; ``flat[ends[k]:ends[k + 1]]`` is row k of the binary ``grams``."""
+    placed = rows.select("tile", "same", *columns, "grams").repartition("tile").sortWithinPartitions("tile", "comp", "fp")
 
-    def links(batches):
+    def run(batches):
         last, held = None, []
         for batch in batches:
             data, offsets = binary_buffers(batch.column("grams"))
-            flat, ends = data.view(np.int64).view(np.uint64), offsets // 8
-            for k, (t, fp, comp, block, same) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "fp", "comp", "block", "same")))):
+            flat, ends = data.view(kind), offsets // np.dtype(kind).itemsize
+            for k, (t, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "same", *columns)))):
                 if t != last:
-                    yield from compare(held)
+                    yield from done(held)
                     last, held = t, []
-                held.append((fp, comp, block, same, flat[ends[k] : ends[k + 1]].copy()))
-        yield from compare(held)
-
-    def compare(held):
-        if len(held) < 2:
-            return
-        fp, comp, block = (np.array([h[k] for h in held], np.int64) for k in range(3))
-        same = held[0][3]
+                held.append((*own, flat[ends[k] : ends[k + 1]].copy()))
+        yield from done(held)
+
+    def done(held):
+        if len(held) > 1:
+            own = {c: np.array([h[k + 1] for h in held], np.int64) for k, c in enumerate(columns)}
+            yield from work(held[0][0], own, [h[-1] for h in held])
+
+    return placed.mapInArrow(run, schema)
+
+
+def _promising(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The members that, as far as count profiles ``fp, grams`` tell, may link to another component of their group.
+
+    An empty profile rules nothing out.
+    """
+
+    def find(same, own, profiles):
+        comp, block = own["comp"], own["block"]
+        bins = np.array([len(p) for p in profiles])
+        n = np.array([int(p.sum(dtype=np.int64)) for p in profiles])
+        open_ones = bins == 0
+        hit = np.full(len(bins), bool(open_ones.any())) | open_ones
+        for width in np.unique(bins[~open_ones]).tolist():
+            some = np.flatnonzero((bins == width) | (bins == 2 * width))  # similar sets have at most twice the bins
+            folded = np.stack([profiles[k].reshape(-1, width).sum(0, dtype=np.uint16) for k in some.tolist()])
+            for k in np.flatnonzero(bins[some] == width).tolist():
+                on = (comp[some] != comp[some[k]]) & ~(hit[some] & hit[some[k]])
+                if not same:
+                    on &= block[some] != block[some[k]]
+                on &= 100 * np.minimum(n[some], n[some[k]]) >= percent * np.maximum(n[some], n[some[k]])
+                others = np.flatnonzero(on)
+                if len(others):
+                    most = np.minimum(folded[others], folded[k]).sum(1, dtype=np.int64)
+                    near = others[100 * most >= percent * (n[some[others]] + n[some[k]] - most)]
+                    hit[some[near]] = True
+                    hit[some[k]] |= len(near) > 0
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(own[c][hit]) for c in ("key", "kind", "fp", "comp")], ["key", "kind", "fp", "comp"])
+
+    rows = _tiles(members).join(profiles, "fp")
+    found = _each_tile(rows, find, np.uint8, ["key", "kind", "fp", "comp", "block"], "key long, kind long, fp long, comp long")
+    return staged(found.distinct().withColumn("kind", F.col("kind").cast("int")), "promising")
+
+
+def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that connect all components of each group which have similar classes."""
+
+    def compare(same, own, sets):
+        fp, comp, block = own["fp"], own["comp"], own["block"]
         _, comp, size = np.unique(comp, return_inverse=True, return_counts=True)
         order = np.argsort(size[comp], kind="stable")  # small components look for partners in large ones
         fp, comp, block = fp[order], comp[order], block[order]
-        sets = [held[k][4] for k in order.tolist()]
+        sets = [sets[k] for k in order.tolist()]
         n = np.array([len(x) for x in sets])
         flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
         found = []
@@ -474,7 +570,9 @@ def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return staged(placed.mapInArrow(links, "a long, b long"), "tile-links")
+    grams = _grams(docs, classes, members.select("fp").distinct(), width).dropDuplicates(["fp"])
+    found = _each_tile(_tiles(members).join(grams, "fp"), compare, np.uint64, ["fp", "comp", "block"], "a long, b long")
+    return staged(found, "tile-links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -493,12 +591,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     stars = staged(_stars(_signatures(docs, width, Signer(bands, budgets), False)), "stars")
     pairs = stars.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
     sizes = classes.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    verified = _verified(docs, classes, staged(_possible(pairs, classes, percent), "pairs"), width)
     similar = F.col("common") * 100 >= F.col("either") * percent
-    links = verified.where(similar).select("a", "b")
+    pairs = staged(_possible(pairs, classes, percent), "pairs")
+    pairs = _verified(docs, classes, pairs, width, coarse=True).where(similar).select("a", "b")
+    links = _verified(docs, classes, pairs, width).where(similar).select("a", "b")
     components = connected_components(links)
     members = _unsettled(stars, components)
     if not members.isEmpty():
+        known = classes.where("fp is not null").groupBy("fp").agg(F.coalesce(F.max("profile"), F.lit(b"")).alias("grams"))
+        members = _promising(members, known, percent)
+        fine = _grams(docs, classes, members.select("fp").distinct(), width, coarse=True).dropDuplicates(["fp"])
+        members = _promising(members, fine, percent)
         components = connected_components(links.unionByName(_tile_links(docs, classes, members, width, percent)))
     comp = components.select(F.col("id").alias("fp"), F.col("component_id").alias("comp"))
     named = sizes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
