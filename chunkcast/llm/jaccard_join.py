@@ -575,15 +575,11 @@ def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width:
     return staged(found, "tile-links")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, key, n_shingles, group, component_id`` of every row of ``docs``.
 
-    Words are what stands between white space, with A-Z lower-cased; a set holds the distinct runs of
-    ``width`` words, or the whole sequence if it is shorter. Rows link when 100 * intersection >=
-    ``percent`` * union; ``component_id`` is the least doc_id reachable by links. Null and empty texts
-    have no set, link with nothing and are their own component. Repeated rows and rows with equal sets
-    are one class and keep a row each; null doc_ids link but name no component unless all are null.
-    Other columns are ignored, an empty table gives an empty result.
+    ``key`` is xxhash64 of the text (null: empty); ``group`` names the rows that links connect, whatever
+    their ids, and is null for rows without a set. The rest is as in ``jaccard_components``.
     """
     bands = Bands.of(percent)
     classes = _classes(docs, width)
@@ -606,9 +602,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     comp = components.select(F.col("id").alias("fp"), F.col("component_id").alias("comp"))
     named = sizes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = staged(named.join(least, "comp").select("fp", "component_id"), "class-components")
+    of_class = staged(named.join(least, "comp").select("fp", F.col("comp").alias("group"), "component_id"), "class-components")
     return classes.join(of_class, "fp", "left").select(
         "doc_id",
+        "key",
         F.col("n").alias("n_shingles"),
+        "group",
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+
+    Words are what stands between white space, with A-Z lower-cased; a set holds the distinct runs of
+    ``width`` words, or the whole sequence if it is shorter. Rows link when 100 * intersection >=
+    ``percent`` * union; ``component_id`` is the least doc_id reachable by links. Null and empty texts
+    have no set, link with nothing and are their own component. Repeated rows and rows with equal sets
+    are one class and keep a row each; null doc_ids link but name no component unless all are null.
+    Other columns are ignored, an empty table gives an empty result.
+    """
+    return jaccard_groups(docs, width, percent).select("doc_id", "n_shingles", "component_id")

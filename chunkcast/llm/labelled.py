@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chunkcast.session import staged
+
 
 def remainder(column: str, modulo: int) -> Column:
     """crc32 of an id as text, modulo; null for a null id."""
@@ -20,31 +22,43 @@ def training_texts(
     held_out: int = 1,
     most_rows: int = 4_000,
     most_bytes: int = 12_000_000,
+    least_rows: int = 50,
 ) -> pa.Table:
     """``text, label`` (0 or 1) and ``extra`` columns of a bounded sample of labelled documents.
 
     Rows of ``labels`` with a null id or label, or whose crc32(doc_id as text) modulo ``modulo`` is
-    ``held_out``, are never used; a document with several labels takes the largest. The sample is the
-    first ``most_rows`` documents in the order of a hash of doc_id, cut at ``most_bytes`` of text in the
-    same order. Null texts count as empty, equal texts once for each label.
+    ``held_out``, are never used; a document with several labels takes the largest, one with several rows
+    the text of the least hash. The sample is taken from the documents of ``docs`` in the order of a hash of
+    doc_id: the first ``most_rows``, of which ``least_rows`` of either label as far as there are so many. A text
+    of more than a sixteenth of ``most_bytes``, or that oversteps ``most_bytes`` with those before it, is passed
+    over. Null texts count as empty, equal texts once for each label. A label that documents have,
+    but only with texts too large, is an error; without labelled documents the table is empty.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", modulo) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *extra).join(F.broadcast(chosen), "doc_id")
-    sizes = rows.select("doc_id", F.octet_length("text").alias("size")).groupBy("doc_id").agg(F.sum("size").alias("size"))
-    sizes = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect()
-    total, ids = 0, []
-    for r in sizes:
-        total += r.size
-        if total > most_bytes:
-            break
-        ids.append(r.doc_id)
-    if not ids:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *extra)
+    sizes = rows.select("doc_id", F.struct(F.xxhash64("text").alias("key"), F.octet_length("text").alias("size")).alias("one"))
+    found = sizes.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("one").alias("one")).select("doc_id", "label", "one.*")
+    found = staged(found, "labelled")
+    order, fits = (F.xxhash64("doc_id"), "doc_id"), F.col("size") <= most_bytes // 16
+    exist = {r.label: r.n for r in found.groupBy("label").agg(F.count_if(fits).alias("n")).collect()}
+    if any(n == 0 for n in exist.values()):
+        raise ValueError(f"every training text of a label of {label} has more than {most_bytes // 16} bytes")
+    first = found.where(fits).orderBy(*order).limit(most_rows).collect()
+    few = [v for v in exist if sum(r.label == v for r in first) < min(least_rows, exist[v])]
+    if few:  # the other label makes room at its end
+        own = found.where(fits & (F.col("label") == few[0])).orderBy(*order).limit(least_rows).collect()
+        first = own + [r for r in first if r.label != few[0]][: most_rows - len(own)]
+    total, chosen = 0, []
+    for r in first:
+        if total + r.size <= most_bytes:
+            total += r.size
+            chosen.append((r.doc_id, r.key, r.label))
+    if not chosen:
         schema = [("text", pa.string()), ("label", pa.int32())]
         return pa.table({n: pa.array([], t) for n, t in schema} | {c: pa.array([], pa.string()) for c in extra})
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    picked = rows.join(F.broadcast(few), "doc_id", "left_semi").dropDuplicates(["doc_id"]).dropDuplicates(["text", "label"])
-    return picked.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label", *(F.col(c).cast("string") for c in extra)).toArrow()
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, key long, label int")
+    picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "key"])
+    picked = picked.dropDuplicates(["doc_id"]).dropDuplicates(["text", "label"])
+    return picked.orderBy(*order).select("text", "label", *(F.col(c).cast("string") for c in extra)).toArrow()

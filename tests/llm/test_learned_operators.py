@@ -218,3 +218,20 @@ def test_lm_keeps_every_training_ngram(spark):
     # seen once: 3 words, 4 pairs and 4 triples a text
     assert [int(own.number[1]) for own in model.filters] == [180, 240, 240]
     assert np.allclose(sorted(r.score for r in got), sorted(logs)) and (logs > -40).all()
+
+
+def test_a_huge_text_costs_only_itself(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    huge = [("w " * 6_500_000) if k < 3 else f"text {k}" for k in range(200)]
+    out = training_texts(cases.frame(spark, list(enumerate(huge))), labels, "quality", held_out=9)
+    assert out.num_rows == 197
+    rows = [(k, f"text {k}" if k % 2 else "v " * 500) for k in range(200)]
+    with pytest.raises(ValueError):
+        training_texts(cases.frame(spark, rows), labels, "quality", most_bytes=8_000)
+
+
+def test_the_sample_has_both_labels_and_one_row_an_id(spark):
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(1, 2_000)] + [(5_000 + k, 1) for k in range(50)], "doc_id long, toxic int")
+    rows = [(k, f"text {k}") for k in range(2_000)] + [(7, f"again {j}") for j in range(400)]
+    out = training_texts(cases.frame(spark, rows), labels, "toxic", held_out=9, most_rows=100, least_rows=15)
+    assert out.num_rows == 100 and sum(out.column("label").to_pylist()) == 15

@@ -1,5 +1,7 @@
 """The stages keep the columns of documents, act on what is left, and survive awkward tables."""
 
+import random
+
 import brute
 import cases
 import pytest
@@ -70,6 +72,16 @@ def test_awkward_tables(spark, name, stage):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_choose_rows_not_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (cases.sentence(rng, 40) for _ in range(4))
+    rows = [(1, a), (1, b), (2, c), (3, b + " x"), (None, c), (None, d), (None, d), (4, None), (4, ""), (5, c), (6, "y " + a), (6, "y " + a)]
+    out = corpus_pipeline.near_duplicates(spark, cases.frame(spark, rows), SF)
+    assert out.columns == cases.frame(spark, rows).columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (2, c), (None, d), (4, None), (4, "")], key=str)
+
+
 def test_run_is_registered(spark):
     assert entry_module.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
