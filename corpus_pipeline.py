@@ -29,23 +29,28 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id.
+    """One row of each group of near copies: that of the least doc_id, of equal ones the least text hash.
 
-    Groups are connected by a Jaccard similarity of at least 0.8 on runs of five words. Repeated rows of
-    the least doc_id keep one; documents without an id cannot be named, so they stay if their group has
-    no id at all.
+    Groups are connected by a Jaccard similarity of at least 0.8 on runs of five words. Rows without an id
+    are the last choice of their group; of repeated rows one stays. Rows without words have no group and
+    all stay.
     """
-    groups = jaccard_join.jaccard_components(docs, width=5, percent=80)
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = staged(kept, "kept")
-    small = kept.count() <= 2_000_000  # 32 MB at most; beyond it the documents are shuffled
+    groups = jaccard_join.jaccard_groups(docs, width=5, percent=80).where("group is not null")
+    rows = groups.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
+    best = F.min_by(F.struct("doc_id", "key", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = staged(rows.groupBy("group").agg(best.alias("row")).select("row.*"), "kept")
+    small = kept.count() <= 2_000_000  # 48 MB at most; beyond it the documents are shuffled
+
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key, own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), free_name(docs, "_key")
 
     def chosen(some: DataFrame) -> DataFrame:
-        ids = some.select("doc_id")
-        return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").select(docs.columns)
+        some = some.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col(own) == F.col("_kept_key"))
+        return docs.withColumn(own, key).join(F.broadcast(some) if small else some, same, "left_semi")
 
-    once, repeated = chosen(kept.where("n = 1")), chosen(kept.where("n > 1")).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    once, repeated = chosen(kept.where("n = 1")), chosen(kept.where("n > 1")).dropDuplicates(["doc_id", own])
+    return once.unionByName(repeated).drop(own).unionByName(docs.where(~words))
 
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
