@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chunkcast.llm.components import connected_components
 from chunkcast.llm.textbytes import NOT_SPACE, binary_buffers, binary_column, mix, ngrams, signed, slices, text_buffers, word_hashes
-from chunkcast.session import staged
+from chunkcast.session import staged as written
 
 SET_SEED, SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Segments whose signature falls on one residue are counted for the costs: an even sample of signatures.
@@ -43,6 +43,17 @@ BINS = 128
 TILE = 1024
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written with small Arrow batches, as rows hold whole sets."""
+    conf, option = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(option)
+    conf.set(option, "8m")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(option, before)
+
+
 @dataclass(frozen=True)
 class Bands:
     """Size bands of a threshold in percent: ``floor[k]`` is the least size of band k."""
@@ -545,7 +556,6 @@ def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width:
         fp, comp, block = fp[order], comp[order], block[order]
         sets = [sets[k] for k in order.tolist()]
         n = np.array([len(x) for x in sets])
-        flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
         found = []
         for k in range(len(sets) - 1):
             on = comp != comp[k]
@@ -554,13 +564,13 @@ def _tile_links(docs: DataFrame, classes: DataFrame, members: DataFrame, width:
                 on &= block != block[k]
             on &= (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
             others = np.flatnonzero(on)
-            for low in range(0, len(others), 256):
-                some = others[low : low + 256]
+            for low in range(0, len(others), 64):
+                some = others[low : low + 64]
                 some = some[comp[some] != comp[k]]
                 if not len(some):
                     continue
                 m = n[some]
-                pick = flat[np.repeat(ends[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                pick = np.concatenate([sets[j] for j in some.tolist()])
                 at = np.minimum(np.searchsorted(sets[k], pick), n[k] - 1)
                 common = np.add.reduceat((sets[k][at] == pick).astype(np.int64), np.cumsum(m) - m)
                 for j in some[100 * common >= percent * (m + n[k] - common)].tolist():
