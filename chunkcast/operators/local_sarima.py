@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chunkcast.config import ForecastConfig, SearchOptions
 from chunkcast.functions.css import Order, approximate_aicc, difference_orders, fit_css
+from chunkcast.operators.differences import choose_differences
 from chunkcast.operators.local_ar import CHUNK, fit_local_ar
 
 MODEL_SCHEMA = (
@@ -150,14 +151,9 @@ def fit_sarima(chunked: DataFrame, config: ForecastConfig, slots: int = 1) -> Da
 
 
 def diff_orders(chunked: DataFrame, config: ForecastConfig) -> DataFrame:
-    """``(series_id, chunk, d, sd)``: differences that the automatic choice takes per chunk."""
-    options, m = config.search, config.period
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, sd = difference_orders(_values(pdf), m, options.max_d, options.max_D)
-        return pdf[CHUNK].head(1).assign(d=d, sd=sd)
-
-    return _spread(chunked).groupBy(*CHUNK).applyInPandas(choose, "series_id string, chunk int, d int, sd int")
+    """``(series_id, chunk, d, sd)``: differences that the automatic choice takes per chunk, from block sums."""
+    options = config.search
+    return choose_differences(chunked, config.period, options.max_d, options.max_D).select(*CHUNK, "d", "sd")
 
 
 def search_ar(chunked: DataFrame, max_p: int) -> DataFrame:

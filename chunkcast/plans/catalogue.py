@@ -332,6 +332,11 @@ def diff_orders(spark, d):
     return choose_differences(chunked, ForecastConfig(period=7))
 
 
+def diff_orders_whole(spark, d):
+    """The same choice for whole series, one chunk each."""
+    return choose_differences(pr.assign_chunks(events_indexed(spark, d), 1), ForecastConfig(period=24))
+
+
 # ---- combination ----------------------------------------------------------------------------
 
 
@@ -582,7 +587,7 @@ QUERIES = {
         row_index_ranged, gap_fill, gap_fill_index, csv_round_trip, zone_export, coefficients_csv, forecast_csv, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
         ar1_local, ar2_local, ar3_local, css_loss, ar1_trend_local, local_weights, model_rows, model_status,
         order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar,
-        sarima_whole, sarima_whole_ar, diff_orders,
+        sarima_whole, sarima_whole_ar, diff_orders, diff_orders_whole,
         dlsa_weighted, dlsa_orders, global_sigma2, dlsa_full_p2,
         poly_product, pi_weights, pi_weights_long, ar_intercept_trend,
         lag_design, fitted_residuals, fitted_long, forecast_ar2, forecast_long, psi_weights, forecast_se, intervals_multi,

@@ -198,6 +198,61 @@ def _query(ctes: list[str], select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)}\n{select}"
 
 
+def _kpss(name: str, values: str) -> str:
+    """Level-stationarity statistic of each chunk of ``values`` (series_id, chunk, t, y), lag by lag."""
+    return f"""{name}_e AS (
+  SELECT series_id, chunk, t, y - avg(y) OVER c AS e, count(*) OVER c AS n, max(y) OVER c - min(y) OVER c AS spread
+  FROM {values} WINDOW c AS (PARTITION BY series_id, chunk)),
+{name}_c AS (
+  SELECT *, sum(e) OVER (PARTITION BY series_id, chunk ORDER BY t) AS c, CAST(floor(3 * sqrt(n) / 13) AS BIGINT) AS lags
+  FROM {name}_e WHERE n > 10 AND spread > 0),
+{name}_lags AS (
+  SELECT a.series_id, a.chunk, sum((1 - (a.t - b.t) / (a.lags + 1)) * a.e * b.e) AS s
+  FROM {name}_c a JOIN {name}_c b ON a.series_id = b.series_id AND a.chunk = b.chunk AND b.t < a.t AND b.t >= a.t - a.lags
+  GROUP BY 1, 2),
+{name} AS (
+  SELECT series_id, chunk, sum(c * c) / (max(n) * (sum(e * e) + 2 * coalesce(max(s), 0))) > 0.463 AS wanders
+  FROM {name}_c LEFT JOIN {name}_lags USING (series_id, chunk) GROUP BY 1, 2)"""
+
+
+def _differences(m: int) -> list[str]:
+    """d and sd of every chunk: at most one seasonal and two plain differences."""
+    half, cut = m // 2, (m + 1 - m % 2) // 2
+    ends = "" if m % 2 else f" - 0.5 * (lag(y, {half}) OVER c + lead(y, {half}) OVER c)"
+    levels = []
+    for d, source in ((0, "seasoned"), (1, "once")):
+        levels.append(_kpss(f"kpss{d}", source))
+        if d == 0:
+            levels.append("""once AS (
+  SELECT series_id, chunk, t - 1 AS t, y - x AS y
+  FROM (SELECT *, lag(y) OVER (PARTITION BY series_id, chunk ORDER BY t) AS x FROM seasoned JOIN kpss0 USING (series_id, chunk) WHERE wanders)
+  WHERE x IS NOT NULL)""")
+    return [
+        f"""smooth AS (
+  SELECT series_id, chunk, pos, y - (sum(y) OVER (c ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING){ends}) / {m} AS x,
+         count(*) OVER (PARTITION BY series_id, chunk) AS n
+  FROM chunked WINDOW c AS (PARTITION BY series_id, chunk ORDER BY pos)),
+phased AS (
+  SELECT series_id, chunk, x, x - avg(x) OVER (PARTITION BY series_id, chunk, (pos - {cut} - 1) % {m}) AS rest
+  FROM smooth WHERE n > {2 * m} AND pos > {cut} AND pos <= n - {cut}),
+seasons AS (
+  SELECT series_id, chunk, var_pop(x) > 0 AND 1 - var_pop(rest) / var_pop(x) > 0.64 AS seasonal FROM phased GROUP BY 1, 2),
+judged AS (
+  SELECT series_id, chunk, pos, y, lag(y, {m}) OVER (PARTITION BY series_id, chunk ORDER BY pos) AS x, coalesce(seasonal, false) AS seasonal
+  FROM chunked LEFT JOIN seasons USING (series_id, chunk)),
+seasoned AS (
+  SELECT series_id, chunk, CASE WHEN seasonal THEN pos - {m} ELSE pos END AS t, CASE WHEN seasonal THEN y - x ELSE y END AS y
+  FROM judged WHERE NOT seasonal OR x IS NOT NULL)""",
+        *levels,
+    ]
+
+
+_DIFF_SELECT = """SELECT j.series_id, j.chunk, {extra}
+  CASE WHEN coalesce(a.wanders, false) THEN CASE WHEN coalesce(b.wanders, false) THEN 2 ELSE 1 END ELSE 0 END AS d,
+  CASE WHEN any_value(seasonal) THEN 1 ELSE 0 END AS sd
+FROM judged j LEFT JOIN kpss0 a USING (series_id, chunk) LEFT JOIN kpss1 b USING (series_id, chunk)
+GROUP BY j.series_id, j.chunk, a.wanders, b.wanders"""
+
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS ts"
 
 
@@ -539,6 +594,8 @@ states AS (
   CASE WHEN rows = dropped THEN 'empty' WHEN trained = 0 THEN 'short' WHEN failed = 1 THEN 'no_model' ELSE 'ok' END AS status
 FROM states""",
     ),
+    "diff_orders": _query([SHIPMENTS, INDEXED, _chunked(CHUNKS), *_differences(7)], _DIFF_SELECT.format(extra="")),
+    "diff_orders_whole": _query([EVENTS, INDEXED, _chunked(1), *_differences(24)], _DIFF_SELECT.format(extra="")),
     "flagship": _query(
         [EVENTS_ALL, SPLIT, _chunked(CHUNKS), AR2, GLOBAL2, _steps(HORIZON, "HOUR"), _intervals([95]), _scale(24), SCORES],
         f"SELECT step, {TS.format('ts')}, {_r('y', 'pred', 'lower', 'upper', 'mase', 'smape', 'msis', digits=4)} FROM scores",
