@@ -20,7 +20,7 @@ KEYS = ", ".join(CHUNK)
 BLOCK = f"PARTITION BY {KEYS}, _block"
 
 
-def _differenced(rows: DataFrame, sd: int, d: int, m: int, block_rows: int) -> DataFrame:
+def difference_rows(rows: DataFrame, sd: int, d: int, m: int, block_rows: int) -> DataFrame:
     """Values left after the differences, with positions ``t`` from 1 and their number ``n``."""
     poly = np.ones(1)
     for stride, times in ((1, d), (m, sd)):
@@ -99,7 +99,7 @@ def choose_differences(
 
     def open_rows(sd: int, d: int) -> DataFrame:
         some = state.where((F.col("sd") == sd) & (F.col("d") == d)).select(*CHUNK)
-        return _differenced(rows.join(some, CHUNK, "left_semi").select(*CHUNK, "t", "n", "y"), sd, d, m, block_rows)
+        return difference_rows(rows.join(some, CHUNK, "left_semi").select(*CHUNK, "t", "n", "y"), sd, d, m, block_rows)
 
     def raised(found: DataFrame, counter: str, value: int, above) -> DataFrame:
         more = (F.col(counter) == value) & F.coalesce(above, F.lit(False))

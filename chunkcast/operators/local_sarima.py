@@ -37,7 +37,7 @@ def candidate_orders(options: SearchOptions, period: int) -> list[tuple[int, int
     ]
 
 
-def _with_constant(options: SearchOptions, d: int, sd: int, wanted: bool) -> tuple[bool, bool] | None:
+def with_constant(options: SearchOptions, d: int, sd: int, wanted: bool) -> tuple[bool, bool] | None:
     """(mean, drift) of a candidate, or None if differencing leaves no such constant."""
     if not wanted:
         return False, False
@@ -111,7 +111,7 @@ def fit_candidates(chunked: DataFrame, config: ForecastConfig, slots: int = 1) -
         mine = candidates[int(pdf["slot"].iloc[0]) :: slots]
         orders = []
         for p, q, sp, sq, wanted in mine:
-            constant = _with_constant(options, d, sd, wanted)
+            constant = with_constant(options, d, sd, wanted)
             if constant is not None:
                 orders.append(Order(p, d, q, sp, sd, sq, m, *constant))
         if options.approximation and orders:

@@ -25,6 +25,7 @@ from chunkcast.operators.local_ar import fit_local_ar, rebase_trend
 from chunkcast.operators.local_sarima import diff_orders as choose_differences
 from chunkcast.operators.local_sarima import fit_sarima, search_ar
 from chunkcast.operators.whole_sarima import fit_whole_sarima
+from chunkcast.operators.whole_search import fit_automatic
 from chunkcast.plans import runs
 from chunkcast.session import shared_dir, staged
 from chunkcast.sources import series as src, sinks
@@ -327,6 +328,24 @@ def sarima_whole_ar(spark, d):
     return rounded(out, "sigma2", "mean", "pi1", "pi2", digits=4)
 
 
+def whole_order_ar(spark, d):
+    """The automatic order of whole series among autoregressions, which plain least squares must confirm."""
+    search = SearchOptions(max_p=2, max_q=0, max_P=0, max_Q=0)
+    chunked = pr.assign_chunks(staged(events_indexed(spark, d), "events"), 1)
+    models = fit_automatic(chunked, ForecastConfig(period=24, search=search), tol=50, best=99, tolerance=1e-12)
+    parts = {f"pi{i}": F.get("ar", F.lit(i - 1)) for i in (1, 2)}
+    out = models.withColumns(parts).withColumn("level", F.coalesce("mean", "drift"))
+    return rounded(out.select("series_id", "n_k", "d", "sd", "p", *parts, "level", "sigma2"), *parts, "level", "sigma2", digits=4)
+
+
+def whole_order_seasonal(spark, d):
+    """The automatic order of whole series with moving-average and seasonal terms."""
+    search = SearchOptions(max_p=2, max_q=2, max_P=1, max_Q=1)
+    chunked = pr.assign_chunks(staged(events_indexed(spark, d), "events"), 1)
+    models = fit_automatic(chunked, ForecastConfig(period=24, search=search), tol=200)
+    return rounded(models.select("series_id", "n_k", "p", "d", "q", "sp", "sd", "sq", "sigma2", "aicc", "status"), "sigma2", "aicc", digits=2)
+
+
 def diff_orders(spark, d):
     chunked = pr.assign_chunks(shipments_indexed(spark, d), CHUNKS, ForecastConfig.max_chunk_rows)
     return choose_differences(chunked, ForecastConfig(period=7))
@@ -489,7 +508,7 @@ def whole_series_forecast(spark, d):
     config = ForecastConfig(
         period=24, tol=200, h=HORIZON, search=SearchOptions(max_p=2, max_q=1, max_P=1, max_Q=1, max_order=3)
     )
-    out = runs.forecast_whole_series(train, config, slots=4)
+    out = runs.forecast_whole_series(train, config, distributed=True)
     return rounded(text_ts(out), "pred", "se", "lower", "upper", digits=3)
 
 
@@ -587,7 +606,7 @@ QUERIES = {
         row_index_ranged, gap_fill, gap_fill_index, csv_round_trip, zone_export, coefficients_csv, forecast_csv, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
         ar1_local, ar2_local, ar3_local, css_loss, ar1_trend_local, local_weights, model_rows, model_status,
         order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar,
-        sarima_whole, sarima_whole_ar, diff_orders, diff_orders_whole,
+        sarima_whole, sarima_whole_ar, diff_orders, diff_orders_whole, whole_order_ar, whole_order_seasonal,
         dlsa_weighted, dlsa_orders, global_sigma2, dlsa_full_p2,
         poly_product, pi_weights, pi_weights_long, ar_intercept_trend,
         lag_design, fitted_residuals, fitted_long, forecast_ar2, forecast_long, psi_weights, forecast_se, intervals_multi,

@@ -17,6 +17,7 @@ from chunkcast.operators.expand import expand_models
 from chunkcast.operators.local_ar import rebase_trend
 from chunkcast.operators.local_sarima import fit_sarima
 from chunkcast.operators.whole_sarima import fit_whole_sarima
+from chunkcast.operators.whole_search import fit_automatic
 from chunkcast.session import staged
 from chunkcast.sources.sinks import write_bundle
 
@@ -35,12 +36,13 @@ def forecast_whole_series(
 
     By default the same steps with one chunk per series, the candidates of a series dealt to
     ``slots`` tasks that hold the whole series; ``max_chunk_rows`` is left out of account, as cutting
-    the series would be another model. ``distributed`` fits a fixed order to all rows of a series of
-    any length, block by block.
+    the series would be another model. ``distributed`` fits a fixed order, or the best one of the search, to all
+    rows of a series of any length, block by block.
     """
-    if distributed:
-        if config.order is None:
-            raise ValueError("the distributed fit of whole series takes a fixed order")
+    if distributed and config.order is None:
+        models = fit_automatic(pr.assign_chunks(train, 1), config)
+        local = expand_models(models, config.tol, config.keep_unconverged)
+    elif distributed:
         (p, d, q), (sp, sd, sq) = config.order, config.seasonal
         drift = config.search.allow_drift and d + sd == 1
         order = Order(p, d, q, sp, sd, sq, config.period, config.search.allow_mean, drift)

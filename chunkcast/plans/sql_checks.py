@@ -253,6 +253,45 @@ _DIFF_SELECT = """SELECT j.series_id, j.chunk, {extra}
 FROM judged j LEFT JOIN kpss0 a USING (series_id, chunk) LEFT JOIN kpss1 b USING (series_id, chunk)
 GROUP BY j.series_id, j.chunk, a.wanders, b.wanders"""
 
+def _ar_grid(m: int) -> list[str]:
+    """Least squares of the autoregressions of order 0, 1 and 2, with and without a constant, on the differenced values."""
+    sums = ", ".join(
+        f"sum({a} * {b}) FILTER (WHERE l{p} IS NOT NULL) - k * sum({a}) FILTER (WHERE l{p} IS NOT NULL) * sum({b}) FILTER (WHERE l{p} IS NOT NULL) / count(l{p}) AS {name}{p}"
+        for p in (0, 1, 2)
+        for name, a, b in (("yy", "l0", "l0"), ("y1", "l0", "l1"), ("y2", "l0", "l2"), ("aa", "l1", "l1"), ("ab", "l1", "l2"), ("bb", "l2", "l2"))
+        if max(int(a[1]), int(b[1])) <= p
+    )
+    means = ", ".join(f"avg(l{j}) FILTER (WHERE l{p} IS NOT NULL) AS m{j}{p}" for p in (0, 1, 2) for j in range(p + 1))
+    det = "(aa2 * bb2 - ab2 * ab2)"
+    one, two = f"((y12 * bb2 - y22 * ab2) / {det})", f"((y22 * aa2 - y12 * ab2) / {det})"
+    return [
+        """twice AS (
+  SELECT series_id, chunk, t - 1 AS t, y - x AS y
+  FROM (SELECT *, lag(y) OVER (PARTITION BY series_id, chunk ORDER BY t) AS x FROM once JOIN kpss1 USING (series_id, chunk) WHERE wanders)
+  WHERE x IS NOT NULL),
+stationary AS (
+  SELECT series_id, chunk, t, y, 0 AS d FROM seasoned LEFT JOIN kpss0 USING (series_id, chunk) WHERE NOT coalesce(wanders, false)
+  UNION ALL SELECT series_id, chunk, t, y, 1 FROM once LEFT JOIN kpss1 USING (series_id, chunk) WHERE NOT coalesce(wanders, false)
+  UNION ALL SELECT series_id, chunk, t, y, 2 FROM twice),
+kinds AS (SELECT series_id, chunk, count(*) AS n_k, CASE WHEN any_value(seasonal) THEN 1 ELSE 0 END AS sd FROM judged GROUP BY 1, 2),
+back AS (
+  SELECT series_id, chunk, d, y AS l0, lag(y, 1) OVER c AS l1, lag(y, 2) OVER c AS l2
+  FROM stationary WINDOW c AS (PARTITION BY series_id, chunk ORDER BY t))""",
+        f"""moments AS (
+  SELECT series_id, chunk, any_value(d) AS d, k, count(*) AS n, {sums}, {means}
+  FROM back CROSS JOIN (SELECT unnest([0, 1]) AS k) c GROUP BY series_id, chunk, k)""",
+        f"""grid AS (
+  SELECT series_id, chunk, d, k, n, 0 AS p, NULL AS pi1, NULL AS pi2, yy0 AS sse, m00 AS level FROM moments
+  UNION ALL SELECT series_id, chunk, d, k, n, 1, y11 / aa1, NULL, yy1 - y11 * y11 / aa1, (m01 - y11 / aa1 * m11) / (1 - y11 / aa1) FROM moments
+  UNION ALL SELECT series_id, chunk, d, k, n, 2, {one}, {two}, yy2 - {one} * y12 - {two} * y22,
+    (m02 - {one} * m12 - {two} * m22) / (1 - {one} - {two}) FROM moments),
+judged_grid AS (
+  SELECT *, p + k AS free, n * ln(sse / (n - p)) + 2 * (p + k + 1) + 2 * (p + k + 1) * (p + k + 2) / (n - (p + k + 1) - 1) AS aicc
+  FROM grid JOIN kinds USING (series_id, chunk) WHERE k = 0 OR d + sd <= 1),
+chosen_order AS (SELECT * FROM judged_grid QUALIFY row_number() OVER (PARTITION BY series_id, chunk ORDER BY aicc, p) = 1)""",
+    ]
+
+
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS ts"
 
 
@@ -596,6 +635,12 @@ FROM states""",
     ),
     "diff_orders": _query([SHIPMENTS, INDEXED, _chunked(CHUNKS), *_differences(7)], _DIFF_SELECT.format(extra="")),
     "diff_orders_whole": _query([EVENTS, INDEXED, _chunked(1), *_differences(24)], _DIFF_SELECT.format(extra="")),
+    "whole_order_ar": _query(
+        [EVENTS, INDEXED, _chunked(1), *_differences(24), *_ar_grid(24)],
+        f"""SELECT series_id, n_k, d, sd, p, {_r('pi1', 'pi2', digits=4)},
+  CASE WHEN k = 1 THEN round(level / CASE WHEN sd = 1 THEN 24 ELSE 1 END, 4) + 0.0 END AS level,
+  round(sse / (n - free), 4) + 0.0 AS sigma2 FROM chosen_order""",
+    ),
     "flagship": _query(
         [EVENTS_ALL, SPLIT, _chunked(CHUNKS), AR2, GLOBAL2, _steps(HORIZON, "HOUR"), _intervals([95]), _scale(24), SCORES],
         f"SELECT step, {TS.format('ts')}, {_r('y', 'pred', 'lower', 'upper', 'mase', 'smape', 'msis', digits=4)} FROM scores",

@@ -132,6 +132,8 @@ def test_levels_name_the_offender():
         fc.check_levels([-1])
 
 
-def test_distributed_whole_series_needs_an_order(spark):
-    with pytest.raises(ValueError, match="fixed order"):
-        runs.forecast_whole_series(pr.index_series(series_frame(spark, range(50)), HOUR), ForecastConfig(), distributed=True)
+def test_distributed_whole_series_without_an_order_keeps_every_step(spark):
+    train = pr.index_series(series_frame(spark, [5 + (k * 37 % 11) for k in range(120)]), HOUR)
+    config = ForecastConfig(period=1, tol=20, h=6, search=SearchOptions(max_p=1, max_q=1))
+    out = runs.forecast_whole_series(train, config, distributed=True).collect()
+    assert sorted(r.step for r in out) == list(range(1, 7)) and all(r.pred is not None for r in out)
