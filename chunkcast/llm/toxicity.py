@@ -42,6 +42,13 @@ class Words:
     hashes: np.ndarray
 
 
+def _some(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a range holds a marked byte."""
+    before = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, dtype=np.int32, out=before[1:])
+    return before[ends] > before[starts]
+
+
 def describe(data: np.ndarray, offsets: np.ndarray) -> Words:
     starts, ends, counts = word_spans(data, offsets, ALNUM)
     low = LOWER[data]
@@ -58,9 +65,11 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Words:
     kinds += [hash_spans(low, s, np.minimum(s + k, e)) for k in PREFIXES]
     kinds += [hash_spans(low, np.maximum(e - k, s), e) for k in SUFFIXES]
     kinds.append(np.minimum(length, 24).astype(np.uint64))
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58), dtype=np.int32)])
-    wide = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int32)])
-    shape = (digits[e] > digits[s]) + 2 * (wide[e] > wide[s]) + 4 * (data[s] != low[s]) if len(s) else np.zeros(0, np.int64)
+    shape = np.zeros(len(s), np.int64)
+    if len(s):
+        shape += _some((data >= 48) & (data < 58), s, e)
+        shape += 2 * _some(data >= 128, s, e)
+        shape += 4 * (data[s] != low[s])
     kinds += [shape.astype(np.uint64), np.zeros(len(s), np.uint64)]
     features = [(mix(x, np.full(1, np.uint64(k + 1))) % np.uint64(BUCKETS)).astype(np.int64) for k, x in enumerate(kinds)]
     return Words(starts, ends, counts, place, np.stack(features, axis=1), h)
@@ -266,9 +275,7 @@ def fit(texts: pa.Table, width: int = 200, clean_per_toxic: int = 4, steps: int
         weights -= rate * g / np.sqrt(past)
         field.transitions -= rate * gt / np.sqrt(past_t)
     field.weights[used] = weights
-    u = np.clip(field.weights[words.features].sum(1), -30, 30)[words.place]
-    p, _ = Chains(words.counts).marginals(u, field.transitions)
-    x = summaries(p, words.counts)
+    x = _summaries_in_parts(field, words)
     beta = field.doc.copy()
     for _ in range(60):  # damped Newton steps on the penalised logistic loss
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -281,6 +288,22 @@ def fit(texts: pa.Table, width: int = 200, clean_per_toxic: int = 4, steps: int
     return field
 
 
+def _summaries_in_parts(field: ToxicityField, words: Words, most: int = 100_000) -> np.ndarray:
+    """``summaries`` of all texts, a part of about ``most`` words at a time, as the messages take many times a word."""
+    potential = np.clip(field.weights[words.features].sum(1), -30, 30)
+    ends = np.cumsum(words.counts)
+    cuts = np.unique(np.searchsorted(ends, np.arange(most, ends[-1] + most, most), "right").clip(1, len(ends)))
+    parts, low = [], 0
+    for high in cuts.tolist():
+        counts = words.counts[low:high]
+        place = words.place[ends[low] - words.counts[low] : ends[high - 1]]
+        parts.append(summaries(Chains(counts).marginals(potential[place], field.transitions)[0], counts))
+        low = high
+    if low < len(ends):
+        parts.append(summaries(np.zeros(0), words.counts[low:]))
+    return np.concatenate(parts)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", **sample) -> ToxicityField:
     """Fit on the bounded sample of ``labelled.training_texts``, whose limits are passed on."""
     return fit(training_texts(docs, labels, label, **sample))
