@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chunkcast.llm.components import connected_components
-from chunkcast.llm.textbytes import NOT_SPACE, binary_buffers, binary_column, mix, ngrams, signed, slices, text_buffers, word_hashes
+from chunkcast.llm.textbytes import NOT_SPACE, binary_buffers, binary_column, mix, ngrams, release, signed, slices, text_buffers, word_hashes
 from chunkcast.session import staged as written
 
 SET_SEED, SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -431,6 +431,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
                     out.append((a, fp, *sizes(own, held)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b", "common", "either"])
+        release()
 
     columns = ["a", "salt", "role", "fp", "grams"]
     return staged(rows.select(columns).mapInArrow(compare, "a long, b long, common long, either long"), "verified")
@@ -503,6 +504,8 @@ def _each_tile(rows: DataFrame, work, kind, columns: list[str], schema: str) ->
                     last, held = t, []
                 held.append((*own, flat[ends[k] : ends[k + 1]].copy()))
         yield from done(held)
+        held.clear()
+        release()
 
     def done(held):
         if len(held) > 1:

@@ -7,6 +7,7 @@ only); two of n different words share one with a probability of about n^2 / 2^65
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,14 +56,25 @@ def binary_column(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), data]).cast(pa.binary())
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system; a worker lives on and would hold its largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(offsets: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ``most`` bytes each, or one longer row alone."""
+    """Ranges of rows of at most ``most`` bytes each, or one longer row alone; freed memory is released after the last."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
         to = min(max(to, at + 1), n)
         yield at, to
         at = to
+    release()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
