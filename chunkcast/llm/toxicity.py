@@ -227,14 +227,7 @@ def fit(texts: pa.Table, width: int = 200, clean_per_toxic: int = 4, steps: int
     field = ToxicityField(np.zeros(BUCKETS), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if len(np.unique(labels)) < 2:
         return field
-    data, offsets = text_buffers(texts.column("text"))
-    words = describe(data, offsets)
-    grams, have = ngrams(words.hashes, words.counts, 3)
-    at = np.cumsum(have) - have
-    groups = np.arange(len(labels)).astype(np.int64)
-    some = np.flatnonzero(have)
-    if len(some):  # texts with the same least run of three words count once
-        groups[some] = np.minimum.reduceat(mix(grams, np.full(1, np.uint64(9))), at[some]).view(np.int64)
+    words, groups = _described(texts)
     y = token_labels(words, labels, groups)
     if not y.any():
         return field
@@ -288,6 +281,29 @@ def fit(texts: pa.Table, width: int = 200, clean_per_toxic: int = 4, steps: int
     return field
 
 
+def _described(texts: pa.Table) -> tuple[Words, np.ndarray]:
+    """The words of all texts, without their spans, and a group for each text: those with the same least run of
+    three words count once. Described part by part, as a part takes many times its bytes."""
+    data, offsets = text_buffers(texts.column("text"))
+    counts, places, features, hashes, groups, before = [], [], [], [], [], 0
+    for low, high in slices(offsets, 1_000_000):
+        words = describe(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        grams, have = ngrams(words.hashes, words.counts, 3)
+        at, some = np.cumsum(have) - have, np.flatnonzero(have)
+        group = np.arange(low, high)
+        if len(some):
+            group[some] = np.minimum.reduceat(mix(grams, np.full(1, np.uint64(9))), at[some]).view(np.int64)
+        distinct = np.zeros(len(words.features), np.uint64)
+        distinct[words.place] = words.hashes
+        for own, part in zip((counts, places, features, hashes, groups), (words.counts, (words.place + before).astype(np.int32), words.features, distinct, group)):
+            own.append(part)
+        before += len(distinct)
+    _, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    none = np.zeros(0, np.int64)
+    places = place.astype(np.int32)[np.concatenate(places)]
+    return Words(none, none, np.concatenate(counts), places, np.concatenate(features)[first], none), np.concatenate(groups)
+
+
 def _summaries_in_parts(field: ToxicityField, words: Words, most: int = 100_000) -> np.ndarray:
     """``summaries`` of all texts, a part of about ``most`` words at a time, as the messages take many times a word."""
     potential = np.clip(field.weights[words.features].sum(1), -30, 30)
