@@ -49,7 +49,13 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = None)
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(encode, ENCODED), "encoded")
+    conf, option = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(option)
+    conf.set(option, "8m")  # whole texts go in and their ids come out
+    try:
+        return staged(rows.mapInArrow(encode, ENCODED), "encoded")
+    finally:
+        conf.set(option, before)
 
 
 def pack(encoded: DataFrame, length: int = 1024, width: int = 2) -> DataFrame:
