@@ -21,6 +21,7 @@ from chunkcast.operators import expand as ex
 from chunkcast.operators import forecast as fc
 from chunkcast.operators import prepare as pr
 from chunkcast.operators.history import add_lags
+from chunkcast.operators.lag_set import fit_lag_set
 from chunkcast.operators.local_ar import fit_local_ar, rebase_trend
 from chunkcast.operators.local_sarima import diff_orders as choose_differences
 from chunkcast.operators.local_sarima import fit_sarima, search_ar
@@ -37,6 +38,8 @@ HORIZON = 24
 TOL_LONG, STEPS_LONG, LAGS_LONG = 250, 10_001, 26
 # Steps held out of customers' series, which are mostly short.
 STATUS_STEPS = 3
+# Lags of the seasonal autoregression (1 - a B)(1 - s B^24), freely estimated.
+SEASON_LAGS = (1, 24, 25)
 # AR, MA and seasonal MA parameters at which the loss is compared.
 CSS_POINT = (0.3, 0.4, 0.25)
 
@@ -228,6 +231,23 @@ def ar3_local(spark, d):
     return _coefs(fit_local_ar(pr.assign_chunks(shipments_indexed(spark, d), CHUNKS), 3), 3)
 
 
+def _lag_set_coefs(local: DataFrame, lags: tuple[int, ...]) -> DataFrame:
+    pis = [F.get("coef", F.lit(i + 1)).alias(f"pi{i}") for i in lags]
+    out = local.select("series_id", "chunk", "n_k", "n_eff", "status", "sigma2", F.get("coef", F.lit(0)).alias("c0"), *pis)
+    return rounded(out, "sigma2", "c0", *[f"pi{i}" for i in lags])
+
+
+def ar_season24_local(spark, d):
+    """Seasonal autoregressions on lags 1, 24 and 25 per chunk."""
+    return _lag_set_coefs(fit_lag_set(events_chunked(spark, d), list(SEASON_LAGS)), SEASON_LAGS)
+
+
+def ar1_local_gaps(spark, d):
+    """AR(1) per chunk where hours without an event keep their place and have no value."""
+    filled = pr.index_series(pr.fill_gaps(src.hourly_events(spark, d), HOUR), HOUR)
+    return _lag_set_coefs(fit_lag_set(pr.assign_chunks(filled, CHUNKS), [1]), (1,))
+
+
 def css_loss(spark, d):
     """Conditional sum of squares of a seasonal ARMA at fixed parameters, per chunk of the daily orders."""
     order = Order(1, 0, 1, 0, 0, 1, SEASON, True, False)
@@ -604,7 +624,7 @@ QUERIES = {
     for f in (
         hourly_series, hourly_total, daily_orders_series, daily_shipments_series, series_sizes, row_index,
         row_index_ranged, gap_fill, gap_fill_index, csv_round_trip, zone_export, coefficients_csv, forecast_csv, chunk_assign, chunk_counts, chunk_counts_short, split_holdout,
-        ar1_local, ar2_local, ar3_local, css_loss, ar1_trend_local, local_weights, model_rows, model_status,
+        ar1_local, ar2_local, ar3_local, ar_season24_local, ar1_local_gaps, css_loss, ar1_trend_local, local_weights, model_rows, model_status,
         order_search_ar, order_search, order_search_approximate, sarima_css, sarima_css_ar,
         sarima_whole, sarima_whole_ar, diff_orders, diff_orders_whole, whole_order_ar, whole_order_seasonal,
         dlsa_weighted, dlsa_orders, global_sigma2, dlsa_full_p2,

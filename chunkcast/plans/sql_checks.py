@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from chunkcast.plans.catalogue import CHUNKS, CSS_POINT, HORIZON, LAGS_LONG, SEASON, STATUS_STEPS, STEPS_LONG, TOL, TOL_LONG
+from chunkcast.plans.catalogue import CHUNKS, CSS_POINT, HORIZON, LAGS_LONG, SEASON, SEASON_LAGS, STATUS_STEPS, STEPS_LONG, TOL, TOL_LONG
 
 
 def _z(level: float) -> str:
@@ -299,6 +299,33 @@ def _r(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
+def _three_lags(a: int, b: int, c: int) -> str:
+    """Least squares on a constant and three lags per chunk, by Cramer's rule on centred sums."""
+    return f""", more AS (
+  SELECT series_id, chunk, y, lag(y, {a}) OVER w AS x1, lag(y, {b}) OVER w AS x2, lag(y, {c}) OVER w AS x3 FROM chunked
+  WINDOW w AS (PARTITION BY series_id, chunk ORDER BY idx)),
+centred AS (
+  SELECT series_id, chunk, y, x1, x2, x3, y - avg(y) OVER w AS dy, x1 - avg(x1) OVER w AS d1,
+         x2 - avg(x2) OVER w AS d2, x3 - avg(x3) OVER w AS d3
+  FROM more WHERE x3 IS NOT NULL WINDOW w AS (PARTITION BY series_id, chunk)),
+sums AS (
+  SELECT series_id, chunk, count(*) AS n_eff, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3,
+         sum(d1 * d1) AS a, sum(d1 * d2) AS b, sum(d1 * d3) AS c, sum(d2 * d2) AS d, sum(d2 * d3) AS e, sum(d3 * d3) AS f,
+         sum(d1 * dy) AS u, sum(d2 * dy) AS v, sum(d3 * dy) AS w FROM centred GROUP BY 1, 2),
+dets AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM sums),
+slopes AS (
+  SELECT *, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS pi{a},
+         (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det AS pi{b},
+         (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS pi{c} FROM dets),
+counts AS (SELECT series_id, chunk, count(*) AS n_k FROM chunked GROUP BY 1, 2),
+models AS (
+  SELECT s.series_id, s.chunk, any_value(n_k) AS n_k, any_value(n_eff) AS n_eff, any_value(my - pi{a} * m1 - pi{b} * m2 - pi{c} * m3) AS c0,
+         any_value(pi{a}) AS pi{a}, any_value(pi{b}) AS pi{b}, any_value(pi{c}) AS pi{c},
+         sum(power(r.dy - pi{a} * r.d1 - pi{b} * r.d2 - pi{c} * r.d3, 2)) / (any_value(n_k) - 4) AS sigma2
+  FROM centred r JOIN slopes s USING (series_id, chunk) JOIN counts USING (series_id, chunk) GROUP BY 1, 2)
+"""
+
+
 ORACLES = {
     "hourly_series": _query([EVENTS], f"SELECT series_id, {TS.format('ts')}, y FROM series"),
     "hourly_total": _query([EVENTS_ALL], f"SELECT series_id, {TS.format('ts')}, y FROM series"),
@@ -369,30 +396,36 @@ UNION ALL SELECT series_id, 'test', {TS.format('ts')}, y FROM holdout""",
     ),
     "ar3_local": _query(
         [SHIPMENTS, INDEXED, _chunked(CHUNKS)],
-        """, more AS (SELECT *, lag(y, 3) OVER (PARTITION BY series_id, chunk ORDER BY idx) AS l3 FROM lagged),
-centred AS (
-  SELECT series_id, chunk, y, l1, l2, l3, y - avg(y) OVER w AS dy, l1 - avg(l1) OVER w AS d1,
-         l2 - avg(l2) OVER w AS d2, l3 - avg(l3) OVER w AS d3
-  FROM more WHERE l3 IS NOT NULL WINDOW w AS (PARTITION BY series_id, chunk)),
-sums AS (
-  SELECT series_id, chunk, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l3) AS m3,
-         sum(d1 * d1) AS a, sum(d1 * d2) AS b, sum(d1 * d3) AS c, sum(d2 * d2) AS d, sum(d2 * d3) AS e, sum(d3 * d3) AS f,
-         sum(d1 * dy) AS u, sum(d2 * dy) AS v, sum(d3 * dy) AS w FROM centred GROUP BY 1, 2),
-dets AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM sums),
-slopes AS (
-  SELECT *, (u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS pi1,
-         (a * (v * f - e * w) - u * (b * f - e * c) + c * (b * w - v * c)) / det AS pi2,
-         (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS pi3 FROM dets),
-counts AS (SELECT series_id, chunk, count(*) AS n_k FROM chunked GROUP BY 1, 2),
-models AS (
-  SELECT s.series_id, s.chunk, any_value(n_k) AS n_k, any_value(my - pi1 * m1 - pi2 * m2 - pi3 * m3) AS c0,
-         any_value(pi1) AS pi1, any_value(pi2) AS pi2, any_value(pi3) AS pi3,
-         sum(power(r.dy - pi1 * r.d1 - pi2 * r.d2 - pi3 * r.d3, 2)) / (any_value(n_k) - 4) AS sigma2
-  FROM centred r JOIN slopes s USING (series_id, chunk) JOIN counts USING (series_id, chunk) GROUP BY 1, 2)
-SELECT series_id, chunk, n_k, """
+        _three_lags(1, 2, 3) + "SELECT series_id, chunk, n_k, "
         + _r("sigma2", "c0", "pi1", "pi2", "pi3")
         + " FROM models",
     ),
+    "ar_season24_local": _query(
+        [EVENTS, INDEXED, _chunked(CHUNKS)],
+        _three_lags(*SEASON_LAGS)
+        + "SELECT series_id, chunk, n_k, n_eff, 'ok' AS status, "
+        + _r("sigma2", "c0", *(f"pi{i}" for i in SEASON_LAGS))
+        + " FROM models",
+    ),
+    "ar1_local_gaps": _query(
+        [
+            EVENTS.replace("series AS", "present AS", 1),
+            """hours AS (
+  SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM present GROUP BY 1),
+series AS (SELECT h.series_id, h.ts, p.y FROM hours h LEFT JOIN present p ON p.series_id = h.series_id AND p.ts = h.ts)""",
+            INDEXED, _chunked(CHUNKS),
+        ],
+        """, slopes AS (
+  SELECT series_id, chunk, count(y) AS n_k, regr_count(y, l1) AS n_eff, regr_slope(y, l1) AS pi1, regr_intercept(y, l1) AS c0
+  FROM lagged GROUP BY 1, 2),
+models AS (
+  SELECT series_id, chunk, any_value(n_k) AS n_k, any_value(n_eff) AS n_eff, any_value(c0) AS c0, any_value(pi1) AS pi1,
+         sum(power(y - c0 - pi1 * l1, 2)) / (any_value(n_k) - 2) AS sigma2
+  FROM lagged JOIN slopes USING (series_id, chunk) GROUP BY 1, 2)
+SELECT series_id, chunk, n_k, n_eff, 'ok' AS status, """
+        + _r("sigma2", "c0", "pi1")
+        + " FROM models",
+    ),
     "css_loss": _query(
         [
             ORDERS, INDEXED, _chunked(CHUNKS),
