@@ -4,15 +4,21 @@ The automaton holds every run of words of every item. Document words stream thro
 the longest run that ends at this word and lies in some item. Where that run reaches the window length
 (or a whole shorter item), its words are hit. Only stretches of documents whose neighbouring words also
 neighbour in an item are streamed; numpy finds those stretches for a whole batch of documents.
+
+The items go into automata of a bounded number of words; where more than one is needed, the documents
+stream through one after another and the finds are united.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chunkcast.llm.textbytes import ALNUM, hash_spans, LOWER, mix, slices, text_buffers, word_hashes, word_spans
+from chunkcast.session import staged
 
 FOUND = T.StructType(
     [
@@ -175,21 +181,82 @@ class ItemAutomaton:
         return spans, items
 
 
-def build_automaton(items: DataFrame, window: int = 13, max_words: int = 5_000_000) -> ItemAutomaton:
-    """The automaton of an item table ``item_id, text``; every worker holds it.
+#: Words of items that one automaton takes; every Python worker holds one, at about 1,050 bytes a word.
+PART_WORDS = 500_000
+
+
+def item_parts(items: DataFrame, window: int, max_words: int) -> Iterator[list[tuple[int | None, list[int]]]]:
+    """The items ``(item id, word hashes)`` in lists of at most ``max_words`` words, read row by row.
 
-    Its size is checked: items of more than ``max_words`` words are refused, to be given in parts whose
-    results are united. Null texts have no words; words of items with a null id are hit but named by no
-    item; repeated ids are one item.
+    A longer item goes in pieces that share ``window - 1`` words, so that every window lies in one of them. Null texts
+    have no words.
     """
+    if max_words < window:
+        raise ValueError("a part must hold a window")
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > 2 * max_words:
-        raise ValueError(f"the items have more than {max_words} words; give them in parts")
-    table = rows.toArrow()
-    h, counts = word_hashes(*text_buffers(table.column("text")), ALNUM)
-    ends = np.cumsum(counts)
-    lists = [h[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist())]
-    return ItemAutomaton(list(zip(table.column("item_id").to_pylist(), lists)), window)
+    part, held = [], 0
+    for row in rows.toLocalIterator():
+        words = word_hashes(*text_buffers(pa.array([row.text], pa.string())), ALNUM)[0].tolist()
+        at = 0
+        while at < len(words):
+            piece = words[at : at + max_words]
+            if held and held + len(piece) > max_words:
+                yield part
+                part, held = [], 0
+            part.append((row.item_id, piece))
+            held += len(piece)
+            at = len(words) if at + len(piece) == len(words) else at + len(piece) - window + 1
+    yield part
+
+
+def automata(items: DataFrame, window: int = 13, max_words: int = PART_WORDS) -> Iterator[ItemAutomaton]:
+    """Automata of an item table ``item_id, text``, each of at most ``max_words`` words; one at least.
+
+    Words of items with a null id are hit but named by no item; repeated ids are one item.
+    """
+    return (ItemAutomaton(part, window) for part in item_parts(items, window, max_words))
+
+
+def united(one: pa.Array, other: pa.Array) -> pa.Array:
+    """What two automata found in the same texts: hit ranges merged, items of both."""
+
+    def merged(a: list, b: list) -> list:
+        out: list = []
+        for r in sorted(a + b, key=lambda r: (r["start"], r["end"])):
+            if out and r["start"] <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], r["end"])
+            else:
+                out.append(dict(r))
+        return out
+
+    rows = []
+    for x, y in zip(one.to_pylist(), other.to_pylist()):
+        spans = merged(x["spans"], y["spans"])
+        # a merged range of words starts and ends with words of the two
+        first = {s["start"]: b["start"] for z in (x, y) for s, b in zip(z["spans"], z["bytes"])}
+        last = {s["end"]: b["end"] for z in (x, y) for s, b in zip(z["spans"], z["bytes"])}
+        places = [{"start": first[s["start"]], "end": last[s["end"]]} for s in spans]
+        rows.append({"n_words": x["n_words"], "spans": spans, "bytes": places, "items": sorted({*x["items"], *y["items"]})})
+    return pa.array(rows, pa.struct(_ARROW))
+
+
+def with_contamination(docs: DataFrame, items: DataFrame, name: str, window: int = 13, max_words: int = PART_WORDS) -> DataFrame:
+    """All columns of the documents and ``name``, the struct of ``contamination``.
+
+    Items of more than ``max_words`` words go in parts, one after another: the documents are written with what the parts
+    so far have found, read again for the next part, and its finds are united with those before. No worker holds
+    more than one part.
+    """
+    spark, parts = docs.sparkSession, automata(items, window, max_words)
+    auto = spark.sparkContext.broadcast(next(parts))
+    found = docs.withColumn(name, contamination(auto))
+    unite = F.arrow_udf(united, FOUND)
+    for part in parts:
+        found = staged(found, "contamination")
+        auto.unpersist()
+        auto = spark.sparkContext.broadcast(part)
+        found = found.withColumn(name, unite(F.col(name), contamination(auto)))
+    return found
 
 
 def find_in_batch(auto: ItemAutomaton, column: pa.Array) -> tuple[list, list, list, np.ndarray]:
@@ -210,8 +277,14 @@ def find_in_batch(auto: ItemAutomaton, column: pa.Array) -> tuple[list, list, li
         for i, j, r in zip(low.tolist(), high.tolist(), rows.tolist()):
             hits, found = auto.stream(h[i:j].tolist())
             at, byte = i - int(first[r]), int(offsets[a + r] - offsets[a])
-            spans[a + r] += [(at + x, at + y) for x, y in hits]
-            ranges[a + r] += [(int(starts[i + x]) - byte, int(ends[i + y - 1]) - byte) for x, y in hits]
+            for x, y in hits:
+                begin, end = int(starts[i + x]) - byte, int(ends[i + y - 1]) - byte
+                if spans[a + r] and spans[a + r][-1][1] == at + x:  # of a stretch that ends here
+                    spans[a + r][-1] = (spans[a + r][-1][0], at + y)
+                    ranges[a + r][-1] = (ranges[a + r][-1][0], end)
+                else:
+                    spans[a + r].append((at + x, at + y))
+                    ranges[a + r].append((begin, end))
             items[a + r] |= found
     return spans, ranges, [sorted(x) for x in items], words
 
@@ -250,21 +323,22 @@ def is_contaminated(found: Column, percent: float = 5) -> Column:
     return (hit > 0) & (100 * hit >= percent * found["n_words"])
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13, max_words: int = PART_WORDS) -> DataFrame:
     """``doc_id, text`` and ``found``, the struct of ``contamination``, for every document."""
-    auto = docs.sparkSession.sparkContext.broadcast(build_automaton(items, window))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("found", contamination(auto))
+    return with_contamination(rows, items, "found", window, max_words)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, percent: float = 5, cut_words: int | None = None) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, items: DataFrame, window: int = 13, percent: float = 5, cut_words: int | None = None, max_words: int = PART_WORDS
+) -> DataFrame:
     """All columns of the documents without those whose hit words reach ``percent`` of their words.
 
     With ``cut_words``, hit ranges of at least so many words are also cut out of the texts that stay.
     """
-    auto = docs.sparkSession.sparkContext.broadcast(build_automaton(items, window))
     name = free_name(docs, "_found")
-    kept = docs.withColumn(name, contamination(auto)).where(~is_contaminated(F.col(name), percent))
+    found = with_contamination(docs, items, name, window, max_words)
+    kept = found.where(~is_contaminated(F.col(name), percent))
     if cut_words is not None:
         long = F.exists(F.col(name)["spans"], lambda s: s["end"] - s["start"] >= cut_words)
         cut = cut_ranges(cut_words)(F.col("text"), F.col(name))

@@ -73,14 +73,19 @@ def items():
     return rows
 
 
-@pytest.mark.parametrize("drop_single", [True, False])
-def test_contamination(spark, drop_single):
-    bench = [r for r in items() if not (drop_single and r[0] in (10, 11))]
+def contaminated_documents(bench):
     docs = cases.documents()[:60]
     long = bench[0][1].split()
     docs += [(900, f"before {bench[1][1]} after"), (901, " ".join(long[:13])), (902, " ".join(long[:12])), (903, " ".join(long[3:25] + ["z"] + long[5:20]))]
     docs += [(904, "a short ITEM; and more"), (905, f"{bench[2][1]}. {bench[2][1]}"), (906, bench[-2][1]), (None, bench[3][1]), (907, None)]
     docs += [(908, "pad " * 1000 + bench[4][1])]
+    return docs
+
+
+@pytest.mark.parametrize("drop_single", [True, False])
+def test_contamination(spark, drop_single):
+    bench = [r for r in items() if not (drop_single and r[0] in (10, 11))]
+    docs = contaminated_documents(bench)
     found = decontaminate.find_contamination(cases.frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"))
     one = F.col("found")
     names = F.array_join(F.array_sort(F.transform(one["items"], lambda i: i.cast("string"))), ",")
@@ -100,13 +105,34 @@ def test_decontaminate_removes_and_cuts(spark):
     assert cut == {2: "x " * 400 + " y", 3: "clean", 4: None}
 
 
-def test_decontaminate_empty_tables_and_size_check(spark):
+def test_items_in_parts_give_the_same_finds(spark, most=35):
+    bench = [*items(), (20, " ".join(f"w{k}" for k in range(13))), (21, " ".join(f"v{k}" for k in range(13)))]
+    docs = contaminated_documents(bench)
+    docs += [(910, f"{bench[-2][1]} {bench[-1][1]}"), (911, f"é, {bench[-2][1]}; {bench[1][1]} ü"), (912, f"{bench[0][1]} {bench[0][1]}")]
+    some = [*bench[:2], (1, " ".join(f"u{k}" for k in range(40))), bench[6], *bench[-2:]]  # 40 words go in two pieces
+    docs, bench = cases.frame(spark, [*docs, (913, f"x {some[2][1]} x")]), spark.createDataFrame(some, "item_id long, text string").coalesce(1)
+    assert 3 <= len(list(decontaminate.automata(bench, 13, most))) <= 6
+    one, parts = (decontaminate.find_contamination(docs, bench, max_words=n).collect() for n in (10_000, most))
+    assert cases.order(map(tuple, parts)) == cases.order(map(tuple, one))
+    cut = [decontaminate.decontaminate(docs, bench, percent=90, cut_words=14, max_words=n).collect() for n in (10_000, most)]
+    assert cases.order(map(tuple, cut[0])) == cases.order(map(tuple, cut[1]))
+
+
+def test_pieces_of_a_long_item_hold_every_window_once(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(50))), (2, "a b")], "item_id long, text string")
+    parts = list(decontaminate.item_parts(bench, 13, 20))
+    runs = [tuple(words[k : k + 13]) for part in parts for item, words in part if item == 1 for k in range(len(words) - 12)]
+    assert len(runs) == len(set(runs)) == 38
+    assert all(sum(len(words) for _, words in part) <= 20 for part in parts)
+
+
+def test_decontaminate_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(cases.empty(spark), none).count() == 0
     rows = decontaminate.find_contamination(cases.frame(spark, [(1, "a b")]), none).collect()
     assert rows[0].found.n_words == 2 and rows[0].found.spans == []
-    with pytest.raises(ValueError, match="in parts"):
-        decontaminate.build_automaton(spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"), max_words=3)
+    with pytest.raises(ValueError, match="a window"):
+        decontaminate.find_contamination(cases.empty(spark), none, max_words=3)
 
 
 ODD = ["", " ", "  a", "a  b", "a \n b", "a\n b ", "it's I'll don't", "É́ é Å", "x\x1cy z", "日本語 テキスト 😀 a", "a b\u3000c", "ΟΔΟΣ", "١٢ ½ ²x", "<|endoftext|> a"]
