@@ -7,9 +7,11 @@ probabilities of its contexts, from the shortest to the longest, with the counts
 keeps as much for other words as words have been new after contexts of its level (Witten and Bell).
 
 Every n-gram of the training texts is stored, so a filter grows with the corpus: ``BITS_PER_KEY`` bits for
-each training word and order. It is a table of segments that no process holds as a whole. N-grams to
-count and probes to answer are dealt out by segment, packed for a slice of text at a time and each once a
-slice; the answers go back to the slices.
+each training word and order. It is a table of segments that no process holds as a whole. The n-grams of
+all texts are dealt out by segment, packed for a slice of text at a time and each once a slice; the task of a
+segment adds up their counts, fills the segment, and answers the same n-grams by probing it, so they
+are shuffled once an order. The answers go back to the slices, where they are also the levels of the contexts
+of the next order. Levels of the most frequent words come from their exact counts, which every task holds.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BITS_PER_KEY = 10
 LEVELS = 48
 #: Most frequent words whose exact counts every worker holds, 16 bytes each.
 EXACT_WORDS = 1 << 19
+#: Rows of a slice at most.
+MOST_ROWS = 1 << 20
 
 
 @contextmanager
@@ -95,12 +99,13 @@ class CountFilter:
     def put(self, keys: np.ndarray, top: np.ndarray) -> None:
         """Set the bits of the keys' levels up to ``top``."""
         base = segment_of(keys, self.segments) * SEGMENT_BITS
+        on = np.zeros(self.segments * SEGMENT_BITS, bool)
         for level in range(1, int(top.max(initial=0)) + 1):
-            on = top >= level
-            a, step = self.probes(keys[on], level)
+            high = top >= level
+            a, step = self.probes(keys[high], level)
             for k in range(PROBES):
-                place = base[on] + (a + k * step & SEGMENT_MASK)
-                np.bitwise_or.at(self.bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+                on[base[high] + (a + k * step & SEGMENT_MASK)] = True
+        self.bits |= np.packbits(on, bitorder="little")
 
     def as_context(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and number of distinct following words of contexts; 0 and 1 of those not stored."""
@@ -135,6 +140,17 @@ class NgramModel:
             low = r.segment * SEGMENT_BITS // 8
             self.filters[r.order - 1].bits[low : low + SEGMENT_BITS // 8] = np.frombuffer(r.bits, np.uint8)
 
+    def lean(self) -> NgramModel:
+        """What every task is sent: totals, levels' means and the frequent words, no segments."""
+        return replace(self, segments=None, filters=[replace(f, bits=None) for f in self.filters])
+
+    def exact(self, h: np.ndarray) -> np.ndarray:
+        """Training counts of frequent words; 0 for all others."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64)
+        near = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return np.where(self.words[near] == h, self.counts[near], 0)
+
     def log_probabilities(self, h: np.ndarray, counts: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of every word and end of a run of texts; rows have ``counts + 1`` values.
 
@@ -152,6 +168,8 @@ class NgramModel:
             if any(own.bits is None for own in self.filters):
                 self.load()
             levels = [own.levels(grams, repeated=True) for own, grams in zip(self.filters, runs(seq, n, self.order))]
+            c = self.exact(seq)
+            levels[0] = np.where(c > 0, level_of(c), levels[0])
         one = levels[0]
         p = (self.filters[0].means[one] + 1) / (self.n + self.v + 1)
         context, new = self.filters[0].as_context(one) if self.order > 1 else (p, p)
@@ -220,89 +238,9 @@ def joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return binary_buffers(table.column(column).combine_chunks())[0].view(kind)
 
 
-def count_ngrams(texts: DataFrame, order: int, segments: int) -> DataFrame:
-    """``segment, h, before, c``: the n-grams of two or more words of each slice of text, by filter segment.
-
-    ``h`` packs their keys, ``before`` those of their contexts and ``c`` how often each occurs in the slice.
-    """
-
-    def count(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for low, high in slices(offsets, 8_000_000):
-                h, n = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], NOT_SPACE)
-                seq, n = with_marks(h, n)
-                grams, _ = ngrams(seq, n, order)
-                parts, have = (seq, n) if order == 2 else ngrams(seq, n, order - 1)
-                left = np.ones(len(parts), bool)
-                left[np.cumsum(have)[have > 0] - 1] = False
-                by = np.argsort(grams, kind="stable")
-                keys, c = _tallies(grams)
-                before = parts[left][by][np.cumsum(c) - c]
-                at, packed = dealt(segment_of(keys, segments), keys, before, c.astype("<u4"))
-                yield pa.RecordBatch.from_arrays([pa.array(at), *packed], ["segment", "h", "before", "c"])
-
-    return texts.mapInArrow(count, "segment long, h binary, before binary, c binary")
-
-
-BUILT = "segment long, bits binary, number array<long>, mass array<long>, h binary, types binary, c binary"
-
-
 def level_of(c: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 c)."""
-    return np.frexp(c.astype(np.float64))[1]
-
-
-def built(counts: DataFrame, groups: int) -> DataFrame:
-    """Each segment's bits and the number and occurrences of its n-grams by level; also, dealt out to
-    ``groups`` by context, the contexts ``h`` of its n-grams with the distinct words (``types``) and all
-    words (``c``) seen after each."""
-
-    def build(key, table):
-        h, before, c = joined(table, "h", np.uint64), joined(table, "before", np.uint64), joined(table, "c", "<u4")
-        by = np.argsort(h, kind="stable")
-        keys, times = _tallies(h)
-        first = np.cumsum(times) - times
-        c = np.add.reduceat(c[by].astype(np.int64), first)
-        level = level_of(c)
-        one = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, np.zeros(0), np.zeros(0))
-        one.put(keys, level)
-        before = before[by][first]
-        by = np.argsort(before, kind="stable")
-        contexts, types = _tallies(before)
-        after = np.add.reduceat(c[by], np.cumsum(types) - types)
-        at, packed = dealt(segment_of(contexts, groups), contexts, types.astype("<u4"), after.astype("<u8"))
-        number, mass = np.bincount(level, minlength=LEVELS), np.bincount(level, c, LEVELS).astype(np.int64)
-        none = len(at)
-        return pa.table({
-            "segment": pa.array([key[0].as_py(), *at.tolist()], pa.int64()),
-            "bits": pa.concat_arrays([pa.array([one.bits.tobytes()], pa.binary()), pa.nulls(none, pa.binary())]),
-            "number": pa.array([number.tolist(), *[None] * none], pa.list_(pa.int64())),
-            "mass": pa.array([mass.tolist(), *[None] * none], pa.list_(pa.int64())),
-            **{k: pa.concat_arrays([pa.nulls(1, pa.binary()), x]) for k, x in zip(("h", "types", "c"), packed)},
-        })
-
-    return counts.groupBy("segment").applyInArrow(build, BUILT)
-
-
-def followers(table: DataFrame) -> np.ndarray:
-    """Mean number of distinct words after a context of each level, from the contexts of ``built``."""
-
-    def add(table):
-        h, types, c = joined(table, "h", np.uint64), joined(table, "types", "<u4"), joined(table, "c", "<u8")
-        by = np.argsort(h, kind="stable")
-        _, times = _tallies(h)
-        first = np.cumsum(times) - times
-        level = level_of(np.add.reduceat(c[by], first))
-        number, after = np.bincount(level, minlength=LEVELS), np.bincount(level, np.add.reduceat(types[by].astype(np.int64), first), LEVELS)
-        on = np.flatnonzero(number)
-        return pa.table({"level": pa.array(on), "number": pa.array(number[on]), "types": pa.array(after[on].astype(np.int64))})
-
-    rows = table.where("h is not null").select("segment", "h", "types", "c").groupBy("segment").applyInArrow(add, "level long, number long, types long")
-    out = np.ones(LEVELS)
-    for r in rows.groupBy("level").agg(F.sum("number").alias("number"), F.sum("types").alias("types")).collect():
-        out[r.level] = r.types / r.number
-    return out
+    """1 + floor(log2 c), 0 for c = 0."""
+    return np.frexp(c.astype(np.float64))[1].astype(np.int8)
 
 
 def filter_of(counts: DataFrame, least: int = 1) -> tuple[CountFilter, DataFrame | None]:
@@ -335,58 +273,84 @@ def build_filter(counts: DataFrame, least: int) -> CountFilter:
     return own
 
 
-def train(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> tuple[NgramModel, DataFrame]:
-    """The model of all documents but the held-out ones, and the exact counts ``h, c`` of their words.
+@dataclass
+class Learned:
+    """A model, the exact counts ``h, c`` of its words, and the slices of all texts with the levels of their n-grams."""
+
+    model: NgramModel
+    words: DataFrame
+    sliced: DataFrame
+    levels: DataFrame
+
+
+def learn(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> Learned:
+    """The model of all documents but the held-out ones, and the levels of the n-grams of all documents.
 
     A document is held out if crc32(doc_id as text) modulo ``modulo`` is ``held``; null doc_ids are not.
     Without training documents every word has the probability of an unknown one.
     """
     spark = docs.sparkSession
-    texts = _rows(docs, held, modulo).where("not held_out").select("text")
-    words = staged(count_words(texts), "word-counts")
+    rows = _rows(docs, held, modulo)
+    words = staged(count_words(rows.where("not held_out").select("text")), "word-counts")
     totals = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = totals.n or 0, totals.v
-    model = NgramModel(order, n, v)
+    model = NgramModel(order, totals.n or 0, totals.v)
     ends = words.where(F.col("h") == int(END.view(np.int64))).first()
     begin = spark.createDataFrame([(int(BEGIN.view(np.int64)), ends.c)] if ends else [], "h long, c long")
-    one, table = filter_of(words.unionByName(begin))
-    model.filters.append(one)
-    tables = [staged(table, "filter-1")]
-    segments = -(-n * BITS_PER_KEY // SEGMENT_BITS)  # an n-gram of count c has at most c levels
-    for k in range(2, order + 1):
-        table = staged(built(count_ngrams(texts, k, max(segments, 1)), max(1, segments // 4)), f"filter-{k}")
-        number, mass = np.zeros(LEVELS, np.int64), np.zeros(LEVELS)
-        bits = table.where("bits is not null")
-        for r in bits.select(F.posexplode("number")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-            number[r.pos] = r.n
-        for r in bits.select(F.posexplode("mass")).groupBy("pos").agg(F.sum("col").alias("c")).collect():
-            mass[r.pos] = r.c
-        model.filters[-1].novel = followers(table)
-        model.filters.append(CountFilter(None, segments, mass / np.maximum(number, 1), number))
-        tables.append(bits.select("segment", "bits"))
-    for k, table in enumerate(tables, 1):
-        part = table.select(F.lit(k).alias("order"), "segment", "bits")
-        model.segments = part if k == 1 else model.segments.unionByName(part)
-    top = words.orderBy(F.col("c").desc(), "h").limit(EXACT_WORDS).toArrow()
+    with freed_shuffles(spark):
+        one, table = filter_of(words.unionByName(begin))
+        top = words.orderBy(F.col("c").desc(), "h").limit(EXACT_WORDS).unionByName(begin).toArrow()
     keys, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     by = np.argsort(keys)
     model.words, model.counts = keys[by], c[by]
-    return model, words
+    model.filters.append(one)
+    model.segments = staged(table, "filter-1").select(F.lit(1).alias("order"), "segment", "bits")
+    contexts = one.number.copy()
+    if ends:
+        contexts[level_of(np.array([ends.c]))] -= 1  # nothing follows an end
+
+    sliced = staged(cut_slices(rows), "slices")
+    levels = last = staged(find_levels(sliced, model, [1]), "levels-1")
+    segments = -(-model.n * BITS_PER_KEY // SEGMENT_BITS)  # an n-gram of count c has at most c levels
+    for k in range(2, order + 1):
+        dealt_out = deal_ngrams(sliced, last, model, k, segments)
+        table = staged(dealt_out.groupBy("segment").applyInArrow(fill_and_answer, FILLED), f"filter-{k}")
+        bits, zipped = table.where("bits is not null"), F.arrays_zip("number", "mass", "contexts", "types")
+        at = bits.select(F.posexplode(zipped).alias("level", "x")).groupBy("level")
+        sums = np.zeros((4, LEVELS))
+        with freed_shuffles(spark):
+            for r in at.agg(*[F.sum(f"x.{name}").alias(name) for name in ("number", "mass", "contexts", "types")]).collect():
+                sums[:, r.level] = r.number, r.mass, r.contexts, r.types
+        number, mass, after, types = sums
+        model.filters[-1].novel = np.maximum(types / np.maximum(contexts, 1), 1)
+        contexts = after
+        model.filters.append(CountFilter(None, segments, mass / np.maximum(number, 1), number.astype(np.int64)))
+        model.segments = model.segments.unionByName(bits.select(F.lit(k).alias("order"), "segment", "bits"))
+        last = table.where("slice is not null").select("slice", F.lit(k).alias("order"), "segment", "levels")
+        levels = levels.unionByName(last)
+    return Learned(model, words, sliced, levels)
+
+
+def train(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> tuple[NgramModel, DataFrame]:
+    """The model of ``learn`` and the exact counts ``h, c`` of its words, to score other documents."""
+    learned = learn(docs, order, modulo, held)
+    return learned.model, learned.words
 
 
 def cut_slices(rows: DataFrame) -> DataFrame:
     """``slice, rows``: all rows, a slice of text at a time in Arrow's stream format."""
 
     def cut(batches):
-        part, number = TaskContext.get().partitionId() << 20, 0
+        part, number = TaskContext.get().partitionId() << 16, 0
         for batch in batches:
             _, offsets = text_buffers(batch.column(2))
             for low, high in slices(offsets, 8_000_000):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_batch(batch.slice(low, high - low))
-                yield pa.RecordBatch.from_arrays([pa.array([part + number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "rows"])
-                number += 1
+                for at in range(low, high, MOST_ROWS):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_batch(batch.slice(at, min(MOST_ROWS, high - at)))
+                    raw = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([part + number]), raw], ["slice", "rows"])
+                    number += 1
 
     return rows.mapInArrow(cut, "slice long, rows binary")
 
@@ -408,17 +372,113 @@ def asked(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.n
     return distinct[by], segment[by], back[place]
 
 
-def find_levels(sliced: DataFrame, model: NgramModel) -> DataFrame:
-    """``slice, order, segment, levels``: the levels of a slice's distinct n-grams, in the order of ``asked``."""
-    sizes = [own.segments for own in model.filters]
+def answered(keys: np.ndarray, k: int, model: NgramModel, answers: pa.Table) -> np.ndarray:
+    """Levels of a slice's n-grams of k words from its answers; frequent words need none."""
+    c = model.exact(keys) if k == 1 else np.zeros(len(keys), np.int64)
+    level = level_of(c)
+    found = answers.filter(pc.equal(answers.column("order"), k)).sort_by("segment")
+    if found.num_rows:
+        rest = np.flatnonzero(c == 0)
+        level[rest] = joined(found, "levels", np.int8)[asked(keys[rest], model.filters[k - 1].segments)[2]]
+    return level
+
+
+#: Added to the level of an n-gram's context where the n-gram ends its text.
+LAST = 64
+
+
+def deal_ngrams(sliced: DataFrame, answers: DataFrame, model: NgramModel, k: int, segments: int) -> DataFrame:
+    """``segment, slice, h, c, tag``: the distinct n-grams of k words of every slice, by filter segment.
+
+    ``h`` packs their keys in the order of ``asked``, ``c`` how often each occurs in the slice's training texts,
+    and ``tag`` the level that the filter of k - 1 words gives for the context, with ``LAST`` added at ends.
+    """
+    shared = sliced.sparkSession.sparkContext.broadcast(model.lean())
+
+    def deal(own, answers):
+        model, done = shared.value, [pa.RecordBatch.from_pylist([], pa.schema(DEALT))]
+        for at, raw in zip(own.column("slice").to_pylist(), own.column("rows")):
+            rows, h, n = opened(raw)
+            seq, n = with_marks(h, n)
+            parts, have = (seq, n) if k == 2 else ngrams(seq, n, k - 1)
+            grams, ends = ngrams(seq, n, k)
+            if not len(grams):
+                continue
+            follows = np.ones(len(parts), bool)
+            follows[np.cumsum(have)[have > 0] - 1] = False
+            tag = answered(parts, k - 1, model, answers)[follows].astype(np.uint8)
+            tag[np.cumsum(ends)[ends > 0] - 1] += LAST
+            distinct, segment, place = asked(grams, segments)
+            held = rows.column("held_out").to_numpy()
+            c = np.bincount(place, np.repeat(~held, ends), len(distinct)).astype("<u4")
+            tags = np.empty(len(distinct), np.uint8)
+            tags[place] = tag
+            of, packed = dealt(segment, distinct, c, tags)
+            done.append(pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), at)), *packed], [name for name, _ in DEALT]))
+        return pa.Table.from_batches(done)
+
+    kinds = ", ".join(f"{name} {'long' if kind == pa.int64() else 'binary'}" for name, kind in DEALT)
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(deal, kinds)
+
+
+DEALT = [("segment", pa.int64()), ("slice", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("tag", pa.binary())]
+FILLED = (
+    "segment long, bits binary, number array<long>, mass array<long>, contexts array<long>, types array<long>, slice long, levels binary"
+)
+
+
+def fill_and_answer(key, table):
+    """A segment's bits and, by level, the number and occurrences of its n-grams, of those among them that can be
+    contexts (by the level that probes find), and of those that follow contexts of the level; then for
+    every slice the levels that probes find for its n-grams.
+    """
+    h, c, tag = joined(table, "h", np.uint64), joined(table, "c", "<u4"), joined(table, "tag", np.uint8)
+    sizes = pc.binary_length(table.column("h")).to_numpy() // 8
+    by = np.argsort(h, kind="stable")
+    keys, times = _tallies(h)
+    first = np.cumsum(times) - times
+    c, tag = np.add.reduceat(c[by].astype(np.int64), first), tag[by][first]
+    seen = c > 0
+    level = level_of(c[seen])
+    own = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, np.zeros(0), np.zeros(0))
+    own.put(keys[seen], level)
+    found = own.levels(keys)
+    levels = np.empty(len(h), np.int8)
+    levels[by] = np.repeat(found, times)
+    sums = {
+        "number": np.bincount(level, minlength=LEVELS),
+        "mass": np.bincount(level, c[seen], LEVELS).astype(np.int64),
+        "contexts": np.bincount(found[seen & (tag < LAST)], minlength=LEVELS),
+        "types": np.bincount(tag[seen] % LAST, minlength=LEVELS),
+    }
+    none = len(sizes)
+    return pa.table({
+        "segment": pa.array([key[0].as_py()] * (none + 1), pa.int64()),
+        "bits": pa.array([own.bits.tobytes(), *[None] * none], pa.binary()),
+        **{name: pa.array([x.tolist(), *[None] * none], pa.list_(pa.int64())) for name, x in sums.items()},
+        "slice": pa.concat_arrays([pa.nulls(1, pa.int64()), *table.column("slice").chunks]),
+        "levels": pa.concat_arrays([pa.nulls(1, pa.binary()), binary_column(levels, sizes)]),
+    })
+
+
+def find_levels(sliced: DataFrame, model: NgramModel, orders: list[int] | None = None) -> DataFrame:
+    """``slice, order, segment, levels``: the levels of a slice's distinct n-grams, in the order of ``asked``.
+
+    Frequent words, whose counts every task holds, are not asked.
+    """
+    shared = sliced.sparkSession.sparkContext.broadcast(model.lean())
+    orders = orders or list(range(1, model.order + 1))
 
     def probe(batches):
+        model = shared.value
         for batch in batches:
             for at, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, h, n = opened(raw)
-                for k, keys in enumerate(runs(*with_marks(h, n), len(sizes)), 1):
-                    if sizes[k - 1] and len(keys):
-                        distinct, segment, _ = asked(keys, sizes[k - 1])
+                seq, n = with_marks(h, n)
+                for k in orders:
+                    keys = ngrams(seq, n, k)[0] if k > 1 else seq[model.exact(seq) == 0]
+                    if model.filters[k - 1].segments and len(keys):
+                        distinct, segment, _ = asked(keys, model.filters[k - 1].segments)
                         own, (packed,) = dealt(segment, distinct)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(own), at)), pa.array(np.full(len(own), k, np.int32)), pa.array(own), packed], ["slice", "order", "segment", "h"]
@@ -434,13 +494,25 @@ def find_levels(sliced: DataFrame, model: NgramModel) -> DataFrame:
         return probes.drop_columns(["h"]).append_column("levels", binary_column(level, sizes))
 
     probes = sliced.mapInArrow(probe, "slice long, order int, segment long, h binary").groupBy("order", "segment")
-    return probes.cogroup(model.segments.groupBy("order", "segment")).applyInArrow(answer, "slice long, order int, segment long, levels binary")
+    segments = model.segments.where(F.col("order").isin(orders)).groupBy("order", "segment")
+    return probes.cogroup(segments).applyInArrow(answer, "slice long, order int, segment long, levels binary")
 
 
 SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, m int"
 
 
 def score_documents(docs: DataFrame, model: NgramModel, words: DataFrame, modulo: int = 7, held: int = 2) -> DataFrame:
+    """The scores of ``scored_slices`` of any documents by a trained model."""
+    sliced = staged(cut_slices(_rows(docs, held, modulo)), "slices")
+    return scored_slices(Learned(model, words, sliced, staged(find_levels(sliced, model), "levels")))
+
+
+def learn_and_score(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> DataFrame:
+    """The scores of ``scored_slices`` of the documents that the model is learned from and of those held out."""
+    return scored_slices(learn(docs, order, modulo, held))
+
+
+def scored_slices(learned: Learned) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
 
     Words are what stands between white space, A-Z lower-cased; every text ends with one more token.
@@ -448,7 +520,8 @@ def score_documents(docs: DataFrame, model: NgramModel, words: DataFrame, modulo
     words are known to every task, those of the others are joined. Null texts are empty, repeated rows
     keep a row each, null doc_ids are not held out, other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None, filters=[replace(f, bits=None) for f in model.filters]))
+    model, sliced = learned.model, learned.sliced
+    shared = sliced.sparkSession.sparkContext.broadcast(model.lean())
 
     def score(own, answers):
         model = shared.value
@@ -456,20 +529,16 @@ def score_documents(docs: DataFrame, model: NgramModel, words: DataFrame, modulo
         done = []
         for at, raw in zip(own.column("slice").to_pylist(), own.column("rows")):
             rows, h, n = opened(raw)
-            levels = []
-            for k, grams in enumerate(runs(*with_marks(h, n), model.order), 1):
-                found = answers.filter(pc.equal(answers.column("order"), k)).sort_by("segment")
-                place = asked(grams, model.filters[k - 1].segments)[2]
-                levels.append(joined(found, "levels", np.int8)[place] if found.num_rows else np.zeros(len(grams), np.int8))
+            levels = [answered(grams, k, model, answers) for k, grams in enumerate(runs(*with_marks(h, n), model.order), 1)]
             logs = np.concatenate([[0], np.cumsum(model.log_probabilities(h, n, levels))])
             h, n = np.insert(h, np.cumsum(n), END), n + 1
             ends = np.cumsum(n)
-            near = np.minimum(np.searchsorted(model.words, h), max(len(model.words) - 1, 0))
-            exact = model.words[near] == h if len(model.words) else np.zeros(len(h), bool)
-            base = np.where(exact, np.log10((model.counts[near] if len(model.words) else near) + 1) - floor, 0)
+            c = model.exact(h)
+            exact = c > 0
+            base = np.where(exact, np.log10(c + 1) - floor, 0)
             sums = [np.concatenate([[0], np.cumsum(x)]) for x in (exact, base)]
             known, base = (x[ends] - x[ends - n] for x in sums)
-            keys = (at << 24) + np.arange(len(n))
+            keys = at * MOST_ROWS + np.arange(len(n))
             doc = np.repeat(keys, n)[~exact]
             order = np.lexsort((h[~exact], doc))
             doc, rest = doc[order], h[~exact][order]
@@ -500,10 +569,8 @@ def score_documents(docs: DataFrame, model: NgramModel, words: DataFrame, modulo
 
     c = F.coalesce(F.col("c"), F.lit(0))
     rare = F.col("m") * (F.log10(c + 1) - F.log10(F.lit(float(model.n + model.v + 1))))
-    sliced = staged(cut_slices(_rows(docs, held, modulo)), "slices")
-    levels = staged(find_levels(sliced, model), "levels")
-    scored = sliced.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, SCORED)
-    rows = scored.join(words, "h", "left")
+    scored = sliced.groupBy("slice").cogroup(learned.levels.groupBy("slice")).applyInArrow(score, SCORED)
+    rows = scored.join(learned.words, "h", "left")
     return (
         rows.groupBy("key")
         .agg(

@@ -34,9 +34,7 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    model, words = lm_score.train(docs)
-    return lm_score.score_documents(docs, model, words)
+    return lm_score.learn_and_score(table(spark, d, "documents"))
 
 
 def op3_jaccard_join(spark: SparkSession, d: str) -> DataFrame:

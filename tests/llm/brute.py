@@ -103,3 +103,36 @@ def base_scores(rows):
         (d, h, len(t), sum(count[x] > 0 for x in t), n, sum(np.log10((count[x] + 1) / (n + v + 1)) for x in t))
         for (d, _), h, t in zip(rows, held, tokens)
     ]
+
+
+def lm_scores(rows, order=3, modulo=7, held=2):
+    """log10 probability of every text by exact counts, their levels and the Witten-Bell rule, a word at a time."""
+    texts = [["<", *space_words(t), ">"] for _, t in rows]
+    count = [Counter() for _ in range(order + 1)]
+    for (d, _), seq in zip(rows, texts):
+        if d is None or zlib.crc32(str(d).encode()) % modulo != held:
+            for k in range(1, order + 1):
+                count[k].update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
+    n = sum(c for g, c in count[1].items() if g != ("<",))
+    v = len(count[1].keys() - {("<",)})
+    level = lambda gram: count[len(gram)][gram].bit_length()
+    mean, novel = {}, {}
+    for k in range(1, order + 1):
+        for at in {level(g) for g in count[k]}:
+            same = [g for g in count[k] if level(g) == at]
+            mean[k, at] = sum(count[k][g] for g in same) / len(same)
+            contexts = [g for g in same if g[-1] != ">"]
+            if k < order and contexts:
+                novel[k, at] = sum(level(g[:-1]) == at for g in count[k + 1]) / len(contexts)
+    out = []
+    for seq in texts:
+        total = 0.0
+        for i in range(1, len(seq)):
+            p = (mean.get((1, level((seq[i],))), 0) + 1) / (n + v + 1)
+            for k in range(2, min(order, i + 1) + 1):
+                gram, context = tuple(seq[i - k + 1 : i + 1]), tuple(seq[i - k + 1 : i])
+                before, other = mean.get((k - 1, level(context)), 0.0), novel.get((k - 1, level(context)), 1.0)
+                p = (min(mean.get((k, level(gram)), 0.0), before) + other * p) / (before + other)
+            total += np.log10(p)
+        out.append(total)
+    return out

@@ -72,6 +72,22 @@ def test_lm_base_scores_and_awkward_rows(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_lm_scores_equal_the_slow_version(spark, monkeypatch):
+    """All orders, with all words frequent and with most of them asked of the filter."""
+    rows = [(k, cases.sentence(random.Random(k % 70), k % 50)) for k in range(400)] + cases.documents() + [(1, "one x")] * 3
+    want = cases.order((d, float(x)) for (d, _), x in zip(rows, brute.lm_scores(rows)))
+    docs = cases.frame(spark, rows).repartition(3)
+    for most in (lm_score.EXACT_WORDS, 5):
+        monkeypatch.setattr(lm_score, "EXACT_WORDS", most)
+        got = lm_score.learn_and_score(docs).collect()
+        got = cases.order((r.doc_id, r.score) for r in got)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
+    model, words = lm_score.train(docs)
+    again = lm_score.score_documents(docs, model, words).collect()
+    assert np.allclose(sorted(r.score for r in again), sorted(x for _, x in got))
+
+
 def test_lm_without_training_documents(spark):
     docs = cases.frame(spark, [(None, "a b")]).where("doc_id is not null")
     model, words = lm_score.train(docs)
