@@ -114,7 +114,41 @@ class CountFilter:
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((mix(keys, np.full(1, np.uint64(5))) >> np.uint64(32)) * np.uint64(max(segments, 1)) >> np.uint64(32)).astype(np.int64)
+    """By the first 32 bits of the key, so that segments are ranges of keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(max(segments, 1)) >> np.uint64(32)).astype(np.int64)
+
+
+def segment_start(segment: np.ndarray, segments: int) -> np.ndarray:
+    """A key that no key of the segment is below."""
+    return (segment.astype(np.uint64) << np.uint64(32)) // np.uint64(max(segments, 1)) << np.uint64(32)
+
+
+def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every element of runs of ``sizes``: the start and length of its run and its place there."""
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return start, np.repeat(sizes, sizes), np.arange(len(start)) - start
+
+
+def planes(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of ``sizes`` numbers as binaries, their bytes by significance, which compression shortens."""
+    width = flat.itemsize
+    raw, (start, n, i) = flat.view(np.uint8).reshape(-1, width), places(sizes)
+    out = np.empty(raw.size, np.uint8)
+    for b in range(width):
+        out[start * width + b * n + i] = raw[:, b]
+    return binary_column(out, sizes * width)
+
+
+def from_planes(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``planes`` and the sizes of their runs."""
+    width = np.dtype(kind).itemsize
+    data, offsets = binary_buffers(column.combine_chunks())
+    sizes = np.diff(offsets) // width
+    start, n, i = places(sizes)
+    raw = np.empty((len(start), width), np.uint8)
+    for b in range(width):
+        raw[:, b] = data[start * width + b * n + i]
+    return raw.reshape(-1).view(kind), sizes
 
 
 @dataclass
@@ -154,13 +188,14 @@ class NgramModel:
     def log_probabilities(self, h: np.ndarray, counts: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of every word and end of a run of texts; rows have ``counts + 1`` values.
 
-        ``levels`` are those of all n-grams of each order; without them the segments are brought here.
+        ``levels`` are those of all n-grams of each order, and then ``h`` has the marks already; without them the
+        segments are brought here.
 
         P_1(w) = mean count of w's level / (N + V + 1), with one added to counts, which sums to one over
         all words and one unknown word; P_n = (c(context, w) + T * P_{n-1}) / (c(context) + T) with T distinct
         words after a context of that level.
         """
-        seq, n = with_marks(h, counts)
+        seq, n = with_marks(h, counts) if levels is None else (h, counts + 2)
         first = np.cumsum(n) - n
         at = np.ones(len(seq), bool)
         at[first] = False  # no score for the beginning
@@ -188,10 +223,10 @@ class NgramModel:
         return np.log10(p[at])
 
 
-def with_marks(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with a beginning and an end in every row."""
+def with_marks(h: np.ndarray, counts: np.ndarray, begin=BEGIN, end=END) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, or other names of words, with a beginning and an end in every row."""
     ends = np.cumsum(counts)
-    return np.insert(np.insert(h, ends, END), ends - counts + np.arange(len(counts)), BEGIN), counts + 2
+    return np.insert(np.insert(h, ends, end), ends - counts + np.arange(len(counts)), begin), counts + 2
 
 
 def runs(seq: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
@@ -313,7 +348,7 @@ def learn(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> Le
     segments = -(-model.n * BITS_PER_KEY // SEGMENT_BITS)  # an n-gram of count c has at most c levels
     for k in range(2, order + 1):
         dealt_out = deal_ngrams(sliced, last, model, k, segments)
-        table = staged(dealt_out.groupBy("segment").applyInArrow(fill_and_answer, FILLED), f"filter-{k}")
+        table = staged(dealt_out.groupBy("segment").applyInArrow(fill_and_answer(segments), FILLED), f"filter-{k}")
         bits, zipped = table.where("bits is not null"), F.arrays_zip("number", "mass", "contexts", "types")
         at = bits.select(F.posexplode(zipped).alias("level", "x")).groupBy("level")
         sums = np.zeros((4, LEVELS))
@@ -337,50 +372,86 @@ def train(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> tu
 
 
 def cut_slices(rows: DataFrame) -> DataFrame:
-    """``slice, rows``: all rows, a slice of text at a time in Arrow's stream format."""
+    """``slice, rows, words, at``: all rows, a slice of text at a time, with words hashed once.
+
+    ``rows`` has ids, held_out and numbers of words in Arrow's stream format, ``words`` the hashes of the distinct
+    words, the most frequent first, and ``at`` the place there of every word of the slice.
+    """
 
     def cut(batches):
-        part, number = TaskContext.get().partitionId() << 16, 0
+        part, number, zstd = TaskContext.get().partitionId() << 16, 0, pa.Codec("zstd")
         for batch in batches:
-            _, offsets = text_buffers(batch.column(2))
+            data, offsets = text_buffers(batch.column(2))
             for low, high in slices(offsets, 8_000_000):
-                for at in range(low, high, MOST_ROWS):
+                for first in range(low, high, MOST_ROWS):
+                    last = min(first + MOST_ROWS, high)
+                    h, n = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], NOT_SPACE)
+                    words, at, times = np.unique(h, return_inverse=True, return_counts=True)
+                    by = np.argsort(-times, kind="stable")
+                    rank = np.empty(len(by), "<u4")
+                    rank[by] = np.arange(len(by))
+                    own = pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in (0, 1)), pa.array(n)], ["doc_id", "held_out", "n"])
                     sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(batch.slice(at, min(MOST_ROWS, high - at)))
-                    raw = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([part + number]), raw], ["slice", "rows"])
+                    with pa.ipc.new_stream(sink, own.schema) as writer:
+                        writer.write_batch(own)
+                    packed = zstd.compress(planes(rank[at], np.array([len(at)]))[0].as_buffer(), asbytes=True)
+                    cells = [part + number, sink.getvalue().to_pybytes(), words[by].tobytes(), packed]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in cells], ["slice", "rows", "words", "at"])
                     number += 1
 
-    return rows.mapInArrow(cut, "slice long, rows binary")
-
-
-def opened(raw: pa.Scalar) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The rows of a slice, the hashes of their words and how many each has."""
-    rows = pa.ipc.open_stream(raw.as_buffer()).read_all()
-    h, n = word_hashes(*text_buffers(rows.column("text")), NOT_SPACE)
-    return rows, h, n
+    return rows.mapInArrow(cut, "slice long, rows binary, words binary, at binary")
 
 
-def asked(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in the order of their segments, these segments, and the place of every key."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    segment = segment_of(distinct, segments)
-    by = np.argsort(segment, kind="stable")
-    back = np.empty(len(by), np.int64)
-    back[by] = np.arange(len(by))
-    return distinct[by], segment[by], back[place]
-
-
-def answered(keys: np.ndarray, k: int, model: NgramModel, answers: pa.Table) -> np.ndarray:
-    """Levels of a slice's n-grams of k words from its answers; frequent words need none."""
-    c = model.exact(keys) if k == 1 else np.zeros(len(keys), np.int64)
-    level = level_of(c)
-    found = answers.filter(pc.equal(answers.column("order"), k)).sort_by("segment")
-    if found.num_rows:
-        rest = np.flatnonzero(c == 0)
-        level[rest] = joined(found, "levels", np.int8)[asked(keys[rest], model.filters[k - 1].segments)[2]]
-    return level
+@dataclass
+class Slice:
+    """Rows of a slice, words of each, the distinct words with the marks at the end, and every marked word's place there."""
+
+    number: int
+    rows: pa.Table
+    n: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+
+    @property
+    def seq(self) -> np.ndarray:
+        return self.words[self.at]
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the runs of k marked words, and how many each row has."""
+        return (self.seq, self.n + 2) if k == 1 else ngrams(self.seq, self.n + 2, k)
+
+    def rare(self, model: NgramModel) -> tuple[np.ndarray, np.ndarray]:
+        """The training counts of ``words``, 0 for all that are not frequent, and the places of these."""
+        c = model.exact(self.words)
+        return c, np.flatnonzero(c == 0)
+
+    def levels(self, k: int, model: NgramModel, answers: pa.Table) -> np.ndarray:
+        """Levels of the runs of k words from the slice's answers; frequent words need none."""
+        found = answers.filter(pc.equal(answers.column("order"), k)).sort_by("segment")
+        found = joined(found, "levels", np.int8) if found.num_rows else None
+        if k > 1:
+            keys = self.grams(k)[0]
+            return found[np.unique(keys, return_inverse=True)[1]] if found is not None else np.zeros(len(keys), np.int8)
+        c, rest = self.rare(model)
+        level = level_of(c)
+        if found is not None:
+            level[rest] = found[np.unique(self.words[rest], return_inverse=True)[1]]
+        return level[self.at]
+
+
+def opened(table) -> list[Slice]:
+    """The slices of a table of ``cut_slices``."""
+    out = []
+    for number, raw, words, at in zip(*(table.column(k) for k in range(4))):
+        rows = pa.ipc.open_stream(raw.as_buffer()).read_all()
+        n = rows.column("n").to_numpy()
+        total = int(n.sum())
+        flat = pa.Codec("zstd").decompress(at.as_buffer(), decompressed_size=4 * total, asbytes=True) if total else b""
+        at = from_planes(pa.chunked_array([pa.array([flat])]), "<u4")[0].astype(np.int64)
+        words = np.frombuffer(words.as_buffer(), np.uint64)
+        marked, _ = with_marks(at, n, len(words), len(words) + 1)
+        out.append(Slice(number.as_py(), rows, n, np.append(words, [BEGIN, END]), marked))
+    return out
 
 
 #: Added to the level of an n-gram's context where the n-gram ends its text.
@@ -390,31 +461,34 @@ LAST = 64
 def deal_ngrams(sliced: DataFrame, answers: DataFrame, model: NgramModel, k: int, segments: int) -> DataFrame:
     """``segment, slice, h, c, tag``: the distinct n-grams of k words of every slice, by filter segment.
 
-    ``h`` packs their keys in the order of ``asked``, ``c`` how often each occurs in the slice's training texts,
-    and ``tag`` the level that the filter of k - 1 words gives for the context, with ``LAST`` added at ends.
+    ``h`` packs the ascending keys as steps, ``c`` how often each occurs in the slice's training texts, and ``tag``
+    the level that the filter of k - 1 words gives for the context, with ``LAST`` added at ends.
     """
     shared = sliced.sparkSession.sparkContext.broadcast(model.lean())
 
     def deal(own, answers):
         model, done = shared.value, [pa.RecordBatch.from_pylist([], pa.schema(DEALT))]
-        for at, raw in zip(own.column("slice").to_pylist(), own.column("rows")):
-            rows, h, n = opened(raw)
-            seq, n = with_marks(h, n)
-            parts, have = (seq, n) if k == 2 else ngrams(seq, n, k - 1)
-            grams, ends = ngrams(seq, n, k)
+        for own in opened(own):
+            grams, ends = own.grams(k)
             if not len(grams):
                 continue
+            parts, have = own.grams(k - 1)
             follows = np.ones(len(parts), bool)
             follows[np.cumsum(have)[have > 0] - 1] = False
-            tag = answered(parts, k - 1, model, answers)[follows].astype(np.uint8)
+            tag = own.levels(k - 1, model, answers)[follows].astype(np.uint8)
             tag[np.cumsum(ends)[ends > 0] - 1] += LAST
-            distinct, segment, place = asked(grams, segments)
-            held = rows.column("held_out").to_numpy()
+            distinct, place = np.unique(grams, return_inverse=True)
+            held = own.rows.column("held_out").to_numpy()
             c = np.bincount(place, np.repeat(~held, ends), len(distinct)).astype("<u4")
             tags = np.empty(len(distinct), np.uint8)
             tags[place] = tag
-            of, packed = dealt(segment, distinct, c, tags)
-            done.append(pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), at)), *packed], [name for name, _ in DEALT]))
+            segment = segment_of(distinct, segments)
+            first = np.flatnonzero(np.diff(segment, prepend=-1))
+            sizes, of = np.diff(np.append(first, len(distinct))), segment[first]
+            steps = np.diff(distinct, prepend=distinct[:1])
+            steps[first] = distinct[first] - segment_start(of, segments)
+            packed = [planes(x, sizes) for x in (steps, c, tags)]
+            done.append(pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), own.number)), *packed], [name for name, _ in DEALT]))
         return pa.Table.from_batches(done)
 
     kinds = ", ".join(f"{name} {'long' if kind == pa.int64() else 'binary'}" for name, kind in DEALT)
@@ -427,42 +501,49 @@ FILLED = (
 )
 
 
-def fill_and_answer(key, table):
-    """A segment's bits and, by level, the number and occurrences of its n-grams, of those among them that can be
-    contexts (by the level that probes find), and of those that follow contexts of the level; then for
-    every slice the levels that probes find for its n-grams.
+def fill_and_answer(segments: int):
+    """Of a segment's rows of ``deal_ngrams``: its bits and, by level, the number and occurrences of its n-grams, of those
+    among them that can be contexts (by the level that probes find), and of those that follow contexts of
+    the level; then for every slice the levels that probes find for its n-grams.
     """
-    h, c, tag = joined(table, "h", np.uint64), joined(table, "c", "<u4"), joined(table, "tag", np.uint8)
-    sizes = pc.binary_length(table.column("h")).to_numpy() // 8
-    by = np.argsort(h, kind="stable")
-    keys, times = _tallies(h)
-    first = np.cumsum(times) - times
-    c, tag = np.add.reduceat(c[by].astype(np.int64), first), tag[by][first]
-    seen = c > 0
-    level = level_of(c[seen])
-    own = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, np.zeros(0), np.zeros(0))
-    own.put(keys[seen], level)
-    found = own.levels(keys)
-    levels = np.empty(len(h), np.int8)
-    levels[by] = np.repeat(found, times)
-    sums = {
-        "number": np.bincount(level, minlength=LEVELS),
-        "mass": np.bincount(level, c[seen], LEVELS).astype(np.int64),
-        "contexts": np.bincount(found[seen & (tag < LAST)], minlength=LEVELS),
-        "types": np.bincount(tag[seen] % LAST, minlength=LEVELS),
-    }
-    none = len(sizes)
-    return pa.table({
-        "segment": pa.array([key[0].as_py()] * (none + 1), pa.int64()),
-        "bits": pa.array([own.bits.tobytes(), *[None] * none], pa.binary()),
-        **{name: pa.array([x.tolist(), *[None] * none], pa.list_(pa.int64())) for name, x in sums.items()},
-        "slice": pa.concat_arrays([pa.nulls(1, pa.int64()), *table.column("slice").chunks]),
-        "levels": pa.concat_arrays([pa.nulls(1, pa.binary()), binary_column(levels, sizes)]),
-    })
+
+    def fill(key, table):
+        steps, sizes = from_planes(table.column("h"), "<u8")
+        (c, _), (tag, _) = from_planes(table.column("c"), "<u4"), from_planes(table.column("tag"), "u1")
+        sums = np.cumsum(steps)  # modulo 2^64, as the differences are
+        first = np.cumsum(sizes) - sizes
+        h = sums - np.repeat(sums[first] - steps[first], sizes) + segment_start(np.array([key[0].as_py()]), segments)
+        by = np.argsort(h, kind="stable")
+        keys, times = _tallies(h)
+        first = np.cumsum(times) - times
+        c, tag = np.add.reduceat(c[by].astype(np.int64), first), tag[by][first]
+        seen = c > 0
+        level = level_of(c[seen])
+        own = CountFilter(np.zeros(SEGMENT_BITS // 8, np.uint8), 1, np.zeros(0), np.zeros(0))
+        own.put(keys[seen], level)
+        found = own.levels(keys)
+        levels = np.empty(len(h), np.int8)
+        levels[by] = np.repeat(found, times)
+        sums = {
+            "number": np.bincount(level, minlength=LEVELS),
+            "mass": np.bincount(level, c[seen], LEVELS).astype(np.int64),
+            "contexts": np.bincount(found[seen & (tag < LAST)], minlength=LEVELS),
+            "types": np.bincount(tag[seen] % LAST, minlength=LEVELS),
+        }
+        none = len(sizes)
+        return pa.table({
+            "segment": pa.array([key[0].as_py()] * (none + 1), pa.int64()),
+            "bits": pa.array([own.bits.tobytes(), *[None] * none], pa.binary()),
+            **{name: pa.array([x.tolist(), *[None] * none], pa.list_(pa.int64())) for name, x in sums.items()},
+            "slice": pa.concat_arrays([pa.nulls(1, pa.int64()), *table.column("slice").chunks]),
+            "levels": pa.concat_arrays([pa.nulls(1, pa.binary()), binary_column(levels, sizes)]),
+        })
+
+    return fill
 
 
 def find_levels(sliced: DataFrame, model: NgramModel, orders: list[int] | None = None) -> DataFrame:
-    """``slice, order, segment, levels``: the levels of a slice's distinct n-grams, in the order of ``asked``.
+    """``slice, order, segment, levels``: the levels of a slice's distinct n-grams, by key.
 
     Frequent words, whose counts every task holds, are not asked.
     """
@@ -472,16 +553,13 @@ def find_levels(sliced: DataFrame, model: NgramModel, orders: list[int] | None =
     def probe(batches):
         model = shared.value
         for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, h, n = opened(raw)
-                seq, n = with_marks(h, n)
+            for own in opened(batch):
                 for k in orders:
-                    keys = ngrams(seq, n, k)[0] if k > 1 else seq[model.exact(seq) == 0]
+                    keys = np.unique(own.grams(k)[0] if k > 1 else own.words[own.rare(model)[1]])
                     if model.filters[k - 1].segments and len(keys):
-                        distinct, segment, _ = asked(keys, model.filters[k - 1].segments)
-                        own, (packed,) = dealt(segment, distinct)
+                        of, (packed,) = dealt(segment_of(keys, model.filters[k - 1].segments), keys)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(own), at)), pa.array(np.full(len(own), k, np.int32)), pa.array(own), packed], ["slice", "order", "segment", "h"]
+                            [pa.array(np.full(len(of), own.number)), pa.array(np.full(len(of), k, np.int32)), pa.array(of), packed], ["slice", "order", "segment", "h"]
                         )
 
     def answer(probes, segment):
@@ -527,18 +605,19 @@ def scored_slices(learned: Learned) -> DataFrame:
         model = shared.value
         floor = np.log10(model.n + model.v + 1)
         done = []
-        for at, raw in zip(own.column("slice").to_pylist(), own.column("rows")):
-            rows, h, n = opened(raw)
-            levels = [answered(grams, k, model, answers) for k, grams in enumerate(runs(*with_marks(h, n), model.order), 1)]
-            logs = np.concatenate([[0], np.cumsum(model.log_probabilities(h, n, levels))])
-            h, n = np.insert(h, np.cumsum(n), END), n + 1
+        for own in opened(own):
+            rows, n = own.rows, own.n
+            levels = [own.levels(k, model, answers) for k in range(1, model.order + 1)]
+            logs = np.concatenate([[0], np.cumsum(model.log_probabilities(own.seq, n, levels))])
+            token = own.at != len(own.words) - 2  # all but beginnings
+            h, n = own.seq[token], n + 1
             ends = np.cumsum(n)
-            c = model.exact(h)
+            c = own.rare(model)[0][own.at[token]]
             exact = c > 0
             base = np.where(exact, np.log10(c + 1) - floor, 0)
             sums = [np.concatenate([[0], np.cumsum(x)]) for x in (exact, base)]
             known, base = (x[ends] - x[ends - n] for x in sums)
-            keys = at * MOST_ROWS + np.arange(len(n))
+            keys = own.number * MOST_ROWS + np.arange(len(n))
             doc = np.repeat(keys, n)[~exact]
             order = np.lexsort((h[~exact], doc))
             doc, rest = doc[order], h[~exact][order]
