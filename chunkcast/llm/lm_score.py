@@ -318,9 +318,12 @@ class Learned:
     levels: DataFrame
 
 
-def learn(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> Learned:
+def learn(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2, keep: bool = True) -> Learned:
     """The model of all documents but the held-out ones, and the levels of the n-grams of all documents.
 
+    Without ``keep`` the filters of two words and more last as long as the tasks that fill and probe them,
+    and the model can score no other documents.
+
     A document is held out if crc32(doc_id as text) modulo ``modulo`` is ``held``; null doc_ids are not.
     Without training documents every word has the probability of an unknown one.
     """
@@ -348,8 +351,8 @@ def learn(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> Le
     segments = -(-model.n * BITS_PER_KEY // SEGMENT_BITS)  # an n-gram of count c has at most c levels
     for k in range(2, order + 1):
         dealt_out = deal_ngrams(sliced, last, model, k, segments)
-        table = staged(dealt_out.groupBy("segment").applyInArrow(fill_and_answer(segments), FILLED), f"filter-{k}")
-        bits, zipped = table.where("bits is not null"), F.arrays_zip("number", "mass", "contexts", "types")
+        table = staged(dealt_out.groupBy("segment").applyInArrow(fill_and_answer(segments, keep), FILLED), f"filter-{k}")
+        bits, zipped = table.where("slice is null"), F.arrays_zip("number", "mass", "contexts", "types")
         at = bits.select(F.posexplode(zipped).alias("level", "x")).groupBy("level")
         sums = np.zeros((4, LEVELS))
         with freed_shuffles(spark):
@@ -374,8 +377,8 @@ def train(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> tu
 def cut_slices(rows: DataFrame) -> DataFrame:
     """``slice, rows, words, at``: all rows, a slice of text at a time, with words hashed once.
 
-    ``rows`` has ids, held_out and numbers of words in Arrow's stream format, ``words`` the hashes of the distinct
-    words, the most frequent first, and ``at`` the place there of every word of the slice.
+    ``rows`` has ids, held_out and numbers of words in Arrow's stream format, ``words`` the steps between the hashes of
+    the distinct words, the most frequent first, and ``at`` the place there of every word of the slice.
     """
 
     def cut(batches):
@@ -395,7 +398,8 @@ def cut_slices(rows: DataFrame) -> DataFrame:
                     with pa.ipc.new_stream(sink, own.schema) as writer:
                         writer.write_batch(own)
                     packed = zstd.compress(planes(rank[at], np.array([len(at)]))[0].as_buffer(), asbytes=True)
-                    cells = [part + number, sink.getvalue().to_pybytes(), words[by].tobytes(), packed]
+                    steps = planes(np.diff(words[by], prepend=np.uint64(0)), np.array([len(by)]))  # equally frequent words ascend
+                    cells = [part + number, sink.getvalue().to_pybytes(), steps[0].as_py(), packed]
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in cells], ["slice", "rows", "words", "at"])
                     number += 1
 
@@ -448,7 +452,7 @@ def opened(table) -> list[Slice]:
         total = int(n.sum())
         flat = pa.Codec("zstd").decompress(at.as_buffer(), decompressed_size=4 * total, asbytes=True) if total else b""
         at = from_planes(pa.chunked_array([pa.array([flat])]), "<u4")[0].astype(np.int64)
-        words = np.frombuffer(words.as_buffer(), np.uint64)
+        words = np.cumsum(from_planes(pa.chunked_array([pa.array([words.as_py()])]), "<u8")[0])
         marked, _ = with_marks(at, n, len(words), len(words) + 1)
         out.append(Slice(number.as_py(), rows, n, np.append(words, [BEGIN, END]), marked))
     return out
@@ -501,8 +505,8 @@ FILLED = (
 )
 
 
-def fill_and_answer(segments: int):
-    """Of a segment's rows of ``deal_ngrams``: its bits and, by level, the number and occurrences of its n-grams, of those
+def fill_and_answer(segments: int, keep: bool):
+    """Of a segment's rows of ``deal_ngrams``: its bits, if they are to be kept, and, by level, the number and occurrences of its n-grams, of those
     among them that can be contexts (by the level that probes find), and of those that follow contexts of
     the level; then for every slice the levels that probes find for its n-grams.
     """
@@ -533,7 +537,7 @@ def fill_and_answer(segments: int):
         none = len(sizes)
         return pa.table({
             "segment": pa.array([key[0].as_py()] * (none + 1), pa.int64()),
-            "bits": pa.array([own.bits.tobytes(), *[None] * none], pa.binary()),
+            "bits": pa.array([own.bits.tobytes() if keep else None, *[None] * none], pa.binary()),
             **{name: pa.array([x.tolist(), *[None] * none], pa.list_(pa.int64())) for name, x in sums.items()},
             "slice": pa.concat_arrays([pa.nulls(1, pa.int64()), *table.column("slice").chunks]),
             "levels": pa.concat_arrays([pa.nulls(1, pa.binary()), binary_column(levels, sizes)]),
@@ -587,7 +591,7 @@ def score_documents(docs: DataFrame, model: NgramModel, words: DataFrame, modulo
 
 def learn_and_score(docs: DataFrame, order: int = 3, modulo: int = 7, held: int = 2) -> DataFrame:
     """The scores of ``scored_slices`` of the documents that the model is learned from and of those held out."""
-    return scored_slices(learn(docs, order, modulo, held))
+    return scored_slices(learn(docs, order, modulo, held, keep=False))
 
 
 def scored_slices(learned: Learned) -> DataFrame:
