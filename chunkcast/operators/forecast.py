@@ -78,8 +78,9 @@ def _convolve_block(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("idx")
     y = rows["y"].to_numpy()
     fit = np.full(len(y), np.nan)
-    if len(model) and len(y):
-        c0, c1, *pi = model["coef"].iloc[0]
+    coef = model["coef"].iloc[0] if len(model) else None
+    if coef is not None and len(y):
+        c0, c1, *pi = coef
         p = len(pi)
         if len(y) > p:
             fit[p:] = np.convolve(y, pi, mode="valid")[:-1] + c0 + c1 * rows["idx"].to_numpy()[p:]

@@ -122,6 +122,17 @@ def test_fitted_values_by_columns_and_by_convolution(spark, monkeypatch, limit,
         assert r.fitted == pytest.approx(expected) and r.residual == pytest.approx(y[t] - expected)
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_a_model_without_coefficients_gives_no_fitted_values(spark, monkeypatch, limit):
+    monkeypatch.setattr(fc, "LAG_COLUMNS", limit)
+    y = simulate(40)
+    models = model_of(spark, {"a": [1.0, 0.0, 0.5], "b": [1.0, 0.0, 0.5]}).selectExpr("series_id", "if(series_id = 'a', coef, null) AS coef")
+    rows = fc.fitted_values(train_of(spark, {"a": y, "b": y, "c": y}), models, 1, 16).collect()
+    have = {s: sum(r.fitted is not None for r in rows if r.series_id == s) for s in "abc"}
+    assert len(rows) == 120 and have == {"a": 39, "b": 0, "c": 0}
+    assert all((r.residual is None) == (r.fitted is None) for r in rows)
+
+
 def test_lag_design(spark):
     rows = fc.lag_design(train_of(spark, {"s": range(6)}), 2, block_rows=3).orderBy("idx").collect()
     assert [r.lags for r in rows] == [None, None, [1.0, 0.0], [2.0, 1.0], [3.0, 2.0], [4.0, 3.0]]
