@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chunkcast.llm.components import connected_components
 from chunkcast.llm.textbytes import NOT_SPACE, binary_buffers, binary_column, mix, ngrams, release, signed, slices, text_buffers, word_hashes
-from chunkcast.session import staged as written
+from chunkcast.session import freed_shuffles, staged as written
 
 SET_SEED, SEGMENT_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Segments whose signature falls on one residue are counted for the costs: an even sample of signatures.
@@ -44,12 +44,13 @@ TILE = 1024
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written with small Arrow batches, as rows hold whole sets."""
+    """Written with small Arrow batches, as rows hold whole sets; shuffle files last as long as the query."""
     conf, option = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(option)
     conf.set(option, "8m")
     try:
-        return written(df, name)
+        with freed_shuffles(df.sparkSession):
+            return written(df, name)
     finally:
         conf.set(option, before)
 
@@ -462,6 +463,23 @@ def _unsettled(stars: DataFrame, components: DataFrame) -> DataFrame:
     return staged(whole.unionByName(own), "unsettled")
 
 
+def _regrouped(members: DataFrame, kind: int) -> DataFrame:
+    """The members of ``_unsettled`` in fewer groups, as groups that share most of their classes repeat their pairs.
+
+    Clusters of classes that groups connect take the place of their groups where these have as many pairs.
+    Such groups are of the kind ``kind``, which no group had before; every pair of a group still meets in one.
+    """
+    groups = members.groupBy("key", "kind").agg(F.min("fp").alias("pivot"), F.count("*").cast("double").alias("m"))
+    pairs = members.join(groups, ["key", "kind"]).select("pivot", "fp").distinct()
+    cluster = connected_components(pairs).select(F.col("id").alias("fp"), F.col("component_id").alias("cluster"))
+    cost = groups.join(cluster.withColumnRenamed("fp", "pivot"), "pivot").groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    sizes = cluster.groupBy("cluster").agg(F.count("*").cast("double").alias("g"))
+    way = sizes.join(cost, "cluster").select("cluster", (F.col("g") * F.col("g") <= F.col("pairs")).alias("whole"))
+    rows = members.join(cluster, "fp").join(way, "cluster")
+    key = F.when(F.col("whole"), F.col("cluster")).otherwise(F.col("key")).alias("key")
+    return staged(rows.select(key, F.when(F.col("whole"), kind).otherwise(F.col("kind")).alias("kind"), "fp", "comp").distinct(), "regrouped")
+
+
 def _tiles(members: DataFrame) -> DataFrame:
     """``tile, key, kind, fp, comp, block, same``: the members of each group, dealt to tiles.
 
@@ -608,9 +626,9 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     members = _unsettled(stars, components)
     if not members.isEmpty():
         known = classes.where("fp is not null").groupBy("fp").agg(F.coalesce(F.max("profile"), F.lit(b"")).alias("grams"))
-        members = _promising(members, known, percent)
+        members = _regrouped(_promising(members, known, percent), 2)
         fine = _grams(docs, classes, members.select("fp").distinct(), width, coarse=True).dropDuplicates(["fp"])
-        members = _promising(members, fine, percent)
+        members = _regrouped(_promising(members, fine, percent), 3)
         components = connected_components(links.unionByName(_tile_links(docs, classes, members, width, percent)))
     comp = components.select(F.col("id").alias("fp"), F.col("component_id").alias("comp"))
     named = sizes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))

@@ -1,10 +1,14 @@
-"""Bounded training samples of labelled documents."""
+"""Bounded training samples of labelled documents, and models fitted to them."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chunkcast.llm.textbytes import release
 from chunkcast.session import staged
 
 
@@ -13,7 +17,7 @@ def remainder(column: str, modulo: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulo))
 
 
-def training_texts(
+def training_rows(
     docs: DataFrame,
     labels: DataFrame,
     label: str,
@@ -23,7 +27,7 @@ def training_texts(
     most_rows: int = 4_000,
     most_bytes: int = 12_000_000,
     least_rows: int = 50,
-) -> pa.Table:
+) -> DataFrame:
     """``text, label`` (0 or 1) and ``extra`` columns of a bounded sample of labelled documents.
 
     Rows of ``labels`` with a null id or label, or whose crc32(doc_id as text) modulo ``modulo`` is
@@ -56,9 +60,27 @@ def training_texts(
             total += r.size
             chosen.append((r.doc_id, r.key, r.label))
     if not chosen:
-        schema = [("text", pa.string()), ("label", pa.int32())]
-        return pa.table({n: pa.array([], t) for n, t in schema} | {c: pa.array([], pa.string()) for c in extra})
+        return docs.sparkSession.createDataFrame([], ", ".join(["text string", "label int", *(f"`{c}` string" for c in extra)]))
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, key long, label int")
     picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "key"])
     picked = picked.dropDuplicates(["doc_id"]).dropDuplicates(["text", "label"])
-    return picked.orderBy(*order).select("text", "label", *(F.col(c).cast("string") for c in extra)).toArrow()
+    return picked.orderBy(*order).select("text", "label", *(F.col(c).cast("string") for c in extra))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, extra: tuple[str, ...] = (), **sample) -> pa.Table:
+    """The sample of ``training_rows`` on the driver."""
+    return training_rows(docs, labels, label, extra, **sample).toArrow()
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """``fit`` of the table of ``training_rows``, in one task: the sample is bounded, and only the model comes to the driver."""
+    schema = pa.schema([(c, pa.int32() if c == "label" else pa.string()) for c in rows.columns])
+
+    def work(batches):
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(b.columns, schema.types)], schema=schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], ["model"])
+        del table
+        release()
+
+    model = rows.coalesce(1).mapInArrow(work, "model binary").toArrow().column("model")
+    return pickle.loads(model[0].as_buffer()) if len(model) else fit(schema.empty_table())

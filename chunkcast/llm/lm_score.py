@@ -16,7 +16,6 @@ of the next order. Levels of the most frequent words come from their exact count
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chunkcast.llm.labelled import remainder
 from chunkcast.llm.textbytes import NOT_SPACE, binary_buffers, binary_column, mix, ngrams, signed, slices, text_buffers, word_hashes
-from chunkcast.session import staged as written
+from chunkcast.session import freed_shuffles, staged as written
 
 END, BEGIN = np.uint64(0xE4D00000000000E1), np.uint64(0xBE61000000000B01)
 SEGMENT_BITS = 1 << 22
@@ -41,18 +40,6 @@ EXACT_WORDS = 1 << 19
 MOST_ROWS = 1 << 20
 
 
-@contextmanager
-def freed_shuffles(spark):
-    """Shuffle files go at the end of the query that wrote them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     with freed_shuffles(df.sparkSession):
         return written(df, name)

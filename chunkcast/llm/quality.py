@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from chunkcast.llm.labelled import training_texts
+from chunkcast.llm.labelled import fitted, training_rows
 from chunkcast.llm.textbytes import LOWER, NOT_SPACE, hash_spans, slices, text_buffers, word_spans
 
 STATISTICS = (
@@ -216,8 +216,8 @@ def fit(texts: pa.Table, meta: tuple[str, ...] = (), factors: int = 8, epochs: i
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", meta: tuple[str, ...] = (), **sample) -> FactorMachine:
-    """Fit on the bounded sample of ``labelled.training_texts``, whose limits are passed on."""
-    return fit(training_texts(docs, labels, label, meta, **sample), meta)
+    """Fit on the bounded sample of ``labelled.training_rows``, whose limits are passed on."""
+    return fitted(training_rows(docs, labels, label, meta, **sample), lambda texts: fit(texts, meta))
 
 
 def quality_score(docs: DataFrame, machine: FactorMachine, meta: tuple[str, ...] = ()) -> Column:

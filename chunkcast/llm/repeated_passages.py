@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from chunkcast.llm.lm_score import freed_shuffles
+from chunkcast.session import freed_shuffles
 from chunkcast.llm.textbytes import (
     NOT_SPACE, binary_buffers, binary_column, hash_spans, joined_words, longer_runs, marked, mix, slices, text_buffers, word_spans,
 )

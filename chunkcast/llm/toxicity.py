@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from chunkcast.llm.labelled import training_texts
+from chunkcast.llm.labelled import fitted, training_rows
 from chunkcast.llm.textbytes import ALNUM, LOWER, hash_spans, mix, ngrams, slices, text_buffers, word_spans
 
 BUCKETS = 1 << 20
@@ -321,8 +321,8 @@ def _summaries_in_parts(field: ToxicityField, words: Words, most: int = 100_000)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", **sample) -> ToxicityField:
-    """Fit on the bounded sample of ``labelled.training_texts``, whose limits are passed on."""
-    return fit(training_texts(docs, labels, label, **sample))
+    """Fit on the bounded sample of ``labelled.training_rows``, whose limits are passed on."""
+    return fitted(training_rows(docs, labels, label, **sample), fit)
 
 
 def toxicity(docs: DataFrame, field: ToxicityField, marginal: float = 0.5) -> Column:
