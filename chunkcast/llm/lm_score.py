@@ -17,6 +17,7 @@ of the next order. Levels of the most frequent words come from their exact count
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -110,19 +111,31 @@ def segment_start(segment: np.ndarray, segments: int) -> np.ndarray:
     return (segment.astype(np.uint64) << np.uint64(32)) // np.uint64(max(segments, 1)) << np.uint64(32)
 
 
-def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every element of runs of ``sizes``: the start and length of its run and its place there."""
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return start, np.repeat(sizes, sizes), np.arange(len(start)) - start
+def distinct_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the place there of each: ``np.unique`` with its inverse.
+
+    Sorts numbers of a hash's first bits and its place; only where these leave hashes out of order, the hashes.
+    """
+    mask = np.uint64((1 << max(len(h) - 1, 1).bit_length()) - 1)
+    by = np.sort(h & ~mask | np.arange(len(h), dtype=np.uint64)) & mask
+    ordered = h[by]
+    if (ordered[1:] < ordered[:-1]).any():
+        return np.unique(h, return_inverse=True)
+    new = np.ones(len(h), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(h), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return ordered[new], place
 
 
 def planes(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Runs of ``sizes`` numbers as binaries, their bytes by significance, which compression shortens."""
-    width = flat.itemsize
-    raw, (start, n, i) = flat.view(np.uint8).reshape(-1, width), places(sizes)
+    width, at = flat.itemsize, 0
+    raw = flat.view(np.uint8).reshape(-1, width)
     out = np.empty(raw.size, np.uint8)
-    for b in range(width):
-        out[start * width + b * n + i] = raw[:, b]
+    for n in sizes.tolist():
+        out[at * width : (at + n) * width].reshape(width, n)[:] = raw[at : at + n].T
+        at += n
     return binary_column(out, sizes * width)
 
 
@@ -130,11 +143,11 @@ def from_planes(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndar
     """The numbers of ``planes`` and the sizes of their runs."""
     width = np.dtype(kind).itemsize
     data, offsets = binary_buffers(column.combine_chunks())
-    sizes = np.diff(offsets) // width
-    start, n, i = places(sizes)
-    raw = np.empty((len(start), width), np.uint8)
-    for b in range(width):
-        raw[:, b] = data[start * width + b * n + i]
+    sizes, at = np.diff(offsets) // width, 0
+    raw = np.empty((int(sizes.sum()), width), np.uint8)
+    for n in sizes.tolist():
+        raw[at : at + n] = data[at * width : (at + n) * width].reshape(width, n).T
+        at += n
     return raw.reshape(-1).view(kind), sizes
 
 
@@ -376,8 +389,8 @@ def cut_slices(rows: DataFrame) -> DataFrame:
                 for first in range(low, high, MOST_ROWS):
                     last = min(first + MOST_ROWS, high)
                     h, n = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], NOT_SPACE)
-                    words, at, times = np.unique(h, return_inverse=True, return_counts=True)
-                    by = np.argsort(-times, kind="stable")
+                    words, at = distinct_places(h)
+                    by = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
                     rank = np.empty(len(by), "<u4")
                     rank[by] = np.arange(len(by))
                     own = pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in (0, 1)), pa.array(n)], ["doc_id", "held_out", "n"])
@@ -403,7 +416,7 @@ class Slice:
     words: np.ndarray
     at: np.ndarray
 
-    @property
+    @cached_property
     def seq(self) -> np.ndarray:
         return self.words[self.at]
 
@@ -422,11 +435,11 @@ class Slice:
         found = joined(found, "levels", np.int8) if found.num_rows else None
         if k > 1:
             keys = self.grams(k)[0]
-            return found[np.unique(keys, return_inverse=True)[1]] if found is not None else np.zeros(len(keys), np.int8)
+            return found[distinct_places(keys)[1]] if found is not None else np.zeros(len(keys), np.int8)
         c, rest = self.rare(model)
         level = level_of(c)
         if found is not None:
-            level[rest] = found[np.unique(self.words[rest], return_inverse=True)[1]]
+            level[rest] = found[distinct_places(self.words[rest])[1]]
         return level[self.at]
 
 
@@ -468,7 +481,7 @@ def deal_ngrams(sliced: DataFrame, answers: DataFrame, model: NgramModel, k: int
             follows[np.cumsum(have)[have > 0] - 1] = False
             tag = own.levels(k - 1, model, answers)[follows].astype(np.uint8)
             tag[np.cumsum(ends)[ends > 0] - 1] += LAST
-            distinct, place = np.unique(grams, return_inverse=True)
+            distinct, place = distinct_places(grams)
             held = own.rows.column("held_out").to_numpy()
             c = np.bincount(place, np.repeat(~held, ends), len(distinct)).astype("<u4")
             tags = np.empty(len(distinct), np.uint8)
@@ -505,8 +518,9 @@ def fill_and_answer(segments: int, keep: bool):
         first = np.cumsum(sizes) - sizes
         h = sums - np.repeat(sums[first] - steps[first], sizes) + segment_start(np.array([key[0].as_py()]), segments)
         by = np.argsort(h, kind="stable")
-        keys, times = _tallies(h)
-        first = np.cumsum(times) - times
+        h = h[by]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        keys, times = h[first], np.diff(np.append(first, len(h)))
         c, tag = np.add.reduceat(c[by].astype(np.int64), first), tag[by][first]
         seen = c > 0
         level = level_of(c[seen])

@@ -1,13 +1,14 @@
-"""What keeps shuffles and the driver small: joined groups, fits in a task."""
+"""What keeps shuffles, the driver and sorts small: joined groups, fits in a task, first bits of hashes."""
 
 import os
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chunkcast.llm import jaccard_join, quality, toxicity
+from chunkcast.llm import jaccard_join, lm_score, quality, toxicity
 
 
 def test_groups_of_the_same_classes_are_joined(spark):
@@ -64,3 +65,23 @@ def test_models_are_those_of_the_driver(spark, known):
     own = quality.fit(training_texts(frame, labels, "quality", ("n_chars",)), ("n_chars",))
     got = quality.train(frame, labels, meta=("n_chars",))
     assert np.array_equal(own.w, got.w) and np.array_equal(own.v, got.v) and own.bias == got.bias
+
+
+def test_distinct_places():
+    rng = np.random.default_rng(4)
+    top = rng.integers(0, 2**63, 50, dtype=np.uint64) << np.uint64(1)
+    for h in (
+        np.zeros(0, np.uint64), np.zeros(5, np.uint64), np.full(1, np.uint64(2**64 - 1)), top[rng.integers(0, 50, 3000)],
+        np.uint64(1 << 40) + rng.integers(0, 4, 999).astype(np.uint64),  # equal first bits
+    ):
+        words, place = lm_score.distinct_places(h)
+        want, at = np.unique(h, return_inverse=True)
+        assert np.array_equal(words, want) and np.array_equal(place, at)
+
+
+@pytest.mark.parametrize("kind", ["<u8", "<u4", "u1"])
+def test_planes_come_back(kind):
+    sizes = np.array([3, 0, 1, 400, 0])
+    flat = np.random.default_rng(2).integers(0, 200, 404).astype(kind)
+    got, n = lm_score.from_planes(pa.chunked_array([lm_score.planes(flat, sizes)]), kind)
+    assert np.array_equal(got, flat) and np.array_equal(n, sizes)
