@@ -229,11 +229,11 @@ class TextEncoder:
         ends = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(total[ends])
 
-    def encode(self, column, end_id: int | None = None, most_bytes: int = 4_000_000):
+    def encode(self, column, end_id: int | None = None, most_bytes: int = 1_000_000):
         """Yield ``(first row, ids, ids per row)`` for runs of rows of an Arrow string column.
 
         Nulls are empty texts; ``end_id`` is appended to every row. A run has at most ``most_bytes`` of
-        text, or is one longer row.
+        text, or is one longer row; a run takes many times its bytes while it is encoded.
         """
         data, offsets = text_buffers(column)
         for low, high in slices(offsets, most_bytes):
