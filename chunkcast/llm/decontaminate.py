@@ -266,7 +266,7 @@ def find_in_batch(auto: ItemAutomaton, column: pa.Array) -> tuple[list, list, li
     ranges: list = [[] for _ in range(len(column))]
     items: list = [set() for _ in range(len(column))]
     words = np.zeros(len(column), np.int64)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, 1_000_000):
         own = data[offsets[a] : offsets[b]]
         starts, ends, counts = word_spans(own, offsets[a : b + 1] - offsets[a], ALNUM)
         words[a:b] = counts

@@ -61,7 +61,9 @@ def training_rows(
             chosen.append((r.doc_id, r.key, r.label))
     if not chosen:
         return docs.sparkSession.createDataFrame([], ", ".join(["text string", "label int", *(f"`{c}` string" for c in extra)]))
-    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, key long, label int")
+    kinds = [("doc_id", pa.int64()), ("key", pa.int64()), ("label", pa.int32())]
+    ids = pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*chosen), kinds)], pa.schema(kinds))
+    ids = docs.sparkSession.createDataFrame(ids)  # of a list it would start Python workers of another kind, which stay
     picked = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "key"])
     picked = picked.dropDuplicates(["doc_id"]).dropDuplicates(["text", "label"])
     return picked.orderBy(*order).select("text", "label", *(F.col(c).cast("string") for c in extra))

@@ -144,7 +144,7 @@ class FactorMachine:
         data, offsets = text_buffers(column)
         keys = [meta_buckets(m) for m in meta]
         out = []
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, 1_000_000):  # of every byte and word there are many numbers at once
             batch = describe(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             out.append(self.margin(*self.rows(batch, [k[low:high] for k in keys])))
         z = np.concatenate(out) if out else np.zeros(0)
@@ -177,7 +177,7 @@ def fit(texts: pa.Table, meta: tuple[str, ...] = (), factors: int = 8, epochs: i
     if not len(labels):
         return machine
     data, offsets = text_buffers(texts.column("text"))
-    parts = [describe(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+    parts = [describe(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 1_000_000)]
     batch = Batch(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("words", "n", "stats")))
     quantiles = np.linspace(0, 1, BINS + 1)[1:-1]
     machine.edges = [np.unique(np.quantile(batch.stats[:, k], quantiles)) for k in range(len(STATISTICS))]

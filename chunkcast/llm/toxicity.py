@@ -138,7 +138,7 @@ class Chains:
             z = y0 + y1
             f0[k], f1[k] = np.where(on, a0, 0), np.where(on, a1, 0)  # before this word
             a0, a1 = np.where(on, y0 / z, a0), np.where(on, y1 / z, a1)
-        out = np.empty_like(u)
+        out = u  # not needed any more
         seen = np.zeros((2, 2))
         for k in range(BLOCK - 1, -1, -1):
             on = self.real[k]
@@ -186,7 +186,10 @@ class ToxicityField:
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of two columns of small numbers."""
-    both = np.sort(a.astype(np.int64) << 32 | b.astype(np.int64))
+    both = a.astype(np.int64)
+    both <<= 32
+    both |= b
+    both.sort()
     both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     return both >> 32, both & 0xFFFFFFFF
 
@@ -198,21 +201,24 @@ def token_labels(words: Words, labels: np.ndarray, groups: np.ndarray, chance: f
     share of toxic groups exceeds the overall share by more than all features together would reach by
     chance (a Chernoff bound, ``chance`` for all). Marked words of toxic texts are toxic.
     """
-    row = np.repeat(np.arange(len(words.counts)), words.counts)
+    row = np.repeat(np.arange(len(words.counts), dtype=np.int32), words.counts)
     share = np.clip(labels.mean(), 1e-3, 0.9)
     kinds = words.features[:, : 1 + len(PREFIXES)]
     bound = np.log(max(kinds.size, 1) / chance)
     _, group = np.unique(groups, return_inverse=True)
-    word, owner = _distinct_pairs(words.place, 2 * group[row] + labels[row])
+    word, owner = _distinct_pairs(words.place, (2 * group + labels).astype(np.int32)[row])
     marked = np.zeros(len(words.features), bool)
     for k in range(kinds.shape[1]):
         feature, of = _distinct_pairs(kinds[word, k], owner)
-        good = np.bincount(feature[of % 2 == 1], minlength=BUCKETS).astype(float)
-        bad = np.bincount(feature[of % 2 == 0], minlength=BUCKETS).astype(float)
-        total = np.maximum(good + bad, 1)
+        good = np.bincount(feature[of % 2 == 1], minlength=BUCKETS)
+        some = np.flatnonzero(good)  # no others can be marked
+        good, bad = good[some].astype(float), np.bincount(feature[of % 2 == 0], minlength=BUCKETS)[some].astype(float)
+        total = good + bad
         rate = np.clip(good / total, 1e-9, 1 - 1e-9)
         far = total * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
-        marked |= ((rate > max(share, 0.8)) & (far > bound))[kinds[:, k]]
+        mark = np.zeros(BUCKETS, bool)
+        mark[some] = (rate > max(share, 0.8)) & (far > bound)
+        marked |= mark[kinds[:, k]]
     return marked[words.place] & (labels[row] == 1)
 
 
@@ -238,8 +244,7 @@ def fit(texts: pa.Table, width: int = 200, clean_per_toxic: int = 4, steps: int
     k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = first[of] + k * width
     size = np.minimum(words.counts[of] - k * width, width)
-    sums = np.concatenate([[0], np.cumsum(y)])
-    toxic = sums[begin + size] > sums[begin]
+    toxic = _some(y, begin, begin + size)
     clean = np.flatnonzero(~toxic & (labels[of] == 0))
     clean = rng.permutation(clean)[: max(200, clean_per_toxic * int(toxic.sum()))]
     use = np.sort(np.concatenate([np.flatnonzero(toxic), clean]))
@@ -247,20 +252,25 @@ def fit(texts: pa.Table, width: int = 200, clean_per_toxic: int = 4, steps: int
     pick = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
     distinct, place = np.unique(words.place[pick], return_inverse=True)
     used, compact = np.unique(words.features[distinct], return_inverse=True)
-    compact, target = compact.reshape(len(distinct), -1), y[pick].astype(float)
+    compact = compact.reshape(len(distinct), -1).astype(np.int32)
+    tags = y[pick].astype(np.int8)
     weights = np.zeros(len(used))
-    wanted = np.bincount(place, target, len(distinct))
-    chains = Chains(size)
-    tags = y[pick].astype(np.int64)
+    wanted = np.bincount(place, tags, len(distinct))
+    chains = _chains_in_parts(size)
     before = np.concatenate([[0], tags[:-1]])
     before[np.cumsum(size) - size] = 0
     observed = np.zeros((2, 2))
     np.add.at(observed, (before, tags), 1)
+    del pick, tags, before
     past, past_t = np.full(len(used), 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):
         u = np.clip(weights[compact].sum(1), -30, 30)[place]
-        p, seen = chains.marginals(u, field.transitions, True)
-        gap = np.bincount(place, p, len(distinct)) - wanted
+        p, seen = [], np.zeros((2, 2))
+        for low, high, part in chains:
+            own, pairs = part.marginals(u[low:high], field.transitions, True)
+            p.append(own)
+            seen += pairs
+        gap = np.bincount(place, np.concatenate(p), len(distinct)) - wanted
         g = np.bincount(compact.ravel(), np.repeat(gap, compact.shape[1]), len(used)) / len(size) + decay * weights
         gt = (seen - observed) / len(size) + decay * field.transitions
         past += g * g
@@ -295,13 +305,29 @@ def _described(texts: pa.Table) -> tuple[Words, np.ndarray]:
             group[some] = np.minimum.reduceat(mix(grams, np.full(1, np.uint64(9))), at[some]).view(np.int64)
         distinct = np.zeros(len(words.features), np.uint64)
         distinct[words.place] = words.hashes
-        for own, part in zip((counts, places, features, hashes, groups), (words.counts, (words.place + before).astype(np.int32), words.features, distinct, group)):
+        for own, part in zip((counts, places, features, hashes, groups), (words.counts, (words.place + before).astype(np.int32), words.features.astype(np.int32), distinct, group)):
             own.append(part)
         before += len(distinct)
+    del words, grams
     _, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    none = np.zeros(0, np.int64)
-    places = place.astype(np.int32)[np.concatenate(places)]
-    return Words(none, none, np.concatenate(counts), places, np.concatenate(features)[first], none), np.concatenate(groups)
+    none, place = np.zeros(0, np.int64), place.astype(np.int32)
+    places = np.concatenate([place[p] for p in places])
+    least = np.empty((len(first), features[0].shape[1]), np.int32)
+    for low, part in zip(np.cumsum([0] + [len(x) for x in hashes]).tolist(), features):
+        own = np.flatnonzero((first >= low) & (first < low + len(part)))
+        least[own] = part[first[own] - low]
+    return Words(none, none, np.concatenate(counts), places, least, none), np.concatenate(groups)
+
+
+def _chains_in_parts(counts: np.ndarray, most: int = 250_000) -> list[tuple[int, int, Chains]]:
+    """First and last word, and the chains, of about ``most`` words at a time, as the messages take many times a word."""
+    ends, parts, low = np.cumsum(counts), [], 0
+    while low < len(counts):
+        first = int(ends[low] - counts[low])
+        high = max(int(np.searchsorted(ends, first + most, "right")), low + 1)
+        parts.append((first, int(ends[high - 1]), Chains(counts[low:high])))
+        low = high
+    return parts
 
 
 def _summaries_in_parts(field: ToxicityField, words: Words, most: int = 100_000) -> np.ndarray:
@@ -325,18 +351,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", **sample) ->
     return fitted(training_rows(docs, labels, label, **sample), fit)
 
 
-def toxicity(docs: DataFrame, field: ToxicityField, marginal: float = 0.5) -> Column:
+def toxicity(docs: DataFrame, field: ToxicityField, marginal: float = 0.5, slice_bytes: int = 4_000_000) -> Column:
     """A struct of every row's ``score`` (0 to 1) and ``spans``: UTF-8 byte ranges of toxic words.
 
     Neighbouring words of at least ``marginal`` probability share a span. Null texts are empty texts; an
-    empty text has the score of a text without toxic words. Other columns have no influence.
+    empty text has the score of a text without toxic words. Other columns have no influence. ``slice_bytes`` of text
+    are tagged at once; a word's shape is that of its first occurrence there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def tag(column: pa.Array) -> pa.Array:
         data, offsets = text_buffers(column)
         scores, spans = [], []
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, slice_bytes):
             own = offsets[low : high + 1] - offsets[low]
             words, p, z = shared.value.tag(data[offsets[low] : offsets[high]], own)
             scores.append(z)

@@ -14,8 +14,17 @@ from chunkcast.llm.decontaminate import free_name
 from chunkcast.session import staged
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most from now on, as a batch of whole texts takes several times its bytes in an executor.
+
+    Set for the session, as Spark reads the limit when a stage's result is written, not when it is built.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine, trained on the labelled ones, scores at 0.5 or more."""
+    small_batches(spark)
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", meta=("n_chars",))
     score = free_name(docs, "_score")
     return docs.withColumn(score, quality.quality_score(docs, machine, ("n_chars",))).where(F.col(score) >= 0.5).drop(score)
@@ -23,9 +32,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7."""
+    small_batches(spark)
     field = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
     found = free_name(docs, "_found")
-    return docs.withColumn(found, toxicity.toxicity(docs, field)).where(F.col(found)["score"] < 0.7).drop(found)
+    return docs.withColumn(found, toxicity.toxicity(docs, field, slice_bytes=1_000_000)).where(F.col(found)["score"] < 0.7).drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are the last choice of their group; of repeated rows one stays. Rows without words have no group and
     all stay.
     """
+    small_batches(spark)
     groups = jaccard_join.jaccard_groups(docs, width=5, percent=80).where("group is not null")
     rows = groups.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
     best = F.min_by(F.struct("doc_id", "key", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
@@ -55,12 +66,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows of 13 words."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, items, window=13, percent=5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1,024 ids, with the checksum of each piece's ids."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack_documents(docs, path, end_id=0, length=1024)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

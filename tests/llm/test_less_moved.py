@@ -1,6 +1,7 @@
 """What keeps shuffles, the driver and sorts small: joined groups, fits in a task, first bits of hashes."""
 
 import os
+import tracemalloc
 
 import cases
 import numpy as np
@@ -8,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chunkcast.llm import jaccard_join, lm_score, quality, toxicity
+import corpus_pipeline
+from chunkcast.llm import decontaminate, jaccard_join, lm_score, quality, textbytes, toxicity
 
 
 def test_groups_of_the_same_classes_are_joined(spark):
@@ -85,3 +87,78 @@ def test_planes_come_back(kind):
     flat = np.random.default_rng(2).integers(0, 200, 404).astype(kind)
     got, n = lm_score.from_planes(pa.chunked_array([lm_score.planes(flat, sizes)]), kind)
     assert np.array_equal(got, flat) and np.array_equal(n, sizes)
+
+
+def peak_mb(work):
+    """What ``work`` returns, and the most memory it held at once."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def labelled_texts(rows, words, seed=5):
+    """Texts of random words, every third with some of eight words that only label 1 has."""
+    rng = np.random.default_rng(seed)
+    drawn = rng.integers(0, 30_000, (rows, words))
+    texts = [" ".join(f"w{x}" for x in row) + (f" vile{k % 8}" * 3 if k % 3 == 0 else "") for k, row in enumerate(drawn.tolist())]
+    return pa.table({"text": pa.array(texts), "label": pa.array([int(k % 3 == 0) for k in range(rows)], pa.int32())})
+
+
+def test_texts_are_scored_in_small_slices(monkeypatch):
+    """Memory follows the slice, not the batch; scores and finds do not depend on slices."""
+    texts = labelled_texts(2_000, 600).column("text").combine_chunks()
+    machine = quality.fit(labelled_texts(200, 60))
+    item = decontaminate.ItemAutomaton([(1, [textbytes.hash_word("vile1")] * 3)], 3)
+    scores, most = peak_mb(lambda: machine.scores(texts, []))
+    found, own = peak_mb(lambda: decontaminate.find_in_batch(item, texts))
+    assert texts.nbytes > 7e6 and most < 45 and own < 45
+    for module in (quality, decontaminate):
+        monkeypatch.setattr(module, "slices", lambda offsets, most=0: iter([(0, len(offsets) - 1)]))
+    assert np.array_equal(machine.scores(texts, []), scores)
+    whole = decontaminate.find_in_batch(item, texts)
+    assert whole[:3] == found[:3] and np.array_equal(whole[3], found[3])
+
+
+def test_the_field_is_fitted_in_parts(monkeypatch):
+    """The fit holds little beside its words, and parts of chains give the model of all chains at once."""
+    texts = labelled_texts(1_800, 700)
+    field, most = peak_mb(lambda: toxicity.fit(texts, steps=3))
+    assert most < 110
+    chains = toxicity._chains_in_parts
+    assert len(chains(np.full(1_800, 700))) > 3
+    monkeypatch.setattr(toxicity, "_chains_in_parts", lambda counts: chains(counts, 1 << 40))
+    whole = toxicity.fit(texts, steps=3)
+    for a, b in ((field.weights, whole.weights), (field.transitions, whole.transitions), (field.doc, whole.doc)):
+        assert np.abs(a - b).max() < 1e-9 and np.abs(a).max() > 0
+
+
+def test_texts_are_tagged_in_small_slices(spark, monkeypatch):
+    def strict(offsets, most=4_000_000):
+        assert most <= 1_000_000
+        yield 0, len(offsets) - 1
+
+    monkeypatch.setattr(toxicity, "slices", strict)
+    frame = cases.frame(spark, [(k, f"text {k}") for k in range(9)] + [(9, None)])
+    assert corpus_pipeline.not_toxic(spark, frame, "/root/testdata/sf0.001").count() > 0
+
+
+def test_sample_ids_start_no_python_workers(spark, monkeypatch):
+    frame = cases.frame(spark, [(k, f"text {k}") for k in range(40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int").localCheckpoint()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    rows = toxicity.training_rows(frame, labels, "toxic", held_out=9).collect()
+    assert sorted((r.text, r.label) for r in rows) == sorted((f"text {k}", k % 2) for k in range(40))
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_small_batches(spark, name, stage):
+    option = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(option)
+    try:
+        spark.conf.set(option, "64m")
+        stage(spark, cases.frame(spark, [(k, f"text {k}") for k in range(9)]), "/root/testdata/sf0.001")
+        assert spark.conf.get(option) == "8m"
+    finally:
+        spark.conf.set(option, before)
